@@ -1,0 +1 @@
+"""No operator of the inventory is a stream: a daily refresh is a scheduled batch job."""
