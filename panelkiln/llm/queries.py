@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .multiset import op5_multiset_fingerprints
 from .simhash import op3_simhash_near_dedup
+from .warc import ORACLE_OP1, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_multiset_fingerprints": op5_multiset_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": ORACLE_OP1,
+}
