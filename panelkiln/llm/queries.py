@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .html import op7_tag_path_text
+from .langid import op4_language_codes
 from .multiset import op5_multiset_fingerprints
+from .packing import op6_best_fit_packing
+from .quality import op8_quality_trees
 from .simhash import op3_simhash_near_dedup
 from .warc import ORACLE_OP1, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_language_codes": op4_language_codes,
     "op5_multiset_fingerprints": op5_multiset_fingerprints,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_tag_path_text": op7_tag_path_text,
+    "op8_quality_trees": op8_quality_trees,
 }
 
 ORACLES: dict[str, str] = {
