@@ -7,6 +7,7 @@ from .langid import op4_language_codes
 from .multiset import op5_multiset_fingerprints
 from .packing import op6_best_fit_packing
 from .quality import op8_quality_trees
+from .recompression import ORACLE_OP9, op9_recompression_dedup
 from .simhash import op3_simhash_near_dedup
 from .warc import ORACLE_OP1, op1_warc
 
@@ -18,8 +19,10 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_tag_path_text": op7_tag_path_text,
     "op8_quality_trees": op8_quality_trees,
+    "op9_recompression_dedup": op9_recompression_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": ORACLE_OP1,
+    "op9_recompression_dedup": ORACLE_OP9,
 }
