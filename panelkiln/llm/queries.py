@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from .forest import op2_prefix_forest
 from .html import op7_tag_path_text
 from .langid import op4_language_codes
 from .multiset import op5_multiset_fingerprints
 from .packing import op6_best_fit_packing
 from .quality import op8_quality_trees
 from .recompression import ORACLE_OP9, op9_recompression_dedup
+from .sentencepieces import op10_piece_lattice
 from .simhash import op3_simhash_near_dedup
 from .warc import ORACLE_OP1, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_prefix_forest": op2_prefix_forest,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_language_codes": op4_language_codes,
     "op5_multiset_fingerprints": op5_multiset_fingerprints,
@@ -20,6 +23,7 @@ QUERIES = {
     "op7_tag_path_text": op7_tag_path_text,
     "op8_quality_trees": op8_quality_trees,
     "op9_recompression_dedup": op9_recompression_dedup,
+    "op10_piece_lattice": op10_piece_lattice,
 }
 
 ORACLES: dict[str, str] = {
