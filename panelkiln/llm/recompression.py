@@ -171,38 +171,29 @@ def _chunks(texts: list[bytes]):
         yield first, len(texts)
 
 
-CELL = "bucket int, shard int, known boolean, hashes binary"
-_CELL_NAMES = ["bucket", "shard", "known", "hashes"]
+CELL = "bucket int, shards binary, known binary, hashes binary"
+_CELL_NAMES = ["bucket", "shards", "known", "hashes"]
+
+
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Binary values: the pieces of ``values`` that begin at ``first``."""
+    offsets = (np.append(first, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _cells(bucket: np.ndarray, shard: np.ndarray, known: np.ndarray, hashes: np.ndarray) -> list[pa.Array]:
-    """Columns of CELL: one row for each (bucket, shard, known) with its hashes packed."""
-    key = (bucket.astype(np.int64) << np.int64(32)) | (shard.astype(np.int64) << np.int64(1)) | known
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.empty(0, dtype=np.int64)
-    at = key[first]
-    offsets = np.append(first, len(key)).astype(np.int32) * 8
-    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes[order].tobytes())])
-    return [pa.array((at >> 32).astype(np.int32)), pa.array(((at >> 1) & 0x7FFFFFFF).astype(np.int32)), pa.array((at & 1).astype(bool)), packed]
+    """Columns of CELL: one row for each bucket, its hashes packed in the order of shards."""
+    order = np.argsort((bucket.astype(np.int64) << np.int64(32)) | shard.astype(np.int64), kind="stable")
+    bucket = bucket[order]
+    first = np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0] if len(bucket) else np.empty(0, dtype=np.int64)
+    parts = (shard[order].astype(np.int32), known[order].astype(np.uint8), hashes[order])
+    return [pa.array(bucket[first].astype(np.int32)), *[_packed(x, first) for x in parts]]
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, shard, known) of all cells of a table."""
-    packed = table["hashes"].to_pylist()
-    n = np.fromiter((len(x) // 8 for x in packed), dtype=np.int64, count=len(packed))
-    hashes = np.frombuffer(b"".join(packed), dtype=U)
-    return hashes, np.repeat(table["shard"].to_numpy(), n), np.repeat(np.array(table["known"].to_pylist(), dtype=bool), n)
-
-
-def _bucket_of(hashes: np.ndarray, n: int, salt: int) -> np.ndarray:
-    return ((_mix(hashes + U(salt)) >> U(33)) % U(n)).astype(np.int64)
-
-
-def _once(hashes: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes, a shard of each, whether it occurs again, place of each input)."""
-    values, index, place, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    return values, shard[index], count > 1, place
+    whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+    return whole("hashes", U), whole("shards", np.int32), whole("known", np.uint8).astype(bool)
 
 
 def _meet(cells: DataFrame, buckets: int, repeated: bool) -> DataFrame:
@@ -219,8 +210,10 @@ def _meet(cells: DataFrame, buckets: int, repeated: bool) -> DataFrame:
             many[place[known]] = True
             keep = (many[place] if repeated else ~many[place]) & ~known
             hashes, shard = hashes[keep], shard[keep]
-        _, shards, _, packed = _cells(np.zeros(len(hashes), dtype=np.int64), shard, np.zeros(len(hashes), dtype=np.int64), hashes)
-        return pa.table([shards, packed], names=["shard", "hashes"])
+        order = np.argsort(shard, kind="stable")
+        shard, hashes = shard[order], hashes[order]
+        first = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0] if len(shard) else np.empty(0, dtype=np.int64)
+        return pa.table([pa.array(shard[first]), _packed(hashes, first)], names=["shard", "hashes"])
 
     return cells.groupBy("bucket").applyInArrow(run, "shard int, hashes binary")
 
@@ -330,7 +323,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = T.StructField("kept", T.StringType())
     done_schema = [T.StructField("carry", carry_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), kept]
     rest_schema = [T.StructField("shard", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("ranges", T.BinaryType())]
-    cell_schema = [T.StructField("bucket", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("hashes", T.BinaryType())]
+    cell_schema = [T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _CELL_NAMES[1:]]]
     judged_schema = T.StructType([*done_schema, *rest_schema, *cell_schema])
     names = [f.name for f in judged_schema]
 
@@ -343,7 +336,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def judge(left, right):
         """Finished rows of documents without a candidate window, the others with theirs,
         and the cells of all candidate windows."""
-        types = {"carry": left["carry"].type, "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "shard": pa.int32(), "text": pa.string(), "ranges": pa.binary(), "bucket": pa.int32(), "known": pa.bool_(), "hashes": pa.binary()}
+        types = {"carry": left["carry"].type, "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "shard": pa.int32(), "text": pa.string(), "ranges": pa.binary(), "bucket": pa.int32()} | {c: pa.binary() for c in _CELL_NAMES[1:]}
         known, texts, out = _shard_hashes(right), _bytes(left["text"]), []
         windows = []
         for a, b in _chunks(texts):
@@ -373,7 +366,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.concat_tables(out) if out else table_of({}, 0, types)
 
     judged = written(source.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(judge, judged_schema), "judged")
-    cells = judged.where("bucket is not null").select("bucket", "shard", "known", "hashes")
+    cells = judged.where("bucket is not null").select(*_CELL_NAMES)
     unique = _meet(cells, parts, repeated=False)
 
     def settle(left, right):
@@ -381,13 +374,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ranges, ends, total, removed = left["ranges"].to_pylist(), [], [], []
         for a, b in _chunks(texts):
             words = Words(texts[a:b])
+            pairs = np.concatenate([np.frombuffer(ranges[a + k], dtype="<i8").reshape(2, -1) + words.first[k] for k in range(b - a)], axis=1)
+            inside = np.zeros(len(words.start) + 1, dtype=np.int64)
+            np.add.at(inside, pairs[0], 1)
+            np.add.at(inside, pairs[1], -1)
+            at = np.nonzero(np.cumsum(inside)[:-1])[0]
+            at = at[~_member(words.windows(at), once)]
             gone = np.zeros(len(words.start) + 1, dtype=np.int64)
-            for k in range(b - a):
-                pairs = np.frombuffer(ranges[a + k], dtype="<i8").reshape(2, -1) + words.first[k]
-                at = np.concatenate([np.arange(x, y) for x, y in pairs.T])
-                at = at[~_member(words.windows(at), once)] if len(once) else at
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
+            gone[at] += 1
+            gone[at + WINDOW] -= 1
             flags = np.cumsum(gone)[:-1] > 0
             for k in range(b - a):
                 ends.append(finish(_without(words, k, flags, as_text)))
@@ -411,7 +406,8 @@ ORACLE_OP9 = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(string_split_regex(coalesce(text, ''), '[ 	
-]+'), lambda x: x <> '') AS words
+
+]+'), lambda x: x <> '') AS words
   FROM documents
 ), s AS (
   SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h
