@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import cleaning, merging, models, windows
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (windows, cleaning, merging, models):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

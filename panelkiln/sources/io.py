@@ -14,16 +14,17 @@ from ..operators import merge
 SEASON = re.compile(r"\A\d{4}-\d{2}\Z")
 
 
-def read_documents(spark: SparkSession, path: str, schema: str, array: str | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str, array: str | None = None, multi_line: bool = True) -> DataFrame:
     """SRC-1, SRC-2: JSON documents; with ``array`` the rows of that array of structs.  An
-    absent or empty array gives the typed columns and no rows."""
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    absent or empty array gives the typed columns and no rows.  ``multi_line``: a file is
+    one document; else each of its lines is."""
+    d = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return d.select(F.explode(array).alias("_e")).select("_e.*") if array else d
 
 
-def read_histories(spark: SparkSession, path: str, schema: str, array: str = "history", id_pattern: str = r"(\d+)\.json$", id_col: str = "player_id") -> DataFrame:
+def read_histories(spark: SparkSession, path: str, schema: str, array: str = "history", id_pattern: str = r"(\d+)\.json$", id_col: str = "player_id", multi_line: bool = True) -> DataFrame:
     """SRC-3: one document per entity; rows of its array with the id in the file name."""
-    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    d = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     rows = d.select(F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long").alias(id_col), F.explode(array).alias("_e"))
     return rows.select(id_col, "_e.*")
 
