@@ -94,19 +94,17 @@ class LanguageCodes:
 
 def _fit(languages: list[str], counts: np.ndarray) -> LanguageCodes:
     codes = codewords(len(languages))
-    frequency = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * DIM) if len(languages) else np.ones((0, DIM))
+    if len(languages) < 2:
+        return LanguageCodes(languages, codes, np.zeros((DIM, 1)), np.ones(1))
+    frequency = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * DIM)
     weights, trust = [], []
     for bit in codes.T:
-        if (bit == bit[0]).all():
-            weights.append(np.zeros(DIM))
-            trust.append(1.0)
-            continue
         yes, no = frequency[bit > 0].mean(axis=0), frequency[bit < 0].mean(axis=0)
         ratio = np.log(yes) - np.log(no)
         weights.append(ratio)
         trust.append(float(((yes - no) * ratio).sum()))
-    trust_of = np.array(trust or [1.0])
-    return LanguageCodes(languages, codes, np.array(weights).T.astype(np.float64) if weights else np.zeros((DIM, 1)), trust_of / trust_of.mean())
+    trust_of = np.array(trust)
+    return LanguageCodes(languages, codes, np.array(weights).T, trust_of / trust_of.mean())
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageCodes:

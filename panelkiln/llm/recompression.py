@@ -317,11 +317,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     parts = max(shuffle_partitions(spark), -(-int(size) // SHARD_BYTES))
-    source = docs.select(F.struct(*carried).alias("carry"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int").alias("shard"), text.alias("text"))
+    packs = [f"_c{k}" for k in range(len(carried))]  # names that no column of a table has
+    source = docs.select(*[F.col(c).alias(p) for c, p in zip(carried, packs)], F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int").alias("shard"), text.alias("text"))
     shared = _meet(_reveal(source, parts), parts, repeated=True)
-    carry_type = source.schema["carry"].dataType
+    carry_schema = [T.StructField(p, source.schema[p].dataType) for p in packs]
     kept = T.StructField("kept", T.StringType())
-    done_schema = [T.StructField("carry", carry_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), kept]
+    done_schema = [*carry_schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), kept]
     rest_schema = [T.StructField("shard", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("ranges", T.BinaryType())]
     cell_schema = [T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _CELL_NAMES[1:]]]
     judged_schema = T.StructType([*done_schema, *rest_schema, *cell_schema])
@@ -336,7 +337,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def judge(left, right):
         """Finished rows of documents without a candidate window, the others with theirs,
         and the cells of all candidate windows."""
-        types = {"carry": left["carry"].type, "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "shard": pa.int32(), "text": pa.string(), "ranges": pa.binary(), "bucket": pa.int32()} | {c: pa.binary() for c in _CELL_NAMES[1:]}
+        types = {p: left[p].type for p in packs} | {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "shard": pa.int32(), "text": pa.string(), "ranges": pa.binary(), "bucket": pa.int32()} | {c: pa.binary() for c in _CELL_NAMES[1:]}
         known, texts, out = _shard_hashes(right), _bytes(left["text"]), []
         windows = []
         for a, b in _chunks(texts):
@@ -348,14 +349,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             clean, open_ = np.nonzero(~has)[0], np.nonzero(has)[0]
             if len(clean):
                 ends = [finish(texts[a + k] if as_text else b" ".join(texts[a + k].split())) for k in clean.tolist()]
-                rows = {"carry": left["carry"].take(pa.array(clean + a)), "n_words": pa.array(words.count[clean]), "n_removed": pa.array(np.zeros(len(clean), dtype=np.int64)), "kept": pa.array(ends, pa.string())}
+                rows = {p: left[p].take(pa.array(clean + a)) for p in packs} | {"n_words": pa.array(words.count[clean]), "n_removed": pa.array(np.zeros(len(clean), dtype=np.int64)), "kept": pa.array(ends, pa.string())}
                 out.append(table_of(rows, len(clean), types))
             if len(open_):
                 packed = []
                 split = np.searchsorted(at, np.stack((words.first[open_], words.first[open_ + 1])))
                 for k, (x, y) in zip(open_.tolist(), split.T.tolist()):
                     packed.append(np.stack(_ranges(at[x:y] - words.first[k])).astype("<i8").tobytes())
-                rows = {"carry": left["carry"].take(pa.array(open_ + a)), "shard": left["shard"].slice(0, 1).take(pa.array([0] * len(open_))), "text": left["text"].take(pa.array(open_ + a)), "ranges": pa.array(packed, pa.binary())}
+                rows = {p: left[p].take(pa.array(open_ + a)) for p in packs} | {"shard": left["shard"].slice(0, 1).take(pa.array([0] * len(open_))), "text": left["text"].take(pa.array(open_ + a)), "ranges": pa.array(packed, pa.binary())}
                 out.append(table_of(rows, len(open_), types))
         hashes = np.concatenate(windows or [np.empty(0, dtype=U)])
         if len(hashes):
@@ -388,12 +389,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ends.append(finish(_without(words, k, flags, as_text)))
                 removed.append(int(flags[words.first[k] : words.first[k + 1]].sum()))
             total += words.count.tolist()
-        return pa.table([left["carry"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(ends, pa.string())], names=["carry", "n_words", "n_removed", "kept"])
+        columns = [*[left[p] for p in packs], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(ends, pa.string())]
+        return pa.table(columns, names=[*packs, "n_words", "n_removed", "kept"])
 
-    pending = judged.where("ranges is not null").select("carry", "shard", "text", "ranges")
+    pending = judged.where("ranges is not null").select(*packs, "shard", "text", "ranges")
     settled = pending.groupBy("shard").cogroup(unique.groupBy("shard")).applyInArrow(settle, T.StructType(done_schema))
-    done = judged.where("n_words is not null").select("carry", "n_words", "n_removed", "kept")
-    return done.unionByName(settled).select("carry.*", "n_words", "n_removed", F.col("kept").alias("kept_text" if as_text else "kept_sha256"))
+    done = judged.where("n_words is not null").select(*packs, "n_words", "n_removed", "kept")
+    named = [F.col(p).alias(c) for c, p in zip(carried, packs)]
+    return done.unionByName(settled).select(*named, "n_words", "n_removed", F.col("kept").alias("kept_text" if as_text else "kept_sha256"))
 
 
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
