@@ -24,6 +24,7 @@ import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,15 @@ class Pieces:
     unknown: int
     shown: list  # bytes of each id when decoded
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
 
+    @cached_property
+    def floor(self) -> float:
+        """The score of a character that is no piece."""
+        return min((s for _, s in self.pieces.values()), default=0.0) - 10.0
+
     def alone(self) -> str:
         """Control characters that stand alone: in no piece of several characters."""
         used = {c for p in self.pieces if len(p) > 1 for c in p}
@@ -135,7 +141,7 @@ def _merge(word: str, table: Pieces) -> list[int]:
 
 
 def _viterbi(word: str, table: Pieces) -> list[int]:
-    n, longest, low = len(word), table.longest, min((s for _, s in table.pieces.values()), default=0.0) - 10.0
+    n, longest, low = len(word), table.longest, table.floor
     best: list = [(0.0, None)] + [None] * n
     for stop in range(1, n + 1):
         for start in range(max(0, stop - longest), stop):
@@ -218,7 +224,7 @@ def _merge_fold(word: Column, n: Column, edges: Column, table: Pieces) -> Column
 
 
 def _viterbi_fold(word: Column, n: Column, edges: Column, table: Pieces) -> Column:
-    low = min((s for _, s in table.pieces.values()), default=0.0) - 10.0
+    low = table.floor
     empty = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
 
     def step(state: Column, stop: Column) -> Column:
