@@ -47,7 +47,8 @@ AROUND = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert
     popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs header masthead
     footer comment comments commentlist respond disqus replies reply share sharing social related recommended recommendations widget widgets pagination pager
-    toolbar login search hidden skip""".split()
+    toolbar login search hidden skip discussion responses feedback advertorial announcement announcements teaser teasers colophon topbar billboard
+    leaderboard skyscraper trending""".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
