@@ -214,6 +214,7 @@ def links(nodes: DataFrame, radius: int, least: float = 0.0, leaf: int = 512) ->
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     grouped = (
         dealt.select("table", "key", low.alias("i"), high.alias("j"), (F.col("mine") == low).alias("tree"), entry.alias("entry"))
+        .repartition("table", "key", "i", "j")  # else the join's partitioning keeps all blocks of a hot key in one task
         .groupBy("table", "key", "i", "j")
         .agg(F.collect_list(F.when(F.col("tree"), F.col("entry"))).alias("trees"), F.collect_list(F.when(~F.col("tree"), F.col("entry"))).alias("asks"))
         .select((F.col("i") == F.col("j")).alias("same"), "trees", "asks")
