@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .shared import shuffle_partitions, written
 
 WINDOW, COVER, ROUNDS, MAX_SYMBOL, MAX_RUN = 35, 12, 3, 4, 2
-SHARD_BYTES, CHUNK_BYTES = 8 << 20, 4 << 20
+SHARD_BYTES, CHUNK_BYTES, FLUSH = 8 << 20, 1 << 20, 500_000
 U = np.uint64
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 _Q_INVERSE = U(pow(int(_Q), -1, 1 << 64))
@@ -159,6 +160,34 @@ def _bytes(column) -> list[bytes]:
     return [x if x is not None else b"" for x in binary.to_pylist()]
 
 
+def _in_blobs(rows: DataFrame) -> DataFrame:
+    """(shard, blob): the rows of a shard in one Arrow batch, as a zstd-compressed stream.
+    Texts travel at half the size that the shuffle's own codec gives."""
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            shard = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+            order = np.argsort(shard, kind="stable")
+            cuts = np.append(np.nonzero(np.append(True, np.diff(shard[order]) != 0))[0], len(order)) if len(order) else []
+            shards, blobs = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(batch.take(pa.array(order[a:b])))
+                shards.append(int(shard[order[a]]))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    return rows.mapInArrow(run, "shard int, blob binary")
+
+
+def _from_blobs(table: pa.Table) -> pa.Table | None:
+    """The rows of _in_blobs; None for no blob."""
+    parts = [pa.ipc.open_stream(b).read_all() for b in table["blob"].to_pylist()]
+    return pa.concat_tables(parts) if parts else None
+
+
 def _chunks(texts: list[bytes]):
     """Row ranges of about CHUNK_BYTES."""
     first, size = 0, 0
@@ -240,15 +269,17 @@ def _reveal(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, shards = _bytes(batch.column(1)), batch.column(0).to_numpy()
-            found, of = [], []
+            found, of, n = [], [], 0
             for a, b in _chunks(texts):
                 words = Words(texts[a:b])
                 h, begin, _ = words.anchors()
                 found.append(h)
                 of.append(shards[a:b][words.doc[begin]])
-            if sum(map(len, found)):
-                for columns in _to_buckets(np.concatenate(found), np.concatenate(of), buckets, 1, True):
-                    yield pa.RecordBatch.from_arrays(columns, _CELL_NAMES)
+                n += len(h)
+                if n and (n >= FLUSH or b == len(texts)):
+                    for columns in _to_buckets(np.concatenate(found), np.concatenate(of), buckets, 1, True):
+                        yield pa.RecordBatch.from_arrays(columns, _CELL_NAMES)
+                    found, of, n = [], [], 0
 
     return docs.select("shard", "text").mapInArrow(run, CELL)
 
@@ -327,6 +358,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cell_schema = [T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _CELL_NAMES[1:]]]
     judged_schema = T.StructType([*done_schema, *rest_schema, *cell_schema])
     names = [f.name for f in judged_schema]
+    judged_type, done_type = to_arrow_schema(judged_schema), to_arrow_schema(T.StructType(done_schema))
 
     def finish(data: bytes) -> str:
         return data.decode("utf-8", "replace") if as_text else hashlib.sha256(data).hexdigest()
@@ -337,6 +369,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def judge(left, right):
         """Finished rows of documents without a candidate window, the others with theirs,
         and the cells of all candidate windows."""
+        left = _from_blobs(left)
+        if left is None:
+            return judged_type.empty_table()
         types = {p: left[p].type for p in packs} | {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "shard": pa.int32(), "text": pa.string(), "ranges": pa.binary(), "bucket": pa.int32()} | {c: pa.binary() for c in _CELL_NAMES[1:]}
         known, texts, out = _shard_hashes(right), _bytes(left["text"]), []
         windows = []
@@ -366,11 +401,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out.append(table_of(rows, len(columns[0]), types))
         return pa.concat_tables(out) if out else table_of({}, 0, types)
 
-    judged = written(source.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(judge, judged_schema), "judged")
+    judged = written(_in_blobs(source).groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(judge, judged_schema), "judged")
     cells = judged.where("bucket is not null").select(*_CELL_NAMES)
     unique = _meet(cells, parts, repeated=False)
 
     def settle(left, right):
+        left = _from_blobs(left)
+        if left is None:
+            return done_type.empty_table()
         once, texts = _shard_hashes(right), _bytes(left["text"])
         ranges, ends, total, removed = left["ranges"].to_pylist(), [], [], []
         for a, b in _chunks(texts):
@@ -393,7 +431,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table(columns, names=[*packs, "n_words", "n_removed", "kept"])
 
     pending = judged.where("ranges is not null").select(*packs, "shard", "text", "ranges")
-    settled = pending.groupBy("shard").cogroup(unique.groupBy("shard")).applyInArrow(settle, T.StructType(done_schema))
+    settled = _in_blobs(pending).groupBy("shard").cogroup(unique.groupBy("shard")).applyInArrow(settle, T.StructType(done_schema))
     done = judged.where("n_words is not null").select(*packs, "n_words", "n_removed", "kept")
     named = [F.col(p).alias(c) for c, p in zip(carried, packs)]
     return done.unionByName(settled).select(*named, "n_words", "n_removed", F.col("kept").alias("kept_text" if as_text else "kept_sha256"))

@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Lineage ends there: a lost executor costs a re-read, not a re-run."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
