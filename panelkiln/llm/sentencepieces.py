@@ -20,6 +20,7 @@ of merges (or Viterbi) in the task that meets them.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import Counter
@@ -36,7 +37,7 @@ from .shared import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_WORDS, MIN_COUNT, MAX_LENGTH = 500_000, 8, 32
+MAX_WORDS, MIN_COUNT, MAX_LENGTH = 300_000, 8, 32
 MEMO = 100_000  # words a task remembers besides
 
 
@@ -280,16 +281,33 @@ def dictionary(docs: DataFrame, table: Pieces, text_col: str = "text", max_words
     return lattice(frequent.select("word"), table)
 
 
-def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (default: the id) and ids, the piece ids of the whole text.
-    Null and empty texts have no pieces."""
+def _lists(blobs: list[bytes], shown: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter((len(b) // 4 for b in blobs), dtype=np.int64, count=len(blobs))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
+
+
+def _text(ids: list[int], shown: list[bytes]) -> str:
+    """The text of ids; those outside the table give nothing."""
+    return b"".join([shown[i] for i in ids if i is not None and 0 <= i < len(shown)]).removeprefix(b" ").decode("utf-8", "replace")
+
+
+def _decoded_sha256(blobs: list[bytes], shown: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(_text(np.frombuffer(b, dtype=np.int32).tolist(), shown).encode()).hexdigest() for b in blobs], pa.string())
+
+
+def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, carry: list[str] | None = None, outputs=("ids",)) -> DataFrame:
+    """``carry`` (default: the id) and ``outputs``: ids (the piece ids of the whole text),
+    n_pieces, ids_sha256 (of the ids as 4-byte little-endian integers), decoded_sha256 (of
+    the text that the ids decode to).  Null and empty texts have no pieces."""
     spark = docs.sparkSession
     known = written(dictionary(docs, table, text_col, max_words), "dictionary").toArrow()
     ids = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
     sizes = np.diff(np.asarray(ids.offsets)) if known.num_rows else np.empty(0, np.int64)
     shared = spark.sparkContext.broadcast(("\x00".join(known["word"].to_pylist()), sizes.astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32), table))
     carried = list(carry or [id_col])
-    schema = T.StructType([*docs.select(*carried).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    schema = T.StructType([*docs.select(*carried).schema.fields, *[T.StructField(o, kinds[o]) for o in outputs]])
+    make = {"ids": _lists, "n_pieces": lambda blobs, shown: pa.array([len(b) // 4 for b in blobs], pa.int64()), "ids_sha256": lambda blobs, shown: pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()), "decoded_sha256": _decoded_sha256}
 
     def run(batches):
         joined, lengths, flat, pieces = shared.value
@@ -312,10 +330,7 @@ def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str
             blobs = []
             for text in batch.column(batch.num_columns - 1):
                 blobs.append(b"".join([book.get(w) or rare(w) for w in words_of(text.as_py(), pattern)]))
-            offsets = np.concatenate(([0], np.cumsum(np.fromiter((len(b) // 4 for b in blobs), dtype=np.int64, count=len(blobs))))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*carried, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[make[o](blobs, pieces.shown) for o in outputs]], [*carried, *outputs])
 
     return docs.select(*carried, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
@@ -330,21 +345,17 @@ def decode(encoded: DataFrame, table: Pieces, ids_col: str = "ids", into: str =
     def run(batches):
         shown = shared.value
         for batch in batches:
-            texts = []
-            for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist():
-                data = b"".join([shown[i] for i in ids if i is not None and 0 <= i < len(shown)]) if ids is not None else None
-                texts.append(None if data is None else data.removeprefix(b" ").decode("utf-8", "replace"))
+            texts = [None if ids is None else _text(ids, shown) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, into])
 
     return encoded.select(*names).mapInArrow(run, schema)
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids joined by a space), decoded_sha256 (of the
-    decoded text: that of the text itself, with U+2581 as a space), round_trip."""
+    """doc_id, n_pieces, ids_sha256, decoded_sha256 (that of the text itself, with U+2581 as
+    a space), round_trip."""
     table = load(model)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     with_sha = docs.withColumn("want", F.sha2(F.translate("text", SPACE, " "), 256))
-    back = decode(encode(with_sha, table, carry=["doc_id", "want"]), table)
-    got = F.sha2("decoded", 256)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), got.alias("decoded_sha256"), (got == F.col("want")).alias("round_trip"))
+    coded = encode(with_sha, table, carry=["doc_id", "want"], outputs=("n_pieces", "ids_sha256", "decoded_sha256"))
+    return coded.select("doc_id", "n_pieces", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("want")).alias("round_trip"))

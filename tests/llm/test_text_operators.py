@@ -265,6 +265,14 @@ def test_pieces_equal_the_library(spark, documents):
             assert r.ids == sp.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " ")
 
 
+def test_piece_digests(spark):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in sentencepieces.op10_piece_lattice(spark, SF).collect():
+        ids = sp.encode(texts[r.doc_id])
+        assert r.n_pieces == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest() and r.round_trip
+
+
 def test_lattice_folds(spark):
     words = ["▁banana", "▁ban", "ana", "▁zzz", "é", "▁aaaaaaaa"]
     rng = random.Random(4)
