@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,21 @@ from .. import config
 from ..functions import names as N
 
 
+def _length_pairs(s: DataFrame, t: DataFrame, a: str, b: str, floor: float) -> DataFrame:
+    """Pairs of rows whose texts ``a`` and ``b`` may have a similarity of ``floor``: lengths
+    apart by no more than it allows.  An equi-join on length class (such lengths are in the
+    same class or the next) and block: rows of ``s`` are dealt to blocks, those of ``t`` go
+    to every block, so that no class is one task and no table is broadcast."""
+    width = log(max(1 / floor, 1.1)) * 1.001
+    blocks = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    length_class = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / width).cast("int")
+    dealt = s.withColumns({"_class": length_class(a), "_block": F.pmod(F.xxhash64(a), F.lit(blocks)).cast("int")})
+    near = t.withColumn("_c", length_class(b)).withColumn("_class", F.explode(F.sequence(F.col("_c") - 1, F.col("_c") + 1))).drop("_c")
+    copies = near.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    la, lb = F.length(a), F.length(b)
+    return dealt.hint("shuffle_hash").join(copies, ["_class", "_block"]).where(F.abs(la - lb) <= (1 - floor) * F.greatest(la, lb)).drop("_class", "_block")
+
+
 def build_name_mapping(source: DataFrame, target: DataFrame, threshold: float = 0.75, variations: DataFrame | None = None, name: str = "name", order: str | None = None, block=(), below: bool = False) -> DataFrame:
     """J-10: (source_name, mapped_name, confidence, method) per distinct source name.
 
@@ -103,14 +119,16 @@ def match_players(source: DataFrame, target: DataFrame, threshold: float = 0.40,
     five = stage(by_name, 5, F.lit(config.TRANSFER))
     early = one.unionByName(two).unionByName(three)
     open_ = s.join(early.select("player_id").distinct(), "player_id", "left_anti")
-    # a similar name in any team: lengths prune the pairs, the target list is a dimension
+    # a similar name in any team: each pair of distinct names once, a name stands for its first target
     floor = max(threshold, config.OTHER_TEAM_FLOOR)
-    wide = open_.join(F.broadcast(t), F.abs(F.length("sn") - F.length("tn")) <= (1 - floor) * F.greatest(F.length("sn"), F.length("tn"))).withColumn("score", N.similarity(F.col("sn"), F.col("tn")))
-    four = stage(wide.where((F.col("score") >= floor) & same_position), 4, F.col("score") * config.OTHER_TEAM_FACTOR)
+    firsts = t.groupBy("tn", "tp").agg(F.min(F.struct("o", "target_id")).alias("first"))
+    pairs = _length_pairs(open_.select("sn", "sp").distinct(), firsts, "sn", "tn", floor).withColumn("score", N.similarity(F.col("sn"), F.col("tn")))
+    close = pairs.where((F.col("score") >= floor) & same_position).select(F.col("sn").alias("_sn"), F.col("sp").alias("_sp"), "score", "first.o", "first.target_id")
+    four = stage(open_.join(close, (F.col("sn") == F.col("_sn")) & F.col("sp").eqNullSafe(F.col("_sp"))), 4, F.col("score") * config.OTHER_TEAM_FACTOR)
     every = early.unionByName(four).unionByName(five)
     pick = Window.partitionBy("player_id").orderBy("stage", F.desc("confidence"), "o", "target_id")
     won = every.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select("player_id", "target_id", "stage", "confidence")
-    score = wide.groupBy("player_id").agg(F.max("score").alias("best_score"))
+    score = open_.join(pairs.groupBy("sn").agg(F.max("score").alias("score")), "sn").groupBy("player_id").agg(F.max("score").alias("best_score"))
     return s.select("player_id", "player_name").join(won, "player_id", "left").join(score, "player_id", "left").select("player_id", "player_name", "target_id", "stage", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -147,10 +148,12 @@ def j12(spark, sf):
     return resolve.build_crosswalk(s, t.select(F.col("o").alias("id"), F.col("name").alias("web_name")))
 
 
-def _players(spark, sf):
-    """Parts as players: equal names, some cut, brands as teams, types as positions."""
+def _players(spark, sf, every=False):
+    """Parts as players: equal names, some cut, brands as teams, types as positions; the
+    parts of the SQL (every fifth up to 2000), or every part."""
     p = table(spark, sf, "part")
-    t = p.select(F.col("p_partkey").alias("target_id"), F.concat_ws(" ", "p_name", "p_type").alias("target_name"), F.col("p_brand").alias("target_team"), F.substring("p_type", 1, 1).alias("target_position")).where("target_id % 5 = 0 and target_id <= 2000")
+    t = p.select(F.col("p_partkey").alias("target_id"), F.concat_ws(" ", "p_name", "p_type").alias("target_name"), F.col("p_brand").alias("target_team"), F.substring("p_type", 1, 1).alias("target_position"))
+    t = t if every else t.where("target_id % 5 = 0 and target_id <= 2000")
     name = F.when(F.col("target_id") % 2 == 0, F.col("target_name")).otherwise(F.expr("substring(target_name, 1, length(target_name) - 1)"))
     s = t.select(F.col("target_id").alias("player_id"), name.alias("player_name"), F.when(F.col("target_id") % 3 == 0, F.lit("other")).otherwise(F.col("target_team")).alias("team"), F.col("target_position").alias("position"))
     return s, t
@@ -169,21 +172,21 @@ w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY stag
 
 
 @query("j13_staged_player_match", f"WITH {_PLAYERS} SELECT s.pid AS player_id, w.id AS target_id, stage, CAST(round(coalesce(c, 0), 6) AS DOUBLE) AS confidence FROM s LEFT JOIN w ON w.pid = s.pid")
-def j13(spark, sf):
-    s, t = _players(spark, sf)
+def j13(spark, sf, every=False):
+    s, t = _players(spark, sf, every)
     return rounded(resolve.match_players(s, t).select("player_id", "target_id", "stage", "confidence"))
 
 
 @query("j15_manual_overrides", f"WITH {_PLAYERS} SELECT s.pid AS player_id, CASE WHEN s.pid % 50 = 0 THEN 7 ELSE w.id END AS target_id, CAST(CASE WHEN s.pid % 50 = 0 THEN 1.0 ELSE round(coalesce(c, 0), 6) END AS DOUBLE) AS confidence FROM s LEFT JOIN w ON w.pid = s.pid")
-def j15(spark, sf):
-    s, t = _players(spark, sf)
+def j15(spark, sf, every=False):
+    s, t = _players(spark, sf, every)
     o = s.where("player_id % 50 = 0").select(F.lit("2024-25").alias("season"), F.col("player_id").alias("source_id"), F.lit(7).cast("long").alias("target_id"))
     return rounded(resolve.with_overrides(resolve.match_players(s, t), o, "2024-25").select("player_id", "target_id", "confidence"))
 
 
 @query("j14_season_player_mapping", f"WITH {_PLAYERS}, b AS (SELECT * FROM (SELECT pid, id, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, pid) AS z FROM w) WHERE z = 1) SELECT t2.id AS player_id, b.pid AS other_id, CAST(round(coalesce(b.c, 0), 6) AS DOUBLE) AS confidence_score, coalesce(b.c, 0) < 0.85 AS requires_manual_review, CASE WHEN coalesce(b.c, 0) >= 1 THEN 'exact' WHEN b.c > 0 THEN 'fuzzy' ELSE 'manual' END AS source FROM t2 LEFT JOIN b ON b.id = t2.id")
-def j14(spark, sf):
-    s, t = _players(spark, sf)
+def j14(spark, sf, every=False):
+    s, t = _players(spark, sf, every)
     base = t.select(F.col("target_id").alias("player_id"), F.col("target_name").alias("player_name"), F.col("target_team").alias("team"), F.col("target_position").alias("position"))
     d = resolve.season_player_mapping(base, {"other": s}, "2024-25")
     return rounded(d.select("player_id", "other_id", "confidence_score", "requires_manual_review", "source"))
@@ -348,11 +351,16 @@ def t5(spark, sf):
 
 
 @query("t6_unmatched_sample", f"WITH {_PLAYERS} SELECT s.pid AS player_id FROM s LEFT JOIN w ON w.pid = s.pid WHERE w.id IS NULL ORDER BY 1 LIMIT 10")
-def t6(spark, sf):
-    s, t = _players(spark, sf)
+def t6(spark, sf, every=False):
+    s, t = _players(spark, sf, every)
     return resolve.match_players(s, t).where("target_id is null").orderBy("player_id").select("player_id").limit(10)
 
 
+# over every part; without SQL, as the SQL of these four is of a part of the table
+for _name, _f in (("j13_staged_player_match", j13), ("j14_season_player_mapping", j14), ("j15_manual_overrides", j15), ("t6_unmatched_sample", t6)):
+    QUERIES[f"{_name}_all"] = partial(_f, every=True)
+
+
 # --- storage
 
 

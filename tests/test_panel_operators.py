@@ -160,6 +160,17 @@ def test_staged_match(spark):
     assert m[1] == (101, 1, 1.0) and m[2] == (102, 1, 1.0) and m[3] == (103, 4, 0.63) and m[4][0] is None and m[4][2] == 0.0
 
 
+def test_staged_match_ships_no_table_whole(spark):
+    s = spark.createDataFrame([(k, f"Name {'a' * k}", "A", "MID") for k in range(1, 30)], "player_id long, player_name string, team string, position string")
+    t = spark.createDataFrame([(k, f"Mane {'a' * k}", "B", "FWD" if k % 2 else "MID") for k in range(1, 30)], "target_id long, target_name string, target_team string, target_position string")
+    d = resolve.match_players(s, t)
+    assert "BroadcastNestedLoopJoin" not in d._jdf.queryExecution().executedPlan().toString()
+    pairs = s.crossJoin(t).withColumn("score", N.similarity(F.lower("player_name"), F.lower("target_name")))
+    best = {r.player_id: r for r in pairs.groupBy("player_id").agg(F.max("score").alias("any"), F.max(F.when(F.col("position") == F.col("target_position"), F.col("score"))).alias("same")).collect()}
+    for r in d.collect():
+        assert r.best_score == best[r.player_id].any and r.stage == 4 and abs(r.confidence - 0.7 * best[r.player_id].same) < 1e-9
+
+
 def test_three_source_matches(spark):
     s = "season string, home_team_id long, away_team_id long, match_id long, match_date string, home_score long, away_score long"
     a = spark.createDataFrame([("x", 1, 2, 10, None, 1, 0), ("x", 3, 4, 11, None, None, None)], s)
