@@ -12,9 +12,10 @@ the set of fingerprints that agree on a key.  Two kinds of key:
 ``blocks``   the fingerprint is cut into ``radius + 2`` blocks and the key is a pair
              of blocks.  Two fingerprints within the radius agree on at least two
              blocks (pigeonhole), so no link is lost.
-``minhash``  for wide radii: eight min-wise hashes of the shingle set.  Sets with a
+``minhash``  for a similarity: eight min-wise hashes of the shingle set.  Sets with a
              Jaccard similarity of 0.8 agree on one of them but for 0.2**8 = 3e-6.
-             A candidate within the radius is confirmed by 64 min-wise hashes.
+             Pairs that agree on ``LOOSE`` of 64 more (3e-6 of those at 0.8 do not) are
+             candidates, and a link is a candidate whose shingle sets have the similarity.
 
 A shard above ``leaf`` members is dealt out as blocks and every pair of blocks is
 searched, each in a task of at most ``2 * leaf`` rows, so that a hot key is neither
@@ -38,6 +39,7 @@ from .shared import written
 
 SEED = 42
 N_KEYS, N_SIGNS = 8, 64
+LOOSE = 0.25  # below the similarity: five standard deviations of the estimate
 _rng = np.random.default_rng(20240229)
 _ODD = (_rng.integers(0, 2**63, N_KEYS + N_SIGNS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -88,12 +90,13 @@ FINGERPRINT = "row_id long, fp long"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, signs: bool = False) -> DataFrame:
-    """(row_id, fp[, keys, signs]) per document.  Null, empty and all-space texts have
-    fingerprint zero, texts below ``shingle`` words are one shingle."""
+    """(row_id, fp[, keys, signs, node, row]) per document.  Null, empty and all-space texts
+    have fingerprint zero, texts below ``shingle`` words are one shingle.  ``node`` is a hash
+    of the shingle set, ``row`` of id and text."""
 
     def run(batches):
         for batch in batches:
-            ids, fps, keys, rest = batch.column(0), [], [], []
+            ids, fps, keys, rest, nodes = batch.column(0), [], [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), shingle)
                 fps.append(_signed(simhash64(h)))
@@ -101,15 +104,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     best = _signature(h)
                     keys.append(best[:N_KEYS].view(np.int64))
                     rest.append((best[N_KEYS:] >> np.uint64(32)).astype("<u4").tobytes())
+                    nodes.append(_signed(xxhash.xxh64_intdigest(_set(h), SEED)))
             columns = [ids, pa.array(fps, pa.int64())]
             names = ["row_id", "fp"]
             if signs:
-                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(rest, pa.binary())]
-                names += ["keys", "signs"]
+                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(nodes, pa.int64()), batch.column(2)]
+                names += ["keys", "signs", "node", "row"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = FINGERPRINT + (", keys array<long>, signs binary" if signs else "")
-    return docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = FINGERPRINT + (", keys array<long>, signs binary, node long, row long" if signs else "")
+    return docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), _row(id_col, text_col).alias("row")).mapInArrow(run, schema)
+
+
+def _row(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.lit("text"), F.col(text_col).cast("string"))
+
+
+def _set(hashes: np.ndarray) -> bytes:
+    """The shingle set: distinct hashes in ascending order."""
+    return np.unique(hashes.astype("<u8")).tobytes()
+
+
+def _sets(picked: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of rows (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return picked.select("node", "text").mapInArrow(run, "node long, set binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending arrays of distinct values have the Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 class BKTree:
@@ -150,29 +182,18 @@ class BKTree:
                     stack.append(child)
 
 
-def _forest(trees: list, asks: list, same: bool, radius: int, least: float) -> list[tuple[int, int]]:
+def _forest(trees: list, asks: list, same: bool, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks (or within one).
-    Members are (node, fp, signs); signs are compared if ``least`` is above 0."""
+    Members are (node, fp)."""
     members = trees if same else trees + asks
-    parent = list(range(len(members)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    signs = [np.frombuffer(m[2], dtype="<u4") for m in members] if least > 0 else None
+    find, join = _union_find(len(members))
     tree, mask, out = BKTree(), (1 << 64) - 1, []
 
     def ask(i: int) -> None:
         mine = find(i)
         for j in tree.search(members[i][1] & mask, radius):
-            other = find(j)
-            if other == mine or (signs is not None and (signs[i] == signs[j]).mean() < least):
-                continue
-            parent[other] = mine
-            out.append((members[i][0], members[j][0]))
+            if join(mine, j):
+                out.append((members[i][0], members[j][0]))
 
     for i in range(len(trees)):
         if same:
@@ -184,15 +205,56 @@ def _forest(trees: list, asks: list, same: bool, radius: int, least: float) -> l
     return out
 
 
-def _search(blocks: DataFrame, radius: int, least: float) -> DataFrame:
+def _similar_forest(trees: list, asks: list, same: bool, least: float, similarity: float) -> list[tuple[int, int]]:
+    """As ``_forest``, for links by signs (node, signs, None) that agree in ``least``, or by
+    sets (node, signs, set): then only links that the sets confirm join anything."""
+    members = trees if same else trees + asks
+    find, join = _union_find(len(members))
+    signs = np.frombuffer(b"".join([m[1] for m in members]), dtype="<u4").reshape(-1, N_SIGNS)
+    sets = [None if m[2] is None else np.frombuffer(m[2], dtype="<u8") for m in members]
+    out = []
+    for i in range(1 if same else len(trees), len(members)):
+        mine = find(i)
+        agree = (signs[: i if same else len(trees)] == signs[i]).sum(axis=1)
+        for j in np.nonzero(agree >= least * N_SIGNS)[0].tolist():
+            if find(j) != mine and (sets[i] is None or similar(sets[i], sets[j], similarity)):
+                join(mine, j)
+                out.append((members[i][0], members[j][0]))
+    return out
+
+
+def _union_find(n: int):
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(root: int, x: int) -> bool:
+        other = find(x)
+        parent[other] = root
+        return other != root
+
+    return find, join
+
+
+def _search(blocks: DataFrame, radius: int, least: float, similarity: float) -> DataFrame:
     """blocks: one row per pair of blocks, with arrays ``trees`` and ``asks``."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for same, trees, asks in zip(batch.column("same").to_pylist(), batch.column("trees").to_pylist(), batch.column("asks").to_pylist()):
-                rows = lambda part: [(x["node"], x["fp"], x["signs"]) for x in part]
-                for x, y in _forest(rows(trees), rows(asks), same, radius, least):
+            for k in range(batch.num_rows):
+                same, trees, asks = (batch.column(c)[k].as_py() for c in ("same", "trees", "asks"))
+                if least > 0:
+                    rows = lambda part: [(x["node"], x["signs"], x["set"]) for x in part]
+                    found = _similar_forest(rows(trees), rows(asks), same, least, similarity)
+                else:
+                    rows = lambda part: [(x["node"], x["fp"]) for x in part]
+                    found = _forest(rows(trees), rows(asks), same, radius)
+                for x, y in found:
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -200,17 +262,18 @@ def _search(blocks: DataFrame, radius: int, least: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, radius: int, least: float = 0.0, leaf: int = 512) -> DataFrame:
+def links(nodes: DataFrame, radius: int, least: float = 0.0, leaf: int = 512, similarity: float = 0.0) -> DataFrame:
     """Spanning links (a, b) between nodes.  ``nodes`` has node, fp, keys (the shards it
-    belongs to) and signs.  Shards of one member are dropped before anything else."""
-    keyed = nodes.select("node", "fp", "signs", F.posexplode("keys").alias("table", "key"))
+    belongs to), signs and, to confirm by, set.  Shards of one member are dropped before anything else."""
+    nodes = nodes if "set" in nodes.columns else nodes.withColumn("set", F.lit(None).cast("binary"))
+    keyed = nodes.select("node", "fp", "signs", "set", F.posexplode("keys").alias("table", "key"))
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = keyed.join(sizes, ["table", "key"]).withColumn("parts", F.ceil(F.col("n") / leaf).cast("int"))
     mine = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
     dealt = members.withColumn("mine", mine).select(
-        "table", "key", "node", "fp", "signs", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        "table", "key", "node", "fp", "signs", "set", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     )
-    entry = F.struct("node", "fp", "signs")
+    entry = F.struct("node", "fp", "signs", "set")
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     grouped = (
         dealt.select("table", "key", low.alias("i"), high.alias("j"), (F.col("mine") == low).alias("tree"), entry.alias("entry"))
@@ -219,7 +282,7 @@ def links(nodes: DataFrame, radius: int, least: float = 0.0, leaf: int = 512) ->
         .agg(F.collect_list(F.when(F.col("tree"), F.col("entry"))).alias("trees"), F.collect_list(F.when(~F.col("tree"), F.col("entry"))).alias("asks"))
         .select((F.col("i") == F.col("j")).alias("same"), "trees", "asks")
     )
-    return _search(grouped, radius, least)
+    return _search(grouped, radius, least, similarity)
 
 
 def _block_keys(radius: int):
@@ -236,25 +299,28 @@ def near_duplicates(
     """(row_id, fp, component_id) per document; component_id is the least id reachable.
 
     With ``similarity`` None links are exactly the fingerprint pairs within ``radius``
-    (shards by blocks).  With a similarity, shards are by min-wise hashes and a pair
-    within the radius is a link if its estimated Jaccard similarity reaches it, less one
-    standard deviation of the estimate, so that pairs at the threshold are mostly kept.
+    (shards by blocks).  With a similarity, links are the pairs whose shingle sets have that
+    Jaccard similarity or more (``radius`` is not used: it would lose some).  Shards and
+    candidates are by min-wise hashes; the sets of all nodes with a candidate are then
+    compared in the shards, and no other link joins anything.
 
     Null ids take part in links but not in minima (a group of null ids has a null
     component).  Repeated rows share a group.  An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle, signs=similarity is not None), "fingerprints")
     if similarity is None:
-        least = 0.0
         node = F.col("fp")
         reps = fps.select("fp").distinct().select(F.col("fp").alias("node"), "fp", _block_keys(radius).alias("keys"), F.lit(None).cast("binary").alias("signs"))
+        found = written(links(reps, radius, leaf=leaf), "links")
     else:
-        least = similarity - float(np.sqrt(similarity * (1 - similarity) / N_SIGNS))
-        node = F.xxhash64("fp", "signs", "keys")
-        fps = fps.withColumn("node", node)
-        classes = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("signs").alias("signs"))
-        reps = classes
-    found = written(links(reps, radius, least, leaf), "links")
+        least, node = max(similarity - LOOSE, 1 / N_SIGNS), F.col("node")
+        reps = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("signs").alias("signs"))
+        loose = written(links(reps, radius, least, leaf), "candidates")
+        asked = written(loose.select(F.col("a").alias("node")).union(loose.select(F.col("b").alias("node"))).distinct(), "asked")
+        picked = fps.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+        texts = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")).join(picked, "row")
+        sets = written(_sets(texts, shingle).dropDuplicates(["node"]), "sets")
+        found = written(links(reps.join(sets, "node"), radius, least, leaf, similarity), "links")
     labels = connected_components(found)
     base = fps.select("row_id", "fp", node.alias("node"))
     least_ids = base.groupBy("node").agg(F.min("row_id").alias("least_id"))

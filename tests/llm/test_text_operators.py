@@ -88,6 +88,40 @@ def test_near_duplicates_by_similarity(spark):
     assert got == {i: i - i % 2 for i in range(24)}
 
 
+def test_similarity_is_exact(spark):
+    """Pairs from 0.70 to 0.90, and repeated shingles, against all pairs of sets."""
+    rng = random.Random(5)
+    texts, serial = [], iter(range(10**6))
+    fresh = lambda n: [f"u{next(serial)}" for _ in range(n)]
+    for g in range(150):
+        base = fresh(104 + g)
+        shared = round((0.70 + 0.2 * g / 150) * len(base) / (1 + 0.5 * (g % 2)))
+        texts += [base, base[:shared] + fresh(rng.randrange(0, 4) if g % 2 else len(base) // 12)]
+    for g in range(20):  # a passage that only one of the two repeats: equal sets, other counts
+        base = fresh(100)
+        texts += [base, base + base * 4]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    alike = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(texts), 2)}
+    assert 20 < sum(alike.values()) < len(alike) - 20
+    got = {r.row_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, radius=18, similarity=0.8).collect()}
+    assert got == {i: i - i % 2 if alike[i - i % 2] else i for i in range(len(texts))}
+
+
+def test_false_candidates_join_nothing():
+    """Of three candidates only a pair that the others would hide is a link."""
+    a, b, c = np.arange(1000), np.arange(150, 1150), np.arange(100, 1100)
+    sign = np.arange(64, dtype="<u4").tobytes()
+    members = [(k, sign, x.astype("<u8").tobytes()) for k, x in enumerate((np.arange(300, 1300), a, c, b))]
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    assert jaccard(a, c) >= 0.8 > jaccard(a, b) and jaccard(members_of(members, 0), a) < 0.8
+    assert sorted(simhash._similar_forest(members, [], True, 0.55, 0.8)) == [(2, 1), (3, 2)]
+
+
+def members_of(members, k):
+    return np.frombuffer(members[k][2], dtype="<u8")
+
+
 # --- multiset hash
 
 
