@@ -336,3 +336,17 @@ def test_near_dedup_stage_keeps_one(spark, documents):
     kept = stages.near_dedup(spark, documents, SF).select("doc_id").collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(1) == 1 and 2 not in ids and None in ids and {6, 7, 8, 10} <= set(ids)
+
+
+def test_near_dedup_stage_by_row(spark):
+    """Rows of one id are apart, and rows without an id are searched as well."""
+    rng = random.Random(8)
+    text = [[f"t{g}w{rng.randrange(10**6)}" for _ in range(200)] for g in range(5)]
+    near = [" ".join([*t[:-1], "other"]) for t in text]
+    text = [" ".join(t) for t in text]
+    rows = [(1, text[0]), (2, near[0]), (2, text[1]), (3, text[2]), (3, near[2]), (None, text[3]), (None, near[3]), (None, text[4]), (9, near[4])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in stages.near_dedup(spark, d, SF).collect()]
+    assert (1, text[0]) in got and (2, text[1]) in got and (2, near[0]) not in got
+    assert sum(r in got for r in rows[3:5]) == 1 and sum(r in got for r in rows[5:7]) == 1
+    assert (9, near[4]) in got and (None, text[4]) not in got and len(got) == 5
