@@ -6,16 +6,18 @@ bit, and the language whose codeword has the least weighted logistic loss wins.
 A bit's classifier is the log ratio of hashed 1- to 3-gram frequencies between the
 languages with and without the bit (languages weigh alike, whatever their number of
 documents), so training is one distributed count of n-grams by language over *all*
-labelled rows; what reaches the driver is ``languages x DIM`` counts.  A bit weighs as
+labelled rows; what reaches the driver is ``languages x DIM`` counts at most.  A bit weighs as
 much in decoding as its two sides differ.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,6 @@ from pyspark.sql import types as T
 from .shared import held_out
 
 DIM = 1 << 14
-MAX_LANGUAGES = 256  # bound of what reaches the driver; the most frequent are learned
-MIN_SHARE = 5e-4  # of labelled rows; rarer labels are taken for noise
 AMBIGUOUS_GAP = 0.2
 UNKNOWN = "und"
 _letters: np.ndarray | None = None
@@ -57,15 +57,19 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
 
 
 def codewords(n: int) -> np.ndarray:
-    """(languages, bits) of +-1: all distinct splits for few languages, else seeded
-    random splits; each bit has languages on both sides."""
+    """(languages, bits) of +-1: all distinct splits for few languages, all balanced ones
+    for 7 and 8, else 48 seeded random splits (more from 4096 languages on); each bit has
+    languages on both sides and no two languages have the same word."""
     if n < 2:
         return np.ones((n, 1), dtype=np.int8)
     if n <= 6:
         rows = np.array([[1 if (k >> i) & 1 else -1 for k in range(1, 2 ** (n - 1))] for i in range(n - 1)] + [[-1] * (2 ** (n - 1) - 1)], dtype=np.int8)
         return rows
     rng, bits = np.random.default_rng(7), []
-    while len(bits) < 48:
+    if n <= 8:
+        rows = [[1 if k in part else -1 for k in range(n)] for part in combinations(range(n), n // 2) if n % 2 or 0 in part]
+        return np.array(rows, dtype=np.int8).T
+    while len(bits) < max(48, 4 * n.bit_length()) or len({tuple(w) for w in np.array(bits).T.tolist()}) < n:
         bit = rng.permutation(np.where(np.arange(n) < n // 2, 1, -1))
         if not any(abs(int(bit @ b)) == n for b in bits):
             bits.append(bit)
@@ -108,12 +112,10 @@ def _fit(languages: list[str], counts: np.ndarray) -> LanguageCodes:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageCodes:
-    """Learn from all rows that are not held out and have a language.  Null, empty and
-    letterless texts add nothing; without labelled rows every text is unknown."""
+    """Learn every label of the rows that are not held out and have a letter, however rare.
+    Null, empty and letterless texts add nothing; without labelled rows every text is
+    unknown."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    total = sum(r["count"] for r in found)
-    languages = sorted(r["lang"] for r in found if r["count"] >= MIN_SHARE * total)
 
     def run(batches):
         sums = {}
@@ -126,8 +128,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "gram", "n"])
 
-    wanted = labelled.where(F.col("lang").isin(languages)) if languages else labelled.limit(0)
-    rows = wanted.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = labelled.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(pc.unique(rows["lang"]).to_pylist()))
     counts, place = np.zeros((len(languages), DIM)), {x: k for k, x in enumerate(languages)}
     if rows.num_rows:
         counts[np.array([place[x] for x in rows["lang"].to_pylist()]), rows["gram"].to_numpy()] = rows["n"].to_numpy()

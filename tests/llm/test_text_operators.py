@@ -162,6 +162,29 @@ def test_codewords_are_apart():
         assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= 1 and all(abs(b.sum()) < n for b in c.T)
 
 
+def test_codewords_of_all_numbers():
+    for n in range(2, 41):
+        c = langid.codewords(n).astype(int)
+        assert len({tuple(b * b[0]) for b in c.T}) == c.shape[1] and all(abs(b.sum()) < n for b in c.T)
+        assert n > 6 or c.shape[1] == 2 ** (n - 1) - 1
+        assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= 1
+
+
+def test_rare_languages_are_learned(spark):
+    """Each letterless or rare label by itself: three texts among many, and 300 languages."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    rows = [(text("abcdefg"), "aa") for _ in range(5000)] + [(text("hijklmn"), "bb") for _ in range(5000)] + [(text("αβγδεζη"), "cc") for _ in range(3)] + [("12 34", "dd")] * 9
+    d = spark.createDataFrame([(None, *r) for r in rows], "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert model.languages == ["aa", "bb", "cc"]
+    out = langid.identify(spark.createDataFrame([(text("αβγδεζη"),), (text("abcdefg"),)], "text string"), model).collect()
+    assert [r.lang_pred for r in out] == ["cc", "aa"]
+    many = spark.createDataFrame([(None, chr(0x4E00 + 3 * k) * 3 + f" {chr(0x4E01 + 3 * k)}", f"l{k:03}") for k in range(300)], "doc_id long, text string, lang string")
+    assert len(langid.train(many).languages) == 300
+
+
 def test_language_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     d = langid.op4_language_codes(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
