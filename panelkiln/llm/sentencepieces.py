@@ -303,18 +303,20 @@ def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str
     known = written(dictionary(docs, table, text_col, max_words), "dictionary").toArrow()
     ids = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
     sizes = np.diff(np.asarray(ids.offsets)) if known.num_rows else np.empty(0, np.int64)
-    shared = spark.sparkContext.broadcast(("\x00".join(known["word"].to_pylist()), sizes.astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32), table))
+    words = [w.encode("utf-8", "surrogatepass") for w in known["word"].to_pylist()]  # any character may be in a word
+    spans = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+    shared = spark.sparkContext.broadcast((b"".join(words), spans, sizes.astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32), table))
     carried = list(carry or [id_col])
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     schema = T.StructType([*docs.select(*carried).schema.fields, *[T.StructField(o, kinds[o]) for o in outputs]])
     make = {"ids": _lists, "n_pieces": lambda blobs, shown: pa.array([len(b) // 4 for b in blobs], pa.int64()), "ids_sha256": lambda blobs, shown: pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()), "decoded_sha256": _decoded_sha256}
 
     def run(batches):
-        joined, lengths, flat, pieces = shared.value
-        words, at, book = joined.split("\x00") if joined else [], 0, {}
-        for word, end in zip(words, np.cumsum(lengths, dtype=np.int64).tolist()):
-            book[word] = flat[at:end].tobytes()
-            at = end
+        joined, spans, lengths, flat, pieces = shared.value
+        start, at, book = 0, 0, {}
+        for stop, end in zip(np.cumsum(spans, dtype=np.int64).tolist(), np.cumsum(lengths, dtype=np.int64).tolist()):
+            book[joined[start:stop].decode("utf-8", "surrogatepass")] = flat[at:end].tobytes()
+            start, at = stop, end
         memo: dict = {}
         pattern = _word_pattern(pieces.alone())
 

@@ -330,6 +330,13 @@ def test_piece_digests(spark):
         assert r.n_pieces == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest() and r.round_trip
 
 
+def test_pieces_of_words_with_nul(spark):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    text = "alpha be\x00ta gamma \x00 delta\x00 " * 10 + "zulu " * 9
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert sentencepieces.encode(d, sentencepieces.load()).first().ids == sp.encode(text)
+
+
 def test_lattice_folds(spark):
     words = ["▁banana", "▁ban", "ana", "▁zzz", "é", "▁aaaaaaaa"]
     rng = random.Random(4)
