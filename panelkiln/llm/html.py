@@ -30,7 +30,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noframes noembed xmp".split())
 SKIPPED = frozenset(
-    "head script style noscript template svg math iframe object embed canvas audio video select option button textarea input form nav footer aside dialog menu title datalist".split()
+    "head script style noscript template svg iframe object embed canvas audio video select option button textarea input form nav footer aside dialog menu title datalist".split()
 )
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -50,6 +50,7 @@ AROUND = frozenset(
     toolbar login search hidden skip discussion responses feedback advertorial announcement announcements teaser teasers colophon topbar billboard
     leaderboard skyscraper trending""".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -66,8 +67,8 @@ class _Element:
         self.tag, self.parent = tag, parent
         words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
         hidden = attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or "hidden" in attrs
-        about = AROUND & words - ({"header", "hidden"} if words & {"article", "entry", "post"} or tag == "body" else set())
         inside = parent is not None and parent.holder is not None
+        about = AROUND & _telling(tag, attrs, inside) - ({"header", "hidden"} if words & {"article", "entry", "post"} or tag == "body" else set())
         self.around = (
             (parent is not None and parent.around)
             or tag in SKIPPED
@@ -81,6 +82,18 @@ class _Element:
         self.name = (parent.name + "/" if parent else "") + tag + ("." + ".".join(sorted(words)) if words else "")
 
 
+def _telling(tag: str, attrs: dict, inside: bool) -> set:
+    """The words of class and id that may say what an element is.  Ids of headings, and of
+    sections in an article, are slugs of their titles; other ids in an article, and classes
+    of headings and of its sections, count whole."""
+    classes, own = attrs.get("class", "").lower(), attrs.get("id", "").lower()
+    titled = tag in HEADINGS or (inside and tag == "section")
+    words = set(classes.split() if titled else _WORD.findall(classes))
+    if not titled:
+        words |= {own} if inside else set(_WORD.findall(own))
+    return words
+
+
 def _attributes(text: str) -> dict:
     found = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if "=" in text else {}
     if "hidden" in text.lower().split():
@@ -240,11 +253,17 @@ def main_text(page: str | None) -> str:
         inside = common[-1]
         if len(content) == 1 and inside.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td") and inside.parent is not None:
             inside = inside.parent
-    kept = []
+    sums: dict = {}
     for element, text, linked in found:
+        s = sums.setdefault(element.name, [0, 0])
+        s[0] += linked
+        s[1] += len(text)
+    kept = []
+    for (element, text, linked), score in zip(found, scores):
         if element.around or inside not in _lineage(element):
             continue
-        if not held and linked > 0.5 * len(text):
+        path_linked, path_chars = sums[element.name]
+        if not held and linked > 0.5 * len(text) and path_linked > 0.5 * path_chars and score < THRESHOLD * best:
             continue
         kept.append(text)
     return "\n\n".join(kept)

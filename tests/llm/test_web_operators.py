@@ -89,6 +89,17 @@ def test_main_text():
     assert html.main_text("<article><p>" + "word " * 200_000 + "</p></article>").count("word") == 200_000
 
 
+def test_slugs_links_and_formulas_stay():
+    names = ['h2 id="search-engines"', 'section id="related-work"', 'h2 id="social-history"', 'div id="ad-hoc-queries"', 'section id="responses"']
+    words = "Some words of the text, which has several clauses; and an end."
+    inner = "".join(f"<{n}>Part {k}</{n.split()[0]}><p>{words}</p>" for k, n in enumerate(names))
+    got = html.main_text(f'<body><article>{inner}<div class="comments">No.</div><div id="sidebar">No.</div></article></body>')
+    assert all(f"Part {k}" in got for k in range(5)) and "No." not in got
+    got = html.main_text(f'<body><div><h2 id="search-engines">Head</h2><p>{words}</p><p><a href="x">A paragraph that is a link</a></p><p>{words}</p></div></body>')
+    assert got.startswith("Head") and "A paragraph that is a link" in got
+    assert "x+1" in html.main_text(f"<article><p>{words} <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p></article>")
+
+
 def test_extract_keeps_rows(spark):
     d = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>Hi there.</p>", "x"), (None, None, "<p>Hi there.</p>", None)], "page_id long, url string, html string, text string")
     out = html.extract(d, carry=["page_id", "url"])
