@@ -14,31 +14,33 @@ grouped by word, and a higher-order ``aggregate`` folds each group into ids.
   does, so it is used for unigram models only (figures in the README).
 
 The dictionary so made has at most ``MAX_WORDS`` words, which bounds the broadcast.  The
-exact way for all other words, and for words above ``MAX_LENGTH`` characters, is a heap
-of merges (or Viterbi) in the task that meets them.
+exact way for all other words, and for words above ``MAX_LENGTH`` characters, is to merge
+them in the task that meets them: all words of a chunk together, a pair of each in a round
+(or by a heap, above ``ROUNDS_LENGTH`` characters; or Viterbi).
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import shuffle_partitions, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+_SPACE_UTF8 = SPACE.encode()
 MAX_WORDS, MIN_COUNT, MAX_LENGTH = 300_000, 8, 32
-MEMO = 100_000  # words a task remembers besides
+HELD = 2_000_000  # words a task counts before it hands them on
+ROUNDS_LENGTH = 64  # characters of a word that is merged in rounds with others
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,10 @@ class Pieces:
         """The score of a character that is no piece."""
         return min((s for _, s in self.pieces.values()), default=0.0) - 10.0
 
+    @cached_property
+    def pairs(self) -> "_Pairs":
+        return _Pairs(self)
+
     def alone(self) -> str:
         """Control characters that stand alone: in no piece of several characters."""
         used = {c for p in self.pieces if len(p) > 1 for c in p}
@@ -91,14 +97,47 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(kind, plain, bytes_ if len(bytes_) == 256 else [], unknown, shown)
 
 
-def _word_pattern(alone: str) -> re.Pattern:
-    c = re.escape(alone)
-    return re.compile(f"{SPACE}+[^{SPACE}{c}]*|[^{SPACE}{c}]+" + (f"|[{c}]" if c else ""))
+# Kinds of a byte, and whether a word begins at one that follows another: a run of spaces
+# begins a word, and a character that stands alone is one.
+_REST, _BLANK, _ALONE = 0, 1, 2
+_BEGINS = np.array([before * 3 + this in (_REST * 3 + _BLANK, _ALONE * 3 + _BLANK, _ALONE * 3 + _REST) or this == _ALONE for before in range(3) for this in range(3)])
+CHUNK_BYTES = 8 << 20
+
+
+def _kinds(table: Pieces) -> np.ndarray:
+    kinds = np.full(256, _REST, dtype=np.uint8)
+    kinds[ord(" ")] = _BLANK
+    for c in table.alone():
+        kinds[ord(c)] = _ALONE
+    return kinds
+
+
+class Cut:
+    """Some texts cut into words: ``words`` (bytes, U+2581 as a space), the number of words
+    of each text in ``counts``.  A text gets the leading space that the model adds."""
 
+    def __init__(self, texts: list, kinds: np.ndarray):
+        texts = [b" " + t.replace(_SPACE_UTF8, b" ") if t else b"" for t in texts]
+        data = b"".join(texts)
+        edges = np.cumsum([0, *map(len, texts)])
+        kind = kinds[np.frombuffer(data, dtype=np.uint8)]
+        begins = np.empty(len(data), dtype=bool)
+        begins[1:] = _BEGINS[kind[:-1] * np.uint8(3) + kind[1:]]
+        begins[edges[:-1][np.diff(edges) > 0]] = True
+        first = np.flatnonzero(begins)
+        self.counts = np.diff(np.searchsorted(first, edges))
+        offsets = np.append(first, len(data)).astype(np.int32)
+        self.words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
-def words_of(text: str | None, pattern: re.Pattern) -> list[str]:
-    """The words of a text, with the leading space that the model adds."""
-    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+def _cuts(column: pa.Array, kinds: np.ndarray):
+    """A string column in chunks of about CHUNK_BYTES: (first row, past last row, Cut)."""
+    texts, first, size = column.cast(pa.binary()).to_pylist(), 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= CHUNK_BYTES or k + 1 == len(texts):
+            yield first, k + 1, Cut(texts[first : k + 1], kinds)
+            first, size = k + 1, 0
 
 
 # --- the fold in a task, for rare and long words
@@ -165,6 +204,120 @@ def encode_word(word: str, table: Pieces) -> list[int]:
     return _merge(word, table) if table.kind == "bpe" else _viterbi(word, table)
 
 
+class _Pairs:
+    """A BPE table as pairs of symbols that make a symbol.  Symbols are the pieces and the
+    single characters in them; other characters are -1 - code point."""
+
+    def __init__(self, table: Pieces):
+        names = sorted({*table.pieces, *(c for p in table.pieces for c in p)})
+        number = {p: k for k, p in enumerate(names)}
+        self.id = np.array([table.pieces[p][0] if p in table.pieces else -1 for p in names], dtype=np.int32)
+        self.char = np.array([ord(p) if len(p) == 1 else 0 for p in names], dtype=np.int32)
+        self.symbol = -1 - np.arange(0x110000, dtype=np.int32)
+        single = self.char > 0
+        self.symbol[self.char[single]] = np.flatnonzero(single)
+        self.symbol[ord(" ")] = self.symbol[ord(SPACE)]
+        ranks = {x: k for k, x in enumerate(sorted({x for _, x in table.pieces.values()}, reverse=True))}
+        made = [(number[p[:k]] << 32 | number[p[k:]], number[p], ranks[x]) for p, (_, x) in table.pieces.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        keys, self.made, self.rank = (np.array(x, dtype=np.int64) for x in zip(*made)) if made else [np.empty(0, dtype=np.int64)] * 3
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots, self.keys = np.full(1 << self.bits, -1, dtype=np.int64), np.append(keys, -1)
+        place, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # open addressing: the first of a slot stays, the others move on
+            free = self.slots[place] < 0
+            _, one = np.unique(place[free], return_index=True)
+            put = np.flatnonzero(free)[one]
+            self.slots[place[put]] = left[put]
+            stay = np.ones(len(left), dtype=bool)
+            stay[put] = False
+            left, place = left[stay], (place[stay] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pair of each two symbols, -1 for none."""
+        keys = a.astype(np.int64) << 32 | b
+        place = self._slot(keys)
+        found = self.slots[place]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+            found[open_] = self.slots[place[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != keys[open_])]
+        found[(a < 0) | (b < 0)] = -1
+        return found
+
+
+def _merge_many(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of ids of each): ``_merge`` of many words together.  In
+    each round every open word joins its best pair, the leftmost of ties."""
+    pairs, none = table.pairs, np.int64(1 << 62)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    symbol = pairs.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    word = np.repeat(np.arange(len(words)), sizes)
+    done: list = []
+
+    def keys(at: np.ndarray) -> np.ndarray:
+        """Rank and pair of the symbols at and after, ``none`` at the ends of words."""
+        at = np.minimum(at, len(symbol) - 2)
+        found = pairs.find(symbol[at], symbol[at + 1])
+        return np.where((found >= 0) & (word[at] == word[at + 1]), pairs.rank[found] << 32 | found, none)
+
+    key = np.append(keys(np.arange(len(symbol) - 1)), none) if len(symbol) > 1 else np.full(len(symbol), none)
+    while len(symbol):
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        length = np.diff(np.append(first, len(symbol)))
+        least = np.minimum.reduceat(key, first)
+        open_ = least < none
+        if not open_.all():
+            shut = ~np.repeat(open_, length)
+            done.append((word[shut], symbol[shut]))
+            symbol, word, key, least, length = symbol[~shut], word[~shut], key[~shut], least[open_], length[open_]
+            if not len(symbol):
+                break
+            first = np.cumsum(length) - length
+        hit = np.flatnonzero(key == np.repeat(least, length))  # ties of one pair: the first of each word
+        hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])]
+        symbol[hit] = pairs.made[least & np.int64(0xFFFFFFFF)]
+        keep = np.ones(len(symbol), dtype=bool)
+        keep[hit + 1] = False
+        symbol, word, key = symbol[keep], word[keep], key[keep]
+        hit -= np.arange(len(hit))
+        if len(symbol) < 2:
+            key[:] = none
+            continue
+        last = hit + 1 == len(symbol)
+        key[hit] = np.where(last, none, keys(hit))
+        left = hit[hit > 0] - 1
+        key[left] = keys(left)
+    word, symbol = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32))
+    order = np.argsort(word, kind="stable")
+    word, symbol = word[order], symbol[order]
+    ids = np.where(symbol >= 0, pairs.id[symbol], -1)
+    lost = np.flatnonzero(ids < 0)  # characters that are no piece
+    if len(lost):
+        chars = np.where(symbol[lost] >= 0, pairs.char[symbol[lost]], -1 - symbol[lost])
+        known = {c: _fallback(chr(c), table) for c in np.unique(chars).tolist()}
+        spelt = [known[c] for c in chars.tolist()]
+        n = np.ones(len(ids), dtype=np.int64)
+        n[lost] = [len(x) for x in spelt]
+        ids, word = np.repeat(ids, n), np.repeat(word, n)
+        ids[ids < 0] = [i for x in spelt for i in x]
+    return ids.astype(np.int32), np.bincount(word, minlength=len(words))
+
+
+def encode_words(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of ids of each)."""
+    if table.kind == "bpe" and max(map(len, words), default=0) <= ROUNDS_LENGTH:
+        return _merge_many(words, table)
+    short = [w for w in words if len(w) <= ROUNDS_LENGTH] if table.kind == "bpe" else []
+    ids, sizes = _merge_many(short, table)
+    parts = iter(np.split(ids, np.cumsum(sizes)[:-1])) if short else iter(())
+    lists = [next(parts) if short and len(w) <= ROUNDS_LENGTH else np.array(encode_word(w.replace(" ", SPACE), table), dtype=np.int32) for w in words]
+    return np.concatenate([*lists, np.empty(0, dtype=np.int32)]), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+
+
 # --- the relational lattice
 
 
@@ -173,8 +326,8 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     spark = words.sparkSession
     schema = "piece string, id int, score double"
     rows = [(p, i, float(s)) for p, (i, s) in table.pieces.items()]
-    pieces = F.broadcast(spark.createDataFrame(rows, schema))
-    sized = words.select("word", F.length("word").alias("n"))
+    pieces = F.broadcast(spark.createDataFrame(rows, schema))  # its size is the model's
+    sized = words.repartition(shuffle_partitions(spark), "word").select("word", F.length("word").alias("n"))  # the one shuffle: edges stay with their word
     starts = sized.select("word", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("a"))
     spans = starts.select("word", "n", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("a") + 1))).alias("len"))
     edges = spans.withColumn("piece", F.col("word").substr(F.col("a"), F.col("len"))).join(pieces, "piece")
@@ -249,17 +402,41 @@ def _viterbi_fold(word: Column, n: Column, edges: Column, table: Pieces) -> Colu
 # --- whole texts
 
 
+def _text_of(words: pa.Array) -> pa.Array:
+    """Words as the model sees them; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        texts = words.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.string())
+    return pc.replace_substring(texts, " ", SPACE)
+
+
 def word_counts(docs: DataFrame, table: Pieces, text_col: str = "text") -> DataFrame:
-    """(word, n) of all texts, summed in each task before the shuffle."""
-    alone = table.alone()
+    """(word, n) of all texts, summed in each task before the shuffle (whenever a task holds
+    ``HELD`` words).  Null and empty texts have no words."""
+    kinds = _kinds(table)
 
     def run(batches):
-        pattern = _word_pattern(alone)
+        parts: list = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def out(counts: pa.Table) -> pa.RecordBatch:
+            words = counts["word"].combine_chunks()
+            return pa.RecordBatch.from_arrays([_text_of(words), counts["n"].combine_chunks()], ["word", "n"])
+
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py(), pattern))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            for _, _, cut in _cuts(batch.column(0), kinds):
+                coded = cut.words.dictionary_encode()
+                n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+                parts.append(pa.table([coded.dictionary, pa.array(n, pa.int64())], names=["word", "n"]))
+                if sum(p.num_rows for p in parts) > HELD:
+                    parts = [summed()]
+                    if parts[0].num_rows > HELD // 2:
+                        yield out(parts.pop())
+        if parts:
+            yield out(summed())
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -281,58 +458,86 @@ def dictionary(docs: DataFrame, table: Pieces, text_col: str = "text", max_words
     return lattice(frequent.select("word"), table)
 
 
-def _lists(blobs: list[bytes], shown: list[bytes]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum(np.fromiter((len(b) // 4 for b in blobs), dtype=np.int64, count=len(blobs))))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
+class _Book:
+    """The dictionary in a task: words and their ids, as one array of all ids."""
+
+    def __init__(self, words: bytes, spans: np.ndarray, ids: np.ndarray, sizes: np.ndarray, table: Pieces):
+        ends = np.cumsum(spans, dtype=np.int64)
+        self.place = {words[a:b]: k for k, (a, b) in enumerate(zip((ends - spans).tolist(), ends.tolist()))}
+        self.ids, self.table = ids, table
+        self.first = np.cumsum(np.append(0, sizes), dtype=np.int64)
+
+    def ids_of(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids of the chunk, number of ids of each text).  Each different word is
+        looked up once, those that the dictionary lacks are merged together."""
+        coded = cut.words.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        at = np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        rare = np.flatnonzero(at < 0)
+        more, sizes = encode_words([words[k].decode("utf-8", "replace") for k in rare.tolist()], self.table)
+        first, size = self.first[at], self.first[at + 1] - self.first[at]  # of -1: not used
+        first[rare], size[rare] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        starts = np.cumsum(size) - size
+        flat = np.concatenate((self.ids, more))[np.repeat(first - starts, size) + np.arange(size.sum())]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(flat, pa.int32()))
+        ids = np.asarray(lists.take(coded.indices).flatten())
+        of_word = np.append(0, np.cumsum(size[np.asarray(coded.indices)]))
+        return ids, np.diff(of_word[np.append(0, np.cumsum(cut.counts))])
 
 
-def _text(ids: list[int], shown: list[bytes]) -> str:
-    """The text of ids; those outside the table give nothing."""
-    return b"".join([shown[i] for i in ids if i is not None and 0 <= i < len(shown)]).removeprefix(b" ").decode("utf-8", "replace")
+def _texts(ids: np.ndarray, sizes: np.ndarray, shown: pa.Array) -> list[bytes]:
+    """The text of each row's ids as UTF-8; ids outside the table give nothing."""
+    inside = np.where((ids >= 0) & (ids < len(shown) - 1), ids, len(shown) - 1)
+    taken = shown.take(pa.array(inside, pa.int32()))
+    data, ends = memoryview(taken.buffers()[2] or b""), np.asarray(_offsets(taken))
+    rows = ends[np.append(0, np.cumsum(sizes))].tolist()
+    return [bytes(data[a:b]).removeprefix(b" ").decode("utf-8", "replace").encode() for a, b in zip(rows[:-1], rows[1:])]
 
 
-def _decoded_sha256(blobs: list[bytes], shown: list[bytes]) -> pa.Array:
-    return pa.array([hashlib.sha256(_text(np.frombuffer(b, dtype=np.int32).tolist(), shown).encode()).hexdigest() for b in blobs], pa.string())
+def _offsets(binary: pa.Array) -> np.ndarray:
+    return np.frombuffer(binary.buffers()[1], dtype=np.int32 if binary.type == pa.binary() else np.int64, count=len(binary) + 1 + binary.offset)[binary.offset :]
+
+
+def _shown(table: Pieces) -> pa.Array:
+    return pa.array([*table.shown, b""], pa.large_binary())  # the last one for ids outside the table
+
+
+def _digests(ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+    whole, ends = memoryview(np.ascontiguousarray(ids, dtype="<i4")).cast("B"), np.append(0, np.cumsum(sizes) * 4).tolist()
+    return [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
 
 
 def encode(docs: DataFrame, table: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, carry: list[str] | None = None, outputs=("ids",)) -> DataFrame:
     """``carry`` (default: the id) and ``outputs``: ids (the piece ids of the whole text),
     n_pieces, ids_sha256 (of the ids as 4-byte little-endian integers), decoded_sha256 (of
-    the text that the ids decode to).  Null and empty texts have no pieces."""
+    the text that the ids decode to).  Null and empty texts have no pieces; repeated rows
+    are rows of their own."""
     spark = docs.sparkSession
     known = written(dictionary(docs, table, text_col, max_words), "dictionary").toArrow()
     ids = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
     sizes = np.diff(np.asarray(ids.offsets)) if known.num_rows else np.empty(0, np.int64)
-    words = [w.encode("utf-8", "surrogatepass") for w in known["word"].to_pylist()]  # any character may be in a word
+    words = [w.replace(SPACE, " ").encode() for w in known["word"].to_pylist()]  # any character may be in a word
     spans = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
-    shared = spark.sparkContext.broadcast((b"".join(words), spans, sizes.astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32), table))
+    _ = table.pairs if table.kind == "bpe" else None  # made once, travels with the table
+    shared = spark.sparkContext.broadcast((b"".join(words), spans, np.asarray(ids.flatten()).astype(np.int32), sizes.astype(np.uint8), table))
     carried = list(carry or [id_col])
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     schema = T.StructType([*docs.select(*carried).schema.fields, *[T.StructField(o, kinds[o]) for o in outputs]])
-    make = {"ids": _lists, "n_pieces": lambda blobs, shown: pa.array([len(b) // 4 for b in blobs], pa.int64()), "ids_sha256": lambda blobs, shown: pa.array([hashlib.sha256(b).hexdigest() for b in blobs], pa.string()), "decoded_sha256": _decoded_sha256}
 
     def run(batches):
-        joined, spans, lengths, flat, pieces = shared.value
-        start, at, book = 0, 0, {}
-        for stop, end in zip(np.cumsum(spans, dtype=np.int64).tolist(), np.cumsum(lengths, dtype=np.int64).tolist()):
-            book[joined[start:stop].decode("utf-8", "surrogatepass")] = flat[at:end].tobytes()
-            start, at = stop, end
-        memo: dict = {}
-        pattern = _word_pattern(pieces.alone())
-
-        def rare(word: str) -> bytes:
-            found = memo.get(word)
-            if found is None:
-                found = np.array(encode_word(word, pieces), dtype=np.int32).tobytes()
-                if len(memo) < MEMO and len(word) <= MAX_LENGTH:
-                    memo[word] = found
-            return found
-
+        book = _Book(*shared.value)
+        byte_kinds, shown = _kinds(book.table), _shown(book.table)
+        make = {
+            "ids": lambda ids, sizes: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32())),
+            "n_pieces": lambda ids, sizes: pa.array(sizes, pa.int64()),
+            "ids_sha256": lambda ids, sizes: pa.array(_digests(ids, sizes), pa.string()),
+            "decoded_sha256": lambda ids, sizes: pa.array([hashlib.sha256(t).hexdigest() for t in _texts(ids, sizes, shown)], pa.string()),
+        }
         for batch in batches:
-            blobs = []
-            for text in batch.column(batch.num_columns - 1):
-                blobs.append(b"".join([book.get(w) or rare(w) for w in words_of(text.as_py(), pattern)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[make[o](blobs, pieces.shown) for o in outputs]], [*carried, *outputs])
+            for first, past, cut in _cuts(batch.column(batch.num_columns - 1), byte_kinds):
+                ids, sizes = book.ids_of(cut)
+                rows = [c.slice(first, past - first) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*rows, *[make[o](ids, sizes) for o in outputs]], [*carried, *outputs])
 
     return docs.select(*carried, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
@@ -345,19 +550,22 @@ def decode(encoded: DataFrame, table: Pieces, ids_col: str = "ids", into: str =
     shared = encoded.sparkSession.sparkContext.broadcast(table.shown)
 
     def run(batches):
-        shown = shared.value
+        shown = pa.array([*shared.value, b""], pa.large_binary())
         for batch in batches:
-            texts = [None if ids is None else _text(ids, shown) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, into])
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            ids = np.asarray(pc.fill_null(lists.flatten(), -1))
+            texts = _texts(ids, np.asarray(pc.fill_null(pc.list_value_length(lists), 0)), shown)
+            column = pa.array([t.decode() if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, into])
 
     return encoded.select(*names).mapInArrow(run, schema)
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_sha256, decoded_sha256 (that of the text itself, with U+2581 as
-    a space), round_trip."""
+    a space), round_trip.  Null and empty texts have no pieces and the digests of nothing."""
     table = load(model)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    with_sha = docs.withColumn("want", F.sha2(F.translate("text", SPACE, " "), 256))
+    with_sha = docs.withColumn("want", F.sha2(F.replace("text", F.lit(SPACE), F.lit(" ")), 256))
     coded = encode(with_sha, table, carry=["doc_id", "want"], outputs=("n_pieces", "ids_sha256", "decoded_sha256"))
     return coded.select("doc_id", "n_pieces", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("want")).alias("round_trip"))

@@ -337,6 +337,28 @@ def test_pieces_of_words_with_nul(spark):
     assert sentencepieces.encode(d, sentencepieces.load()).first().ids == sp.encode(text)
 
 
+def test_words_merged_together_and_alone():
+    table, rng = sentencepieces.load(), random.Random(6)
+    words = ["", " ", " a", "x" * 70, "日本", "\x00", " é\u0301", "🙂🙂", "aaaa aaaa", " banana"]
+    words += ["".join(rng.choice(" abcdehinorst.,é7ß") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    ids, sizes = sentencepieces.encode_words(words, table)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [p.tolist() for p in parts] == [sentencepieces.encode_word(w.replace(" ", "▁"), table) for w in words]
+
+
+def test_words_of_texts(spark):
+    table = sentencepieces.load()
+    texts = ["a  b\nc", "▁x y", "", None, " \t z", "a\n\n b", "plain"]
+    cut = sentencepieces.Cut([None if t is None else t.encode() for t in texts], sentencepieces._kinds(table))
+    assert cut.counts.tolist() == [4, 2, 0, 0, 3, 4, 1]
+    assert cut.words.to_pylist() == [b" a", b"  b", b"\n", b"c", b"  x", b" y", b"  ", b"\t", b" z", b" a", b"\n", b"\n", b" b", b" plain"]
+    d = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    want = {}
+    for w in cut.words.to_pylist() * 3:
+        want[w.decode().replace(" ", "▁")] = want.get(w.decode().replace(" ", "▁"), 0) + 1
+    assert {r.word: r.n for r in sentencepieces.word_counts(d, table).collect()} == want
+
+
 def test_lattice_folds(spark):
     words = ["▁banana", "▁ban", "ana", "▁zzz", "é", "▁aaaaaaaa"]
     rng = random.Random(4)
