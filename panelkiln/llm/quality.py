@@ -1,9 +1,9 @@
 """Document quality: histogram gradient-boosted trees over document statistics.
 
-Statistics are computed once, where the text is; labels join to these short rows.  The
-trees are grown on at most ``MAX_TRAIN_ROWS`` labelled rows (those with the least hash
-of their id, so a fixed sample), flattened into arrays of one complete binary tree each
-and applied to whole Arrow batches, a tree level at a time.
+The trees are grown on at most ``MAX_TRAIN_ROWS`` labelled rows (those with the least
+hash of their id, so a fixed sample), flattened into arrays of one complete binary tree
+each and applied to whole Arrow batches, a tree level at a time.  Labels join to ids; a
+text is read once to be scored, where it lies, and is never shuffled.
 """
 
 from __future__ import annotations
@@ -60,15 +60,15 @@ _mark_table = np.zeros(256, dtype=bool)
 _mark_table[_MARKS] = True
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, stats) per document."""
+def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "stats") -> DataFrame:
+    """``docs`` with the statistics of their whole texts, array<float> ``into``; all zero
+    for null and empty texts.  Other columns stay as they are."""
 
-    def run(batches):
-        for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], ["row_id", "stats"])
+    @F.arrow_udf("array<float>")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float32()))
 
-    return docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row_id {docs.schema[id_col].dataType.simpleString()}, stats array<float>")
+    return docs.withColumn(into, found(F.col(text_col).cast("string")))
 
 
 @dataclass(frozen=True)
@@ -133,32 +133,38 @@ def grow(x: np.ndarray, y: np.ndarray) -> FlatTrees:
     return FlatTrees(base, *map(np.array, out))
 
 
-def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> FlatTrees:
-    """Trees from labelled, not held-out rows; rows labelled more than once take the mean
-    of their labels, null labels and ids are left out.  Without labels, or with one kind
-    only, the score is the (smoothed) base rate."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("row_id")).agg(F.avg(label_col).alias("y"))
-    rows = stats.join(known, "row_id").orderBy(F.xxhash64("row_id"), "row_id").select("stats", "y").limit(MAX_TRAIN_ROWS).toArrow()
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FlatTrees:
+    """Trees from labelled, not held-out documents; rows labelled more than once take the
+    mean of their labels, null labels and ids are left out, of rows of one id that with the
+    least statistics is learned.  Without labels, or with one kind only, the score is the
+    (smoothed) base rate.  Texts are read for the ``MAX_TRAIN_ROWS`` ids of the sample only."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_y"))
+    ids = docs.select(F.col(id_col).alias("_id")).distinct()
+    sample = written(known.join(ids, "_id").orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN_ROWS), "sample")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # MAX_TRAIN_ROWS rows at most
+    rows = with_statistics(chosen, "_text", "_stats").groupBy("_id", "_y").agg(F.min("_stats").alias("_stats")).orderBy("_id").toArrow()
     if not rows.num_rows:
         return grow(np.zeros((0, len(STATISTICS))), np.zeros(0))
-    x = np.array(rows["stats"].combine_chunks().flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
-    return grow(x, (rows["y"].to_numpy() >= 0.5).astype(np.float64))
+    x = np.array(rows["_stats"].combine_chunks().flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
+    return grow(x, (rows["_y"].to_numpy() >= 0.5).astype(np.float64))
 
 
-def score(stats: DataFrame, model: FlatTrees) -> DataFrame:
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: FlatTrees, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the score of their whole texts, between 0 and 1: the higher, the
+    likelier is label 1.  Null and empty texts have the score of statistics that are zero."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x), pa.float64())], ["row_id", "score"])
+    @F.arrow_udf("double")
+    def found(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in texts], dtype=np.float32).astype(np.float64).reshape(len(texts), len(STATISTICS))
+        return pa.array(shared.value.score(x), pa.float64())
 
-    return stats.select("row_id", "stats").mapInArrow(run, f"row_id {stats.schema['row_id'].dataType.simpleString()}, score double")
+    return docs.withColumn(into, found(F.col(text_col).cast("string")))
 
 
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; null and empty texts are scored as well."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    stats = written(with_statistics(docs), "statistics")
-    model = train(stats, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    scored = score(stats, model).withColumnRenamed("row_id", "doc_id")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    scored = score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors share.  Where
+    it is unset: in local mode (one process, as in tests) a folder of our own, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-panelkiln-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.setdefault(context.applicationId, "")
+        if not folder:
+            folder = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-panelkiln-")
     return folder.rstrip("/")
 
 
@@ -38,3 +46,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

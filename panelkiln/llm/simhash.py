@@ -14,13 +14,18 @@ the set of fingerprints that agree on a key.  Two kinds of key:
              blocks (pigeonhole), so no link is lost.
 ``minhash``  for a similarity: eight min-wise hashes of the shingle set.  Sets with a
              Jaccard similarity of 0.8 agree on one of them but for 0.2**8 = 3e-6.
-             Pairs that agree on ``LOOSE`` of 64 more (3e-6 of those at 0.8 do not) are
-             candidates, and a link is a candidate whose shingle sets have the similarity.
 
-A shard above ``leaf`` members is dealt out as blocks and every pair of blocks is
-searched, each in a task of at most ``2 * leaf`` rows, so that a hot key is neither
-dropped nor gathered in one task.  A searched block returns only a spanning forest of
-its links (union-find), not all pairs.
+For fingerprints a shard above ``leaf`` members is dealt out as blocks and every pair of
+blocks is searched, each in a task of at most ``2 * leaf`` rows, so that a hot key is
+neither dropped nor gathered in one task.  A searched block returns only a spanning forest
+of its links (union-find), not all pairs.
+
+For a similarity, pairs that agree on ``LOOSE`` of 64 more hashes (3e-6 of those at 0.8 do
+not) are candidates, tried in the first table whose key they share, and a link is a
+candidate whose shingle sets have the similarity.  Only nodes with a candidate travel with
+their sets.  A shard above ``leaf`` members is first searched in blocks that differ from
+table to table, which joins groups of near copies; what then is not in the shard's largest
+group (and nothing else, for all other pairs are joined already) meets all its blocks.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
+from .components import connected_components, with_least
 from .shared import written
 
 SEED = 42
@@ -126,14 +131,14 @@ def _set(hashes: np.ndarray) -> bytes:
 
 
 def _sets(picked: DataFrame, shingle: int) -> DataFrame:
-    """(node, set) of rows (node, text)."""
+    """(node, signs, set) of rows (node, signs, text)."""
 
     def run(batches):
         for batch in batches:
-            sets = [_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+            sets = [_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["node", "signs", "set"])
 
-    return picked.select("node", "text").mapInArrow(run, "node long, set binary")
+    return picked.select("node", "signs", "text").mapInArrow(run, "node long, signs binary, set binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -240,40 +245,41 @@ def _union_find(n: int):
     return find, join
 
 
-def _search(blocks: DataFrame, radius: int, least: float, similarity: float) -> DataFrame:
+def _search(blocks: DataFrame, radius: int) -> DataFrame:
     """blocks: one row per pair of blocks, with arrays ``trees`` and ``asks``."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            found = []
             for k in range(batch.num_rows):
                 same, trees, asks = (batch.column(c)[k].as_py() for c in ("same", "trees", "asks"))
-                if least > 0:
-                    rows = lambda part: [(x["node"], x["signs"], x["set"]) for x in part]
-                    found = _similar_forest(rows(trees), rows(asks), same, least, similarity)
-                else:
-                    rows = lambda part: [(x["node"], x["fp"]) for x in part]
-                    found = _forest(rows(trees), rows(asks), same, radius)
-                for x, y in found:
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found += _forest([(x["node"], x["fp"]) for x in trees], [(x["node"], x["fp"]) for x in asks], same, radius)
+            yield _pairs(found)
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, radius: int, least: float = 0.0, leaf: int = 512, similarity: float = 0.0) -> DataFrame:
-    """Spanning links (a, b) between nodes.  ``nodes`` has node, fp, keys (the shards it
-    belongs to), signs and, to confirm by, set.  Shards of one member are dropped before anything else."""
-    nodes = nodes if "set" in nodes.columns else nodes.withColumn("set", F.lit(None).cast("binary"))
-    keyed = nodes.select("node", "fp", "signs", "set", F.posexplode("keys").alias("table", "key"))
+def _pairs(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _shards(nodes: DataFrame) -> DataFrame:
+    """(node, table, key, n) of shards with n > 1 members."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("table", "key"))
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(sizes, ["table", "key"]).withColumn("parts", F.ceil(F.col("n") / leaf).cast("int"))
-    mine = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
-    dealt = members.withColumn("mine", mine).select(
-        "table", "key", "node", "fp", "signs", "set", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    )
-    entry = F.struct("node", "fp", "signs", "set")
+    return keyed.join(sizes, ["table", "key"])
+
+
+def _block(parts, *of):
+    return F.pmod(F.xxhash64(*of, F.lit("part")), parts).cast("int")
+
+
+def links(nodes: DataFrame, radius: int, leaf: int = 512) -> DataFrame:
+    """Spanning links (a, b) between nodes within ``radius``.  ``nodes`` has node, fp and
+    keys (the shards it belongs to).  Shards of one member are dropped before anything else."""
+    members = _shards(nodes).withColumn("parts", F.ceil(F.col("n") / leaf).cast("int")).join(nodes.select("node", "fp"), "node")
+    dealt = members.withColumn("mine", _block(F.col("parts"), "node")).select("table", "key", "node", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    entry = F.struct("node", "fp")
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     grouped = (
         dealt.select("table", "key", low.alias("i"), high.alias("j"), (F.col("mine") == low).alias("tree"), entry.alias("entry"))
@@ -282,7 +288,90 @@ def links(nodes: DataFrame, radius: int, least: float = 0.0, leaf: int = 512, si
         .agg(F.collect_list(F.when(F.col("tree"), F.col("entry"))).alias("trees"), F.collect_list(F.when(~F.col("tree"), F.col("entry"))).alias("asks"))
         .select((F.col("i") == F.col("j")).alias("same"), "trees", "asks")
     )
-    return _search(grouped, radius, least, similarity)
+    return _search(grouped, radius)
+
+
+_PLACE = ["table", "key", "block"]
+
+
+def _with_partner(groups: DataFrame, least: float) -> DataFrame:
+    """(table, key, block, node) of the members that have a candidate in their group.
+
+    ``members`` hold node, signs, keys, comp and asks.  With a comp, candidates are of
+    another comp and one of the two asks; without, they are those that share no key of an
+    earlier table."""
+
+    def run(batches):
+        for batch in batches:
+            members = batch.column(3)
+            flat = members.flatten()
+            node, comp, asks = (np.asarray(flat.field(c)) for c in ("node", "comp", "asks"))
+            signs = np.frombuffer(b"".join(flat.field("signs").to_pylist()), dtype="<u4").reshape(-1, N_SIGNS)
+            keys = np.asarray(flat.field("keys").flatten()).reshape(-1, N_KEYS)
+            ends = np.append(0, np.cumsum(np.asarray(members.value_lengths()))).tolist()
+            has, group = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=np.int64)
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                group[a:b] = k
+                table, second = batch.column(0)[k].as_py(), batch.column(4)[k].as_py()
+                for i in range(a + 1, b):
+                    near = (signs[a:i] == signs[i]).sum(axis=1) >= least * N_SIGNS
+                    if second:
+                        near &= (comp[a:i] != comp[i]) & (asks[a:i] | asks[i])
+                    else:
+                        near &= (keys[a:i] == keys[i]).argmax(axis=1) == table
+                    if near.any():
+                        has[i] = True
+                        has[a:i] |= near
+            at = np.flatnonzero(has)
+            rows = pa.array(group[at])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in range(3)], pa.array(node[at], pa.int64())], [*_PLACE, "node"])
+
+    return groups.select(*_PLACE, "members", "second").mapInArrow(run, "table int, key long, block int, node long")
+
+
+def _grouped(members: DataFrame, second: bool) -> DataFrame:
+    entry = F.struct("node", "signs", "keys", "comp", "asks")
+    return members.repartition(*_PLACE).groupBy(*_PLACE).agg(F.collect_list(entry).alias("members")).withColumn("second", F.lit(second))
+
+
+def _confirmed(placed: DataFrame, sets: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Spanning links (a, b) of the members of each place whose sets have the similarity."""
+    groups = placed.join(sets, "node").repartition(*_PLACE).groupBy(*_PLACE).agg(F.collect_list(F.struct("node", "signs", "set")).alias("members")).select("members")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                members = [(x["node"], x["signs"], x["set"]) for x in batch.column(0)[k].as_py()]
+                found += _similar_forest(members, [], True, least, similarity)
+            yield _pairs(found)
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
+def similar_links(reps: DataFrame, sets_of, similarity: float, leaf: int = 512) -> DataFrame:
+    """Spanning links (a, b) between nodes whose shingle sets have the similarity.
+
+    ``reps``: node, keys, signs; ``sets_of`` gives (node, signs, set) of a table of nodes."""
+    least = max(similarity - LOOSE, 1 / N_SIGNS)
+    shards = written(_shards(reps), "shards")
+    small, hot = shards.where(F.col("n") <= leaf), shards.where(F.col("n") > leaf).withColumn("parts", F.ceil(F.col("n") / leaf).cast("int"))
+    known = reps.select("node", "signs", "keys")
+    alone = small.join(known, "node").withColumns({"block": F.lit(0), "comp": F.lit(0).cast("long"), "asks": F.lit(False)})
+    dealt = hot.select("table", "key", _block(F.col("parts"), "node", "table").alias("block"), "node")
+    placed = written(_with_partner(_grouped(alone, False), least).unionByName(dealt), "placed")
+    sets = written(sets_of(placed.select("node").distinct()), "sets")
+    found = written(_confirmed(placed, sets, least, similarity), "links")
+    if hot.isEmpty():
+        return found
+    comps = connected_components(found).select("node", F.col("component").alias("comp"))
+    named = hot.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    largest = named.groupBy("table", "key", "comp").agg(F.count("*").alias("c")).groupBy("table", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    split = written(named.join(largest, ["table", "key"]).select("table", "key", "node", "parts", "comp", (F.col("comp") != F.col("main")).alias("asks")), "split")
+    block, others = _block(F.col("parts"), "node"), F.sequence(F.lit(0), F.col("parts") - 1)
+    spread = split.withColumn("block", F.explode(F.when(F.col("asks"), others).otherwise(F.array(block))))
+    more = written(_with_partner(_grouped(spread.join(known, "node"), True), least), "placed")
+    return found.union(written(_confirmed(more, sets, least, similarity), "links"))
 
 
 def _block_keys(radius: int):
@@ -310,23 +399,24 @@ def near_duplicates(
     fps = written(fingerprints(docs, id_col, text_col, shingle, signs=similarity is not None), "fingerprints")
     if similarity is None:
         node = F.col("fp")
-        reps = fps.select("fp").distinct().select(F.col("fp").alias("node"), "fp", _block_keys(radius).alias("keys"), F.lit(None).cast("binary").alias("signs"))
-        found = written(links(reps, radius, leaf=leaf), "links")
+        reps = fps.select("fp").distinct().select(F.col("fp").alias("node"), "fp", _block_keys(radius).alias("keys"))
+        found = written(links(reps, radius, leaf), "links")
     else:
-        least, node = max(similarity - LOOSE, 1 / N_SIGNS), F.col("node")
-        reps = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("signs").alias("signs"))
-        loose = written(links(reps, radius, least, leaf), "candidates")
-        asked = written(loose.select(F.col("a").alias("node")).union(loose.select(F.col("b").alias("node"))).distinct(), "asked")
-        picked = fps.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-        texts = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")).join(picked, "row")
-        sets = written(_sets(texts, shingle).dropDuplicates(["node"]), "sets")
-        found = written(links(reps.join(sets, "node"), radius, least, leaf, similarity), "links")
+        node = F.col("node")
+        reps = written(fps.groupBy("node").agg(F.first("keys").alias("keys"), F.first("signs").alias("signs"), F.min("row").alias("row")), "nodes")
+
+        def sets_of(asked: DataFrame) -> DataFrame:
+            picked = reps.join(asked, "node").select("row", "node", "signs")
+            texts = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")).join(picked, "row")
+            return _sets(texts, shingle).dropDuplicates(["node"])
+
+        found = similar_links(reps, sets_of, similarity, leaf)
     labels = connected_components(found)
     base = fps.select("row_id", "fp", node.alias("node"))
-    least_ids = base.groupBy("node").agg(F.min("row_id").alias("least_id"))
-    rooted = written(least_ids.join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("root")), "roots")
-    minima = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(rooted.join(minima, "root").select("node", "component_id"), "named")
+    least_ids = base.groupBy("node").agg(F.min("row_id").alias("component_id"))
+    # nodes of more than one, whose group has the least id of them all; the others keep their own
+    linked = with_least(least_ids.join(labels, "node"), "component", "component_id", "node", "least").select("node", F.col("least").alias("component_id"))
+    named = written(linked.union(least_ids.join(labels, "node", "left_anti")), "named")
     return base.join(named, "node", "left").select("row_id", "fp", "component_id")
 
 

@@ -1,9 +1,11 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelkiln.llm import langid, multiset, packing, quality, recompression, sentencepieces, simhash, stages
@@ -63,6 +65,75 @@ def test_groups_against_brute_force(spark, leaf):
     assert same(mine) == same(parent)
 
 
+def plain_components(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("held", [200_000, 5])
+def test_components_against_union_find(spark, held, monkeypatch):
+    """Long chains, stars around a large and a small node, rings, ties and random edges."""
+    from panelkiln.llm import components
+
+    monkeypatch.setattr(components, "HELD", held)
+    rng = random.Random(2)
+    chain = list(range(1000, 1400))
+    rng.shuffle(chain)
+    pairs = list(zip(chain, chain[1:])) + [(9000, 2000 + k) for k in range(300)] + [(3000, 3001 + k) for k in range(300)]
+    pairs += [(5000 + k, 5000 + (k + 1) % 50) for k in range(50)] + [(6001, 6002), (6002, 6001), (6001, 6002), (6003, 6003)]
+    pairs += [(rng.randrange(7000, 7200), rng.randrange(7000, 7200)) for _ in range(150)] + [(-5, 12), (12, -(2**62))]
+    d = spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long").repartition(7)
+    got = [(r.node, r.component) for r in components.connected_components(d).collect()]
+    want = plain_components([p for p in pairs if p[0] != p[1]])
+    assert len(got) == len(want) and dict(got) == want
+    assert components.connected_components(d.limit(0)).count() == 0
+
+
+def test_fingerprints_and_groups_of_a_table(spark):
+    """op3 against a plain version over all pairs of fingerprints."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    fps = {}
+    for r in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        fps[r.doc_id] = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+    ids = sorted(fps)
+    want = plain_components([(a, b) for a in ids for b in ids if a <= b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op3_simhash_near_dedup(spark, SF).collect()}
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in ids}
+
+
+@pytest.mark.parametrize("leaf", [512, 6])
+def test_groups_of_near_copies(spark, leaf):
+    """Groups far above the block size, some of texts that only share a passage."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for size, changed in ((80, 6), (40, 12), (30, 60)):
+        base = fresh(300)
+        for _ in range(size):
+            t = base.copy()
+            at = rng.randrange(300 - changed)
+            t[at : at + changed] = fresh(changed)
+            texts.append(t)
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.row_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, similarity=0.8, leaf=leaf).collect()}
+    assert got == plain_components(alike) and 10 < len(set(got.values())) < 60
+
+
 def test_near_duplicates_edge_rows(spark, documents, nothing):
     out = {}
     for r in simhash.near_duplicates(documents).collect():
@@ -84,7 +155,7 @@ def test_near_duplicates_by_similarity(spark):
             near[rng.randrange(300)] = "changed"
         texts.append(near)
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.row_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, radius=18, similarity=0.8).collect()}
+    got = {r.row_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, similarity=0.8).collect()}
     assert got == {i: i - i % 2 for i in range(24)}
 
 
@@ -104,7 +175,7 @@ def test_similarity_is_exact(spark):
     sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
     alike = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(texts), 2)}
     assert 20 < sum(alike.values()) < len(alike) - 20
-    got = {r.row_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, radius=18, similarity=0.8).collect()}
+    got = {r.row_id: r.component_id for r in simhash.near_duplicates(d, shingle=5, similarity=0.8).collect()}
     assert got == {i: i - i % 2 if alike[i - i % 2] else i for i in range(len(texts))}
 
 
@@ -223,11 +294,12 @@ def test_quality_on_held_out(spark):
 
 
 def test_quality_edge_rows(spark, documents, nothing):
-    stats = quality.with_statistics(documents)
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (2, None)], "doc_id long, quality int")
-    for model in (quality.train(stats, labels), quality.train(stats, labels.limit(0))):
-        assert quality.score(stats, model).where("score between 0 and 1").count() == documents.count()
-    assert quality.score(quality.with_statistics(nothing), model).count() == 0
+    for model in (quality.train(documents, labels), quality.train(documents, labels.limit(0)), quality.train(nothing, labels)):
+        assert quality.score(documents, model, into="p").where("p between 0 and 1").count() == documents.count()
+    assert quality.score(nothing, model).count() == 0
+    row = quality.with_statistics(documents.where("doc_id = 10"), into="found").first()
+    assert np.allclose(row.found, quality.statistics(row.text), rtol=1e-6) and row.score == 7
 
 
 # --- packing
