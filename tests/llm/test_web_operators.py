@@ -55,6 +55,33 @@ def test_nearest_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_of_candidates():
+    """Where the forest leaves rows out: the queries of sf0.1."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
+    x, asks = np.array(t.embedding.tolist(), dtype=np.float64), np.flatnonzero(t.vec_id.to_numpy() % 20 == 0)
+    extra = np.sqrt(np.maximum(0.0, (x * x).sum(1).max() - (x * x).sum(1)))
+    mask = forest._candidates(forest._strings(np.hstack((x, extra[:, None]))), forest._strings(np.hstack((x[asks], np.zeros((len(asks), 1))))), max(800, int(0.3 * len(x))))
+    hits = 0
+    for k, i in enumerate(asks):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += mask[k, np.argpartition(-s, 19)[:20]].sum()
+    assert hits >= 0.9 * 20 * len(asks) and mask.mean() < 0.6
+
+
+def test_nearest_of_repeated_rows(spark):
+    """Repeated rows are one, an id with 40 equal rows hides no other id, and an id with two
+    vectors has its better score."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [0.9, 0.0])] * 40 + [(2, [0.9, 0.0]), (3, [0.2, 0.0]), (3, [0.8, 0.0]), (4, [0.1, 5.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = forest.nearest(d, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(1, 0.9), (2, 0.9), (3, 0.8)]
+    out = forest.nearest(d, F.col("vec_id") == 3, k=9).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in out] == [(0, 0.8), (1, 0.72), (2, 0.72), (4, 0.08)]
+
+
 def test_nearest_edge_rows(spark):
     rows = [(20, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (8, [1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1))
