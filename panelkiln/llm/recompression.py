@@ -17,9 +17,11 @@ three rounds, an end of a passage spoils at most 2+2, 3 and 3 words, so the inne
 (12 + 3 words): no repeat is missed.  Anchors meet in buckets by their hash; only the
 windows around anchors that occur twice go on.
 
-Verify.  Those windows are hashed whole (64 bits, next to an independent choice of the
-bucket) and meet in buckets again; what occurs once is given back to its shard, the
-rest is removed.
+Verify.  Those windows are hashed whole, twice: 64 bits, and other bits that choose the
+bucket in which they meet; what occurs once is given back to its shard, the rest is
+removed.  Two different windows count as equal only if both agree: with a bucket for each
+8 MB, that is 64 + 23 bits at 100 TB, for some 5e12 candidate windows 0.1 expected in all
+(and less than one within a shard, where 64 bits decide).
 
 Shuffles carry packed 8-byte hashes of a (bucket, shard) cell, not rows.  What repeats
 inside a task is known there: it goes to its bucket once, so that a passage found in a
@@ -44,7 +46,7 @@ WINDOW, COVER, ROUNDS, MAX_SYMBOL, MAX_RUN = 35, 12, 3, 4, 2
 SHARD_BYTES, CHUNK_BYTES, FLUSH = 8 << 20, 1 << 20, 500_000
 U = np.uint64
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
-_Q_INVERSE = U(pow(int(_Q), -1, 1 << 64))
+_R = U(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -62,12 +64,13 @@ def _powers(base: U, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
-def _range_hash(values: np.ndarray, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+def _range_hash(values: np.ndarray, first: np.ndarray, past: np.ndarray, base: U = _Q) -> np.ndarray:
     """A hash of values[first:past] for each pair, from one prefix sum."""
     n = len(values)
     total = np.zeros(n + 1, dtype=U)
-    np.cumsum(values * _powers(_Q, n), out=total[1:])
-    return _mix((total[past] - total[first]) * _powers(_Q_INVERSE, n + 1)[first] ^ past.astype(U) - first.astype(U))
+    np.cumsum(values * _powers(base, n), out=total[1:])
+    inverse = U(pow(int(base), -1, 1 << 64))
+    return _mix((total[past] - total[first]) * _powers(inverse, n + 1)[first] ^ past.astype(U) - first.astype(U))
 
 
 class Words:
@@ -119,6 +122,10 @@ class Words:
     def windows(self, at: np.ndarray) -> np.ndarray:
         return _range_hash(_mix(self.name ^ _P), at, at + WINDOW)
 
+    def window_buckets(self, at: np.ndarray) -> np.ndarray:
+        """Bits of the windows that windows() does not depend on."""
+        return _range_hash(_mix(self.name + _R), at, at + WINDOW, _R)
+
 
 def _runs(name, doc, size, begin):
     """Name the maximal runs of one symbol that have at most MAX_RUN words."""
@@ -247,12 +254,12 @@ def _meet(cells: DataFrame, buckets: int, repeated: bool) -> DataFrame:
     return cells.groupBy("bucket").applyInArrow(run, "shard int, hashes binary")
 
 
-def _to_buckets(hashes: np.ndarray, shard: np.ndarray, buckets: int, salt: int, direct: bool):
-    """Cells: each distinct hash once to its bucket and, if ``direct``, what repeats here
-    to every shard that has it."""
+def _to_buckets(hashes: np.ndarray, shard: np.ndarray, buckets: int, chosen_by: np.ndarray, direct: bool):
+    """Cells: each distinct hash once to the bucket that ``chosen_by`` says and, if
+    ``direct``, what repeats here to every shard that has it."""
     values, index, place, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     many = count > 1
-    bucket = ((_mix(values + U(salt)) >> U(33)) % U(buckets)).astype(np.int64)
+    bucket = ((chosen_by[index] >> U(11)) % U(buckets)).astype(np.int64)
     yield _cells(bucket, shard[index], many.astype(np.int64), values)
     at = np.nonzero(many[place])[0]
     if direct and len(at):
@@ -277,7 +284,8 @@ def _reveal(docs: DataFrame, buckets: int) -> DataFrame:
                 of.append(shards[a:b][words.doc[begin]])
                 n += len(h)
                 if n and (n >= FLUSH or b == len(texts)):
-                    for columns in _to_buckets(np.concatenate(found), np.concatenate(of), buckets, 1, True):
+                    hashes = np.concatenate(found)
+                    for columns in _to_buckets(hashes, np.concatenate(of), buckets, _mix(hashes + U(1)), True):
                         yield pa.RecordBatch.from_arrays(columns, _CELL_NAMES)
                     found, of, n = [], [], 0
 
@@ -341,7 +349,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``result`` "text" adds kept_text, the text without the removed words (untouched if
     none is removed); "sha256" adds kept_sha256 of the kept words joined by one space.
     Windows are judged on the input.  Null and empty texts have no words; texts below 35
-    words have no window; equal rows repeat each other, so lose all their windows.
+    words have no window; equal rows repeat each other, so lose all their windows (rows
+    with the same id and the same long text are one shard).
     """
     spark, as_text = docs.sparkSession, result == "text"
     carried = list(carry or [id_col])
@@ -349,7 +358,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     parts = max(shuffle_partitions(spark), -(-int(size) // SHARD_BYTES))
     packs = [f"_c{k}" for k in range(len(carried))]  # names that no column of a table has
-    source = docs.select(*[F.col(c).alias(p) for c, p in zip(carried, packs)], F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int").alias("shard"), text.alias("text"))
+    # texts too short for a window may be anywhere, so that many empty ones of one id are no hot shard
+    dealt = F.when(F.octet_length(text) < 2 * WINDOW - 1, F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(id_col), text))
+    source = docs.select(*[F.col(c).alias(p) for c, p in zip(carried, packs)], F.pmod(dealt, F.lit(parts)).cast("int").alias("shard"), text.alias("text"))
     shared = _meet(_reveal(source, parts), parts, repeated=True)
     carry_schema = [T.StructField(p, source.schema[p].dataType) for p in packs]
     kept = T.StructField("kept", T.StringType())
@@ -374,11 +385,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return judged_type.empty_table()
         types = {p: left[p].type for p in packs} | {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "shard": pa.int32(), "text": pa.string(), "ranges": pa.binary(), "bucket": pa.int32()} | {c: pa.binary() for c in _CELL_NAMES[1:]}
         known, texts, out = _shard_hashes(right), _bytes(left["text"]), []
-        windows = []
+        windows, choices = [], []
         for a, b in _chunks(texts):
             words = Words(texts[a:b])
             at = _candidate_windows(words, known)
             windows.append(words.windows(at))
+            choices.append(words.window_buckets(at))
             has = np.zeros(b - a, dtype=bool)
             has[words.doc[at]] = True
             clean, open_ = np.nonzero(~has)[0], np.nonzero(has)[0]
@@ -396,7 +408,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         hashes = np.concatenate(windows or [np.empty(0, dtype=U)])
         if len(hashes):
             shard = np.full(len(hashes), left["shard"][0].as_py(), dtype=np.int64)
-            for columns in _to_buckets(hashes, shard, parts, 2, False):
+            for columns in _to_buckets(hashes, shard, parts, np.concatenate(choices), False):
                 rows = dict(zip(_CELL_NAMES, columns))
                 out.append(table_of(rows, len(columns[0]), types))
         return pa.concat_tables(out) if out else table_of({}, 0, types)
@@ -438,6 +450,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and the digest of the kept ones of every document; null and
+    empty texts have none and the digest of nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_substrings(docs, result="sha256")
 
