@@ -6,7 +6,7 @@ residual that fits and walks to its successors until a bin holds neither its sou
 its cluster; so it gets the tightest compatible bin, or a new one.
 
 Documents are dealt to shards by a hash of their id, each of about ``SHARD_TOKENS``
-tokens, so a shard is small whatever the skew in sources or clusters, and bins of
+tokens or ``SHARD_ROWS`` rows, so a shard is small whatever the skew in sources or clusters, and bins of
 different shards never mix.  Only lengths travel, not texts.  A document longer than a
 bin is cut: full bins first, then its rest is packed like any other.
 """
@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 CAPACITY = 2048
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS, SHARD_ROWS = 2_000_000, 8192
 WORD = r"[^\x20\x09-\x0D]+"
 PACKED = "row_id long, piece int, first_token long, n_tokens long, bin string, residual long"
 
@@ -80,10 +82,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.col(source_col).cast("string").alias("source"),
         (F.xxhash64(text) if cluster is None else cluster).alias("cluster"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
-        F.xxhash64(F.col(id_col), text).alias("_deal"),
+        F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()).alias("_deal"),
     ).where("tokens > 0")
-    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-total // shard_tokens))
+    sized = written(sized, "sizes")  # texts are scanned once
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    shards = max(1, -(-total["n"] // shard_tokens), -(-total["rows"] // SHARD_ROWS))
     last = F.floor((F.col("tokens") - 1) / capacity)
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("p")).select(
         F.pmod(F.xxhash64("_deal", "p"), F.lit(shards)).cast("int").alias("shard"),
@@ -98,5 +101,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their bins; texts without a token give no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs).withColumnRenamed("row_id", "doc_id")
