@@ -2,18 +2,23 @@
 
 A page is read once into blocks of text with their root-to-leaf path of elements.  For
 each path the lengths and the punctuation of its blocks are summed and divided by their
-number; the two ratios are smoothed over neighbouring blocks, fused (text length, times
-punctuation, less the part in links), and paths above a threshold are content.  The
-article is the element that holds them: the nearest ``article`` or ``main`` around the
-best block or, without one, the smallest element around all content blocks.  All its
-blocks belong to the text, short ones as well, but for those whose path says that they
-are menus, notices, adverts, forms, comments and the like.
+number; the two ratios are fused (text length, times punctuation, less the part in links)
+and smoothed over neighbouring blocks, and the smoothed score is lowered where classes and
+ids say that an element is a menu, notice, advert, form or comment.  Blocks above a
+threshold are content.  They choose the article: the ``article`` or ``main`` that holds
+most of them or, without one, the smallest element around them all.  Its blocks are the
+text: those above the threshold, and short ones (headings, items, cells) that nothing
+speaks against.  Class words alone drop nothing; elements that hold no text of an article
+by their meaning (nav, form, script, a role, hidden) do.
+
+Memory is linear in the page: a path is the number of its parent path and a name.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from math import exp
 
 import pyarrow as pa
@@ -51,47 +56,69 @@ AROUND = frozenset(
     leaderboard skyscraper trending""".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that are a piece of text, not a box around others.
+TEXTS = HEADINGS | frozenset("p blockquote li dd dt td th pre figure figcaption caption".split())
+# Words that on a piece of text inside an article mean an advert or a notice.
+PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies newsletter subscribe signup share sharing".split())
+# Words that say nothing in a name with one of the above.
+FILLERS = frozenset(
+    """area article articles bar body block bottom box button buttons col column container content count entry form group icon icons inline inner item items left link
+    links list main media module page panel post posts primary reader readers right row secondary section side site slot social text thread title top unit user users
+    wrap wrapper""".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
-THRESHOLD = 0.25  # of the best fused score
+THRESHOLD = 0.25  # of the best score
+STRONG, PLAINLY, WEAK = 0.05, 0.2, 0.5  # what class words leave of a score
 
 
 class _Element:
-    __slots__ = ("tag", "name", "parent", "around", "holder")
+    __slots__ = ("tag", "path", "parent", "around", "weight", "holder", "number", "last")
 
-    def __init__(self, tag: str, attrs: dict, parent: "_Element | None"):
-        self.tag, self.parent = tag, parent
-        words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    def __init__(self, tag: str, attrs: dict, parent: "_Element | None", number: int, paths: dict):
+        self.tag, self.parent, self.number, self.last = tag, parent, number, None
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
         hidden = attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or "hidden" in attrs
         inside = parent is not None and parent.holder is not None
-        about = AROUND & _telling(tag, attrs, inside) - ({"header", "hidden"} if words & {"article", "entry", "post"} or tag == "body" else set())
         self.around = (
             (parent is not None and parent.around)
             or tag in SKIPPED
             or (tag == "header" and not inside)
             or attrs.get("role", "").lower() in ROLES
             or hidden
-            or (bool(about) and tag not in ("html", "body"))
         )
+        self.weight = (parent.weight if parent else 1.0) * (_weight(tag, attrs, inside) if names != " " else 1.0)
         is_holder = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
-        self.holder = self if is_holder and not self.around else (parent.holder if parent else None)
-        self.name = (parent.name + "/" if parent else "") + tag + ("." + ".".join(sorted(words)) if words else "")
+        self.holder = self if is_holder and not self.around and self.weight == 1.0 else (parent.holder if parent else None)
+        self.path = paths.setdefault((parent.path if parent else -1, tag, tuple(sorted(set(_WORD.findall(names))))), len(paths))
 
 
-def _telling(tag: str, attrs: dict, inside: bool) -> set:
-    """The words of class and id that may say what an element is.  Ids of headings, and of
-    sections in an article, are slugs of their titles; other ids in an article, and classes
-    of headings and of its sections, count whole."""
+def _weight(tag: str, attrs: dict, inside: bool) -> float:
+    """What class and id leave of an element's score.  Ids of headings, and of sections in
+    an article, are slugs of their titles; other ids in an article count whole."""
     classes, own = attrs.get("class", "").lower(), attrs.get("id", "").lower()
-    titled = tag in HEADINGS or (inside and tag == "section")
-    words = set(classes.split() if titled else _WORD.findall(classes))
-    if not titled:
-        words |= {own} if inside else set(_WORD.findall(own))
-    return words
+    parts = set(_WORD.findall(f"{classes} {own}"))
+    telling = AROUND - ({"header", "hidden"} if parts & {"article", "entry", "post"} or tag == "body" else set())
+    if tag in ("html", "body"):
+        return 1.0
+    if tag in TEXTS:
+        return PLAINLY if (PLAIN if inside else telling) & set(classes.split()) else 1.0
+    names = classes.split() if not (inside and tag == "section" and not classes) else []
+    if not inside:
+        return STRONG if telling & parts else 1.0
+    if own in telling and tag != "section" or any(n in telling for n in names):
+        return STRONG
+    if tag == "section":
+        return 1.0
+    found = 1.0
+    for words in map(set, map(_WORD.findall, names)):
+        if telling & words:
+            found = min(found, STRONG if words <= telling | FILLERS else WEAK)
+    return found
 
 
 def _attributes(text: str) -> dict:
@@ -104,8 +131,9 @@ def _attributes(text: str) -> dict:
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """(element, text, characters in links) of each block of a page, in page order."""
     out: list = []
-    root = _Element("html", {}, None)
-    stack, links, parts, linked = [root], 0, [], 0
+    paths: dict = {}
+    root = _Element("html", {}, None, 0, paths)
+    stack, links, parts, linked, number, open_ = [root], 0, [], 0, 0, Counter(["html"])
 
     def flush() -> None:
         nonlocal linked
@@ -124,9 +152,14 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             linked += len(text)
 
     def close(tags: set, stops: set) -> None:
+        if not any(open_[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 flush()
+                for e in stack[k:]:
+                    e.last = number
+                    open_[e.tag] -= 1
                 del stack[k:]
                 return
             if stack[k].tag in stops:
@@ -159,7 +192,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "p" and not any(e.tag == "p" for e in stack):
+            elif tag == "p" and not open_["p"]:
                 flush()
             elif tag == "br":
                 parts.append(" ")
@@ -193,39 +226,39 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         if tag in ("html", "body") and tag == "html":
             continue
-        stack.append(_Element(tag, _attributes(m[3]), stack[-1]))
+        number += 1
+        open_[tag] += 1
+        stack.append(_Element(tag, _attributes(m[3]), stack[-1], number, paths))
     flush()
+    for e in stack:
+        e.last = number
     return out
 
 
 def path_scores(found: list) -> list[float]:
-    """The fused, smoothed ratio of each block."""
+    """The score of each block: the fused ratio of its path, smoothed over the blocks next
+    to it (by their weight) and lowered by its own; zero for what surrounds an article."""
     sums: dict = {}
     for element, text, linked in found:
-        s = sums.setdefault(element.name, [0, 0, 0, 0])
+        s = sums.setdefault(element.path, [0, 0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_PUNCTUATION.findall(text))
         s[3] += linked
-    fused = {name: chars / n * (1 + marks / n) * (1 - linked / chars) for name, (n, chars, marks, linked) in sums.items()}
-    raw = [0.0 if e.around else fused[e.name] for e, _, _ in found]
+    fused = {path: chars / n * (1 + marks / n) * (1 - linked / chars) for path, (n, chars, marks, linked) in sums.items()}
     kernel = [exp(-(d * d) / 2) for d in (-1, 0, 1)]
     smooth = []
     for i, (element, _, _) in enumerate(found):
         if element.around:
             smooth.append(0.0)
             continue
-        near = [(kernel[d + 1], raw[i + d]) for d in (-1, 0, 1) if 0 <= i + d < len(found) and not found[i + d][0].around]
-        smooth.append(sum(k * x for k, x in near) / sum(k for k, _ in near))
+        near = [(kernel[d + 1], fused[found[i + d][0].path] * (found[i + d][0].weight if d else 1.0)) for d in (-1, 0, 1) if 0 <= i + d < len(found) and not found[i + d][0].around]
+        smooth.append(element.weight * sum(k * x for k, x in near) / sum(k for k, _ in near))
     return smooth
 
 
-def _lineage(element: _Element) -> list[_Element]:
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out[::-1]
+def _holds(element: _Element, number: int) -> bool:
+    return element.number <= number <= element.last
 
 
 def main_text(page: str | None) -> str:
@@ -243,29 +276,25 @@ def main_text(page: str | None) -> str:
     if held:
         inside = max(held, key=held.get)
     else:
-        common = _lineage(found[content[0]][0])
-        for i in content[1:]:
-            other = _lineage(found[i][0])
-            k = 0
-            while k < min(len(common), len(other)) and common[k] is other[k]:
-                k += 1
-            common = common[:k]
-        inside = common[-1]
+        inside = found[content[0]][0]
+        numbers = [found[i][0].number for i in content]
+        while not (_holds(inside, min(numbers)) and _holds(inside, max(numbers))):
+            inside = inside.parent
         if len(content) == 1 and inside.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td") and inside.parent is not None:
             inside = inside.parent
     sums: dict = {}
     for element, text, linked in found:
-        s = sums.setdefault(element.name, [0, 0])
+        s = sums.setdefault(element.path, [0, 0])
         s[0] += linked
         s[1] += len(text)
     kept = []
     for (element, text, linked), score in zip(found, scores):
-        if element.around or inside not in _lineage(element):
-            continue
-        path_linked, path_chars = sums[element.name]
-        if not held and linked > 0.5 * len(text) and path_linked > 0.5 * path_chars and score < THRESHOLD * best:
+        if element.around or not _holds(inside, element.number):
             continue
-        kept.append(text)
+        path_linked, path_chars = sums[element.path]
+        in_links = not held and linked > 0.5 * len(text) and path_linked > 0.5 * path_chars
+        if score >= THRESHOLD * best or (element.weight == 1.0 and not in_links):
+            kept.append(text)
     return "\n\n".join(kept)
 
 
@@ -284,5 +313,6 @@ def extract(pages: DataFrame, html_col: str = "html", into: str = "text", carry:
 
 
 def op7_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and its length for every page; null and empty pages have an empty text."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return extract(pages, carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))

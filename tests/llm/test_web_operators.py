@@ -127,6 +127,47 @@ def test_slugs_links_and_formulas_stay():
     assert "x+1" in html.main_text(f"<article><p>{words} <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p></article>")
 
 
+def test_class_words_in_an_article():
+    """Listed words on pieces of its text, or with others in a name, do not drop them; boxes
+    that they name go, however long their text."""
+    words = "Some words of the text, which has several clauses; and an end."
+    inner = f'<p>{words}</p><p class="related-work">Work: {words}</p><blockquote class="announcement">Quote: {words}</blockquote><div class="ad-hoc">Query: {words}</div><h2 class="search">Head</h2>'
+    noise = f'<div class="comment-list"><p>Comment: {words * 2}</p></div><p class="ad">Buy.</p><div class="newsletter">Mail: {words}</div><ul class="share-buttons"><li>Share</li></ul>'
+    got = html.main_text(f"<body><article>{inner}{noise}<p>{words}</p></article></body>")
+    assert all(x in got for x in ("Work:", "Quote:", "Query:", "Head")) and not any(x in got for x in ("Comment:", "Buy", "Mail:", "Share"))
+
+
+def test_deep_pages():
+    words = "deep text, which is here."
+    assert html.main_text("<div>" * 50_000 + words + "</div>" * 50_000) == words
+    assert html.main_text("<div>" * 50_000 + f"<p>{words}</p>" * 2000).count(words) == 2000
+    assert words in html.main_text("<ul><li>" * 20_000 + "</b></dl></p>" * 20_000 + words)
+
+
+def test_path_scores_against_plain_ratios():
+    """The smoothed, weighted ratios by whole paths, block by block."""
+    import math
+
+    rng = np.random.default_rng(4)
+    kinds = ["<p>{}</p>", "<div class='x y'>{}</div>", "<ul><li>{}</li></ul>", "<div class='comments'><p>{}</p></div>", "<section><h2>{}</h2></section>", "<p><a href=z>{}</a> more.</p>", "<nav>{}</nav>"]
+    for _ in range(20):
+        page = "<body>" + "".join(kinds[rng.integers(len(kinds))].format("word, " * rng.integers(1, 30) + "end.") for _ in range(25))
+        found = html.blocks(page)
+
+        def whole(e):
+            return (whole(e.parent) if e.parent else ()) + ((e.tag, "comments" if e.weight < (e.parent.weight if e.parent else 1) else e.tag == "div"),)
+
+        def ratio(path):
+            same = [(t, n) for e, t, n in found if whole(e) == path]
+            chars = sum(len(t) for t, _ in same)
+            return chars / len(same) * (1 + sum(c in ".,;:!?" for t, _ in same for c in t) / len(same)) * (1 - sum(n for _, n in same) / chars)
+
+        for k, (e, _, _) in enumerate(found):
+            near = [(math.exp(-((j - k) ** 2) / 2), ratio(whole(found[j][0])) * (found[j][0].weight if j != k else 1)) for j in (k - 1, k, k + 1) if 0 <= j < len(found) and not found[j][0].around]
+            want = 0.0 if e.around else e.weight * sum(a * b for a, b in near) / sum(a for a, _ in near)
+            assert math.isclose(html.path_scores(found)[k], want, rel_tol=1e-9)
+
+
 def test_extract_keeps_rows(spark):
     d = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>Hi there.</p>", "x"), (None, None, "<p>Hi there.</p>", None)], "page_id long, url string, html string, text string")
     out = html.extract(d, carry=["page_id", "url"])
