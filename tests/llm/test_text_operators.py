@@ -182,7 +182,7 @@ def test_similarity_is_exact(spark):
 def test_false_candidates_join_nothing():
     """Of three candidates only a pair that the others would hide is a link."""
     a, b, c = np.arange(1000), np.arange(150, 1150), np.arange(100, 1100)
-    sign = np.arange(64, dtype="<u4").tobytes()
+    sign = np.arange(64, dtype=np.uint8).tobytes()
     members = [(k, sign, x.astype("<u8").tobytes()) for k, x in enumerate((np.arange(300, 1300), a, c, b))]
     jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
     assert jaccard(a, c) >= 0.8 > jaccard(a, b) and jaccard(members_of(members, 0), a) < 0.8
@@ -224,6 +224,55 @@ def test_with_next_ties_nulls_and_one_row(spark, nothing):
     assert multiset.with_next(nothing.select("doc_id", "text"), "doc_id", ["text"], "text").count() == 0
 
 
+def test_with_next_of_hot_ids(spark):
+    """Null ids, one id and one row that fill many ranges each: every row is in the one ring."""
+    rows = [(None, f"n{k}") for k in range(300)] + [(7, f"s{k}") for k in range(300)] + [(9, "same")] * 200 + [(k, f"u{k}") for k in range(20, 220)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("n", F.lit(1))
+    out = multiset.with_next(d.cache(), "doc_id", ["doc_id", "text"], "text").collect()
+    want = collections.Counter((r[0], r[1]) for r in rows)
+    assert collections.Counter((r.doc_id, r.text) for r in out) == want == collections.Counter((r.next_doc_id, r.next_text) for r in out)
+    rank = lambda x: -1 if x is None else x
+    assert sum(rank(r.doc_id) > rank(r.next_doc_id) for r in out) == 1  # only from the last to the first
+    assert all(r.next_doc_id == r.doc_id + 1 for r in out if r.doc_id is not None and 20 <= r.doc_id < 219)
+
+
+def test_likeness_against_plain_counts(spark):
+    """Fingerprints by plain arithmetic, a piece repeated above 2**20, and likeness beside
+    the true share of pieces."""
+    ends = re.compile(r"[\n\r]+|(?<=[.!?]) +")
+
+    def plain(text):
+        lanes = [0] * multiset.WIDTH
+        for p in (x for x in ends.split(text) if x):
+            w, digest = len(p).bit_length(), hashlib.sha256(p.encode()).hexdigest()
+            for k in range(multiset.STRONG):
+                lanes[k] += int(digest[15 * k : 15 * k + 15], 16)
+            lanes[multiset.STRONG] += w
+            for j, seed in enumerate((42, 1)):
+                h = hashes[(p, seed)]
+                for k in range(multiset.STRIDE):
+                    for c in range(multiset.LANES_A_LONG):
+                        lanes[multiset.STRONG + 1 + j * multiset.STRIDE + k] += (h >> (k + c * multiset.LANE_BITS) & 1) * w << c * multiset.LANE_BITS
+        return [x % 2**60 for x in lanes]
+
+    rng = random.Random(4)
+    piece = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(9)) + "."
+    base = [piece() for _ in range(200)]
+    texts = [" ".join(base[: 200 - k] + [piece() for _ in range(k)]) for k in (0, 50, 100, 150, 200)]
+    every = spark.createDataFrame([(p,) for t in texts for p in ends.split(t)], "p string")
+    hashes = {}
+    for r in every.select("p", F.xxhash64("p").alias("h"), F.xxhash64("p", F.lit(1)).alias("g")).collect():
+        hashes[(r.p, 42)], hashes[(r.p, 1)] = r.h % 2**64, r.g % 2**64
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").withColumn("fp", multiset.fingerprint(F.col("text")))
+    fps = {r.k: r.fp for r in d.collect()}
+    assert all(fps[k] == plain(t) for k, t in enumerate(texts))
+    near = {r.k: r.near for r in d.withColumn("near", multiset.likeness(F.col("fp"), F.lit(fps[0]))).collect()}
+    assert near[0] == 1.0 and all(abs(near[k] - share) < 0.3 for k, share in ((1, 0.75), (2, 0.5), (3, 0.25), (4, 0.0)))
+    long = spark.range(2).select((F.repeat(F.lit("It is so. "), 300_000 - F.col("id").cast("int"))).alias("text")).withColumn("fp", multiset.fingerprint(F.col("text")))
+    a, b = [r.fp for r in long.collect()]
+    assert a[multiset.STRONG] == 4 * 300_000 and spark.range(1).select(multiset.likeness(F.lit(a), F.lit(b))).first()[0] > 0.99
+
+
 # --- language and quality
 
 
