@@ -15,16 +15,21 @@ MEAN_METRICS = [
 # Metrics summed over a window.
 SUM_METRICS = ["goals_scored", "assists", "bonus"]
 # Columns that are no metrics.
-NO_METRICS = frozenset(
-    """player_id gameweek fixture_id opponent_team_id was_home kickoff_time season name web_name position team element_type status modified fixture round GW
-    element player league_id season_id team_id game_id position_id news photo code opta_code birth_date team_join_date""".split()
-)
-NO_METRIC_SUFFIXES = ("_per_90", "_rank", "_rank_type", "_text", "_link")
+NO_METRICS = frozenset([
+    "player_id", "gameweek", "fixture_id", "opponent_team_id", "was_home", "kickoff_time", "season", "name", "web_name", "position", "team", "element_type",
+    "status", "modified", "fixture", "round", "GW", "element", "player", "league_id", "season_id", "team_id", "game_id", "position_id", "news", "photo", "code",
+    "opta_code", "birth_date", "team_join_date",
+])
+# Endings of such columns; the first stands for the player ids of each source.
+NO_METRIC_SUFFIXES = ("_player_id", "_per_90", "_rank", "_rank_type", "_text", "_link")
 WINDOWS = (3, 5, 10)
 # Rows of a form window by its name.
 FORM_WINDOWS = {"7d": 3, "14d": 6, "30d": 10}
 # Metrics of a pair of teams.
-TEAM_PAIR_MEANS = [f"{side}_{m}" for m in ("xg", "goals", "shots", "ppda", "deep_completions", "expected_points", "np_xg") for side in ("home", "away")]
+TEAM_PAIR_MEANS = [
+    "home_xg", "away_xg", "home_goals", "away_goals", "home_shots", "away_shots", "home_ppda", "away_ppda", "home_deep_completions", "away_deep_completions",
+    "home_expected_points", "away_expected_points", "home_np_xg", "away_np_xg",
+]
 TEAM_PAIR_SUMS = ["home_goals", "away_goals"]
 # Position codes.
 POSITIONS = {

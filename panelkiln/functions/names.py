@@ -45,9 +45,10 @@ def first_last(c: Column) -> Column:
 
 
 def standard_name(c: Column, known: Column | None = None) -> Column:
-    """P-15: trim, known variation (if joined), brackets, order, accents, title case."""
-    plain = title_case(strip_accents(first_last(drop_brackets(F.trim(c)))))
-    return F.coalesce(known, plain) if known is not None else plain
+    """P-15: trim, known variation (if joined; it goes on like a given name), brackets,
+    order, accents, title case."""
+    name = F.coalesce(known, F.trim(c)) if known is not None else F.trim(c)
+    return title_case(strip_accents(first_last(drop_brackets(name))))
 
 
 def simple_name(c: Column) -> Column:

@@ -1,11 +1,14 @@
 """Head-to-head and home/away aggregates (A-1 to A-9).
 
-Last-n and venue columns are conditional aggregates over one rank, so rank and groups
-share one exchange; nothing is joined to itself.
+Two branches, joined by pair: totals are summed before their shuffle, and last-n columns
+see only the newest rows of each pair, which Spark cuts to before the shuffle as well, so a
+pair that holds a third of all rows is no large task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,26 +22,40 @@ def _total(c: Column, present: Column) -> Column:
     return F.when(F.count(F.when(present, 1)) > 0, F.coalesce(F.sum(F.when(present, c)), F.lit(0)))
 
 
+def _with_newest(rows: DataFrame, pair, venue, order, totals, newest, n: int) -> DataFrame:
+    """``totals`` of all rows of a pair beside ``newest``, aggregates over its ``n`` newest
+    rows (of each venue), whose rank is in ``_rank``.  Null keys are keys."""
+    whole = rows.groupBy(*pair).agg(*totals)
+    if not newest:
+        return whole
+    latest = Window.partitionBy(*pair, *venue).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    last = rows.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).groupBy(*pair).agg(*newest)
+    last = last.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(pair)], *[c for c in last.columns if c not in pair])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(pair)])
+    return whole.join(last, same, "left").drop(*[f"_{i}" for i in range(len(pair))])
+
+
 def head_to_head(df: DataFrame, pair, order, mean=(), sums=(), windows=config.WINDOWS, count_name: str = "appearances", was_home: str | None = None, seasons=None) -> DataFrame:
     """A-1 and A-4 (with A-2, A-3): per pair avg_{m}, total_{s}, the number of rows,
-    {m}_h2h_last_{w}, {s}_h2h_sum_last_{w}, recent_{m}_last_5 and, with ``was_home``,
-    avg_{m}_home/_away and total_{s}_home/_away.  ``order`` ascends in time; rows tied in
-    it are ranked arbitrarily, so it should be total."""
+    {m}_h2h_last_{w}, {s}_h2h_sum_last_{w}, recent_{m}_last_5, recent_{s}_sum_last_5 and,
+    with ``was_home``, avg_{m}_home/_away and total_{s}_home/_away.  ``order`` ascends in
+    time; rows tied in it are ranked arbitrarily, so it should be total."""
     rows = df.where(F.col("season").isin(list(seasons))) if seasons is not None else df
-    newest = Window.partitionBy(*pair).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    ranked = rows.withColumn("_rank", F.row_number().over(newest))
     yes = F.lit(True)
-    out = [F.avg(m).alias(f"avg_{m}") for m in mean] + [_total(F.col(s), yes).alias(f"total_{s}") for s in sums] + [F.count("*").alias(count_name)]
-    for w in windows:
-        last = F.col("_rank") <= w
-        out += [F.avg(F.when(last, F.col(m))).alias(f"{m}_h2h_last_{w}") for m in mean]
-        out += [_total(F.col(s), last).alias(f"{s}_h2h_sum_last_{w}") for s in sums]
-    out += [F.avg(F.when(F.col("_rank") <= RECENT, F.col(m))).alias(f"recent_{m}_last_{RECENT}") for m in mean]
+    totals = [F.avg(m).alias(f"avg_{m}") for m in mean] + [_total(F.col(s), yes).alias(f"total_{s}") for s in sums] + [F.count("*").alias(count_name)]
     if was_home is not None:
         for name, side in (("home", F.col(was_home)), ("away", ~F.col(was_home))):
-            out += [F.avg(F.when(side, F.col(m))).alias(f"avg_{m}_{name}") for m in mean]
-            out += [_total(F.col(s), side).alias(f"total_{s}_{name}") for s in sums]
-    return ranked.groupBy(*pair).agg(*out)
+            totals += [F.avg(F.when(side, F.col(m))).alias(f"avg_{m}_{name}") for m in mean]
+            totals += [_total(F.col(s), side).alias(f"total_{s}_{name}") for s in sums]
+    newest = []
+    for w in windows:
+        last = F.col("_rank") <= w
+        newest += [F.avg(F.when(last, F.col(m))).alias(f"{m}_h2h_last_{w}") for m in mean]
+        newest += [_total(F.col(s), last).alias(f"{s}_h2h_sum_last_{w}") for s in sums]
+    recent = F.col("_rank") <= RECENT
+    newest += [F.avg(F.when(recent, F.col(m))).alias(f"recent_{m}_last_{RECENT}") for m in mean]
+    newest += [_total(F.col(s), recent).alias(f"recent_{s}_sum_last_{RECENT}") for s in sums]
+    return _with_newest(rows, pair, [], order, totals, newest, max([RECENT, *windows]))
 
 
 def head_to_head_bundle(player_rows: DataFrame, matches: DataFrame, **options) -> dict[str, DataFrame]:
@@ -52,15 +69,13 @@ def head_to_head_bundle(player_rows: DataFrame, matches: DataFrame, **options) -
 def player_home_away(df: DataFrame, pair, order, mean=(), sums=(), windows=config.WINDOWS, was_home: str = "was_home") -> DataFrame:
     """A-6: per pair home_avg_{m}, away_avg_{m}, home_total_{s}, ..., appearances by venue
     and {side}_{m}_rolling_{w} over the last w rows at that venue."""
-    newest = Window.partitionBy(*pair, was_home).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    ranked = df.withColumn("_rank", F.row_number().over(newest))
-    out = []
+    totals, newest = [], []
     for name, side in (("home", F.col(was_home)), ("away", ~F.col(was_home))):
-        out += [F.avg(F.when(side, F.col(m))).alias(f"{name}_avg_{m}") for m in mean]
-        out += [_total(F.col(s), side).alias(f"{name}_total_{s}") for s in sums]
-        out.append(F.count(F.when(side, 1)).alias(f"{name}_appearances"))
-        out += [F.avg(F.when(side & (F.col("_rank") <= w), F.col(m))).alias(f"{name}_{m}_rolling_{w}") for m in mean for w in windows]
-    return ranked.groupBy(*pair).agg(*out)
+        totals += [F.avg(F.when(side, F.col(m))).alias(f"{name}_avg_{m}") for m in mean]
+        totals += [_total(F.col(s), side).alias(f"{name}_total_{s}") for s in sums]
+        totals.append(F.count(F.when(side, 1)).alias(f"{name}_appearances"))
+        newest += [F.avg(F.when(side & (F.col("_rank") <= w), F.col(m))).alias(f"{name}_{m}_rolling_{w}") for m in mean for w in windows]
+    return _with_newest(df, pair, [was_home], order, totals, newest, max([0, *windows]))
 
 
 def team_home_away(df: DataFrame, home: str, away: str, order, metrics, windows=config.WINDOWS) -> DataFrame:
@@ -70,15 +85,13 @@ def team_home_away(df: DataFrame, home: str, away: str, order, metrics, windows=
     venue only stay."""
     mine = df.select(F.col(home).alias("team"), F.col(away).alias("opponent"), F.lit(True).alias("at_home"), *order, *[F.col(h).alias(f"for_{h}") for h, _ in metrics], *[F.col(a).alias(f"against_{h}") for h, a in metrics])
     other = df.select(F.col(away).alias("team"), F.col(home).alias("opponent"), F.lit(False).alias("at_home"), *order, *[F.col(a).alias(f"for_{h}") for h, a in metrics], *[F.col(h).alias(f"against_{h}") for h, _ in metrics])
-    newest = Window.partitionBy("team", "opponent", "at_home").orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    ranked = mine.unionByName(other).withColumn("_rank", F.row_number().over(newest))
     names = [f"{p}_{h}" for h, _ in metrics for p in ("for", "against")]
-    out = []
+    totals = []
     for name, side in (("home", F.col("at_home")), ("away", ~F.col("at_home"))):
-        out += [F.avg(F.when(side, F.col(n))).alias(f"{name}_avg_{n}") for n in names]
-        out.append(F.count(F.when(side, 1)).alias(f"{name}_matches"))
-    out += [F.avg(F.when(F.col("at_home") & (F.col("_rank") <= w), F.col(n))).alias(f"home_{n}_rolling_{w}") for n in names for w in windows]
-    return ranked.groupBy("team", "opponent").agg(*out)
+        totals += [F.avg(F.when(side, F.col(n))).alias(f"{name}_avg_{n}") for n in names]
+        totals.append(F.count(F.when(side, 1)).alias(f"{name}_matches"))
+    newest = [F.avg(F.when(F.col("at_home") & (F.col("_rank") <= w), F.col(n))).alias(f"home_{n}_rolling_{w}") for n in names for w in windows]
+    return _with_newest(mine.unionByName(other), ["team", "opponent"], ["at_home"], order, totals, newest, max([0, *windows]))
 
 
 def advantage(df: DataFrame, metrics, floor: float = 0.01) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from .. import config
 
-NUMERIC = (T.LongType, T.IntegerType, T.DoubleType, T.FloatType)
+NUMERIC = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.DecimalType)
 
 
 def resolve_metrics(df: DataFrame, mean=None, sums=None, exclude=(), unlisted: bool = True) -> tuple[list[str], list[str]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,24 @@ def projections(df: DataFrame, by=(), player: str = "player_id", points: str = "
     position_rank and is_differential.  Ties go to the smaller id."""
     d = df.withColumn("combined_score", F.col(points) * F.col(prob))
     order = [F.col("combined_score").desc_nulls_last(), F.col(player)]
-    whole = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)
-    return d.select("*", F.row_number().over(whole).alias("overall_rank"), F.row_number().over(Window.partitionBy(*by, position).orderBy(*order)).alias("position_rank"), (F.col(ownership) < differential).alias("is_differential"))
+    ranked = ranks(ranks(d, list(by), order, "combined_score", "overall_rank"), [*by, position], order, "combined_score", "position_rank")
+    return ranked.withColumn("is_differential", F.col(ownership) < differential)
+
+
+def ranks(df: DataFrame, by: list, order: list, score: str, into: str) -> DataFrame:
+    """The row number within ``by`` in ``order``, which begins with ``score`` descending.
+    The rows are cut into ranges of the score at quantiles, a number for each shuffle
+    partition; a row's number is that within its range and the rows of the ranges above, so
+    no task holds all rows of a group.  Null scores come last."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = sorted(set(df.stat.approxQuantile(score, [k / n for k in range(1, n)], 0.25 / n)))
+    above = F.size(F.filter(F.lit(cuts), lambda c: c > F.col(score))) if cuts else F.lit(0)
+    dealt = df.withColumn("_range", F.when(F.col(score).isNull(), len(cuts) + 1).otherwise(above))
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.col("_range").alias("_r"), (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)]])
+    within = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    return within.join(before, same).withColumn(into, (F.col("_k") + F.col("_before")).cast("int")).select(*df.columns, into)
 
 
 def captains(df: DataFrame, n: int = 5, prob: str = "xi_prob", least: float = CAPTAIN_START, ownership: str = "ownership", player: str = "player_id") -> DataFrame:

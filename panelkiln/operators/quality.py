@@ -93,6 +93,13 @@ def is_fresh(df: DataFrame, required=(), min_rows: int = 1) -> bool:
     return set(required) <= set(df.columns) and df.limit(min_rows).count() >= min_rows
 
 
+def freshness(df: DataFrame, required=(), **least: int) -> DataFrame:
+    """V-8 as a lazy table of one row: whether the required columns and so many rows are
+    there, one column for each of ``least``."""
+    whole = set(required) <= set(df.columns)
+    return df.agg(*[(F.lit(whole) & (F.count("*") >= n)).alias(name) for name, n in least.items()])
+
+
 def orphans(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """V-10: the number of non-null keys that the other table lacks, one row."""
     known = other.select(F.col(other_key or key).alias(key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -27,46 +27,61 @@ def _length_pairs(s: DataFrame, t: DataFrame, a: str, b: str, floor: float) -> D
     return dealt.hint("shuffle_hash").join(copies, ["_class", "_block"]).where(F.abs(la - lb) <= (1 - floor) * F.greatest(la, lb)).drop("_class", "_block")
 
 
-def build_name_mapping(source: DataFrame, target: DataFrame, threshold: float = 0.75, variations: DataFrame | None = None, name: str = "name", order: str | None = None, block=(), below: bool = False) -> DataFrame:
+def _one_edit(s: DataFrame, t: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of rows whose texts ``a`` and ``b`` are at most one edit apart, by an equi-join
+    on the texts and all their forms that lack one character."""
+    forms = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substring(c, k + 1, F.length(c))))))
+    joined = s.withColumn("_form", F.explode(forms(a))).hint("shuffle_hash").join(t.withColumn("_form", F.explode(forms(b))), "_form")
+    return joined.drop("_form").where(F.levenshtein(a, b) <= 1).distinct()
+
+
+def build_name_mapping(source: DataFrame, target: DataFrame, threshold: float = 0.75, variations: DataFrame | None = None, name: str = "name", order: str | None = None, below: bool = False) -> DataFrame:
     """J-10: (source_name, mapped_name, confidence, method) per distinct source name.
 
-    Known variation 1.0; then the standardised source equal to the lower-cased target 1.0;
-    then the best similarity of standardised names at or above ``threshold``, the first
-    candidate (by ``order``, else by name) of ties; else the name itself, with the best
-    score if ``below`` is set.
-
-    Only names that the two equi-joins leave reach the edit distance, against the distinct
-    target names, with a length prune that loses nothing above the threshold.  ``block``
-    (columns of both sides) makes that an equi-join as well; without it the target names
-    are a dimension table that is met whole."""
-    keys = list(block)
-    s = source.select(F.col(name).alias("source_name"), *keys).where(F.col(name).isNotNull()).distinct()
+    A known variation 1.0, if the targets have its name; then the standardised source (with
+    variations) equal to a lower-cased target 1.0; then the best similarity of standardised
+    names at or above ``threshold``, the first candidate (by ``order``, else by name) of
+    ties; else the name itself, with the best score if ``below`` is set, else 0.  Null
+    names are left out.
+
+    Names one edit apart are found by an equi-join (from four characters on nothing else can
+    be nearer).  Only distinct names that are left are held against all distinct targets of
+    a length that the threshold allows: in blocks, an equi-join on length class and block.
+    At 0.75 an edit may fall every fourth character, so no key of a name survives for sure
+    that would tell more."""
     rank = F.col(order) if order else F.col(name)
-    t = target.where(F.col(name).isNotNull()).groupBy(*keys, F.col(name).alias("target_name")).agg(F.min(rank).alias("_order"))
-    known = None
+    s = source.select(F.col(name).alias("source_name")).where(F.col(name).isNotNull()).distinct()
+    t = target.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("target_name")).agg(F.min(rank).alias("_order"))
     if variations is not None:
-        s = s.join(F.broadcast(variations.select(F.trim("source").alias("_v"), F.col("canonical").alias("_known"))), F.trim("source_name") == F.col("_v"), "left").drop("_v")
-        known = F.col("_known")
-    s = s.withColumn("_std", F.lower(N.standard_name(F.col("source_name"), known)))
-    t = t.withColumn("_low", F.lower("target_name")).withColumn("_tstd", F.lower(N.standard_name(F.col("target_name"))))
-    first = lambda d, by: d.withColumn("_r", F.row_number().over(Window.partitionBy("source_name", *keys).orderBy(*by))).where("_r = 1").drop("_r")
-    done = []
-    rest = s
-    if known is not None:
-        done.append(s.where("_known is not null").select("source_name", *keys, F.col("_known").alias("mapped_name"), F.lit(1.0).alias("confidence"), F.lit("known").alias("method")))
-        rest = s.where("_known is null")
-    exact = first(rest.join(t, [*keys, rest["_std"] == t["_low"]] if not keys else (rest["_std"] == t["_low"]) & reduce(lambda a, b: a & b, [rest[k] == t[k] for k in keys])).select("source_name", *[rest[k] for k in keys], "target_name", "_order"), ["_order", "target_name"])
-    done.append(exact.select("source_name", *keys, F.col("target_name").alias("mapped_name"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("method")))
-    left = rest.join(exact.select("source_name", *keys), ["source_name", *keys], "left_anti")
-    ls, lt = F.length("_std"), F.length("_tstd")
-    near = F.lit(True) if below else F.abs(ls - lt) <= (1 - threshold) * F.greatest(ls, lt)
-    on = reduce(lambda a, b: a & b, [left[k] == t[k] for k in keys], near)
-    scored = left.join(t if keys else F.broadcast(t), on).select("source_name", *[left[k] for k in keys], "target_name", "_order", N.similarity(F.col("_std"), F.col("_tstd")).alias("score"))
-    best = first(scored if below else scored.where(F.col("score") >= threshold), [F.desc("score"), "_order", "target_name"])
-    won = left.select("source_name", *keys).join(best, ["source_name", *keys], "left")
-    good = F.coalesce(F.col("score") >= threshold, F.lit(False))
-    done.append(won.select("source_name", *keys, F.when(good, F.col("target_name")).otherwise(F.col("source_name")).alias("mapped_name"), F.coalesce("score", F.lit(0.0)).alias("confidence"), F.when(good, "fuzzy").otherwise("none").alias("method")))
-    return reduce(DataFrame.unionByName, done)
+        known = variations.groupBy(F.trim("source").alias("_v")).agg(F.min("canonical").alias("_known"))
+        s = s.join(known, F.trim("source_name") == F.col("_v"), "left").drop("_v")
+        t = t.join(known.withColumnRenamed("_known", "_tknown"), F.trim("target_name") == F.col("_v"), "left").drop("_v")
+    else:
+        s, t = s.withColumn("_known", F.lit(None).cast("string")), t.withColumn("_tknown", F.lit(None).cast("string"))
+    s = s.withColumn("_std", F.lower(N.standard_name(F.col("source_name"), F.col("_known"))))
+    t = t.select("target_name", "_order", F.lower("target_name").alias("_low"), F.lower(N.standard_name(F.col("target_name"), F.col("_tknown"))).alias("_tstd"))
+    entry = lambda score: F.struct((-score).alias("far"), "_order", "target_name")
+    best = lambda pairs, score: pairs.groupBy("source_name").agg(F.min(entry(score)).alias("best"))
+    given = s.join(t.select(F.col("target_name").alias("_known")), "_known", "left_semi").select("source_name", F.col("_known").alias("mapped_name"), F.lit(1.0).alias("confidence"), F.lit("known").alias("method"))
+    rest = s.join(given, "source_name", "left_anti")
+    same = best(rest.join(t, rest["_std"] == t["_low"]), F.lit(1.0)).select("source_name", "best.target_name", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
+    left = rest.join(same, "source_name", "left_anti").select("source_name", "_std")
+    # distinct standardised names on both sides; of targets that are alike, the first
+    asks, targets = left.select("_std").distinct(), t.groupBy("_tstd").agg(F.min(F.struct("_order", "target_name")).alias("first")).select("_tstd", "first._order", "first.target_name")
+    score = N.similarity(F.col("_std"), F.col("_tstd"))
+    pick = lambda pairs: pairs.select("_std", score.alias("score"), "_order", "target_name").groupBy("_std").agg(F.min(entry(F.col("score"))).alias("best"))
+    near = pick(_one_edit(asks.where(F.length("_std") >= 4), targets, "_std", "_tstd"))
+    far = asks.join(near, "_std", "left_anti")
+    floor = 0.01 if below else threshold
+    found = near.unionByName(pick(_length_pairs(far, targets, "_std", "_tstd", floor).where(score >= (0 if below else threshold))))
+    good = F.coalesce(-F.col("best.far") >= threshold, F.lit(False))
+    fuzzy = left.join(found, "_std", "left").select(
+        "source_name",
+        F.when(good, F.col("best.target_name")).otherwise(F.col("source_name")).alias("mapped_name"),
+        F.when(good | F.lit(below), F.coalesce(-F.col("best.far"), F.lit(0.0))).otherwise(0.0).alias("confidence"),
+        F.when(good, "fuzzy").otherwise("none").alias("method"),
+    )
+    return given.unionByName(same.withColumnRenamed("target_name", "mapped_name")).unionByName(fuzzy)
 
 
 def name_match_statistics(mapping: DataFrame, low: float = 0.9) -> DataFrame:
@@ -98,44 +113,37 @@ def match_players(source: DataFrame, target: DataFrame, threshold: float = 0.40,
     """J-13: the target of each source player, in stages.
 
     ``source``: player_id, player_name, team, position; ``target``: target_id, target_name,
-    target_team, target_position; a null team is no team.  Stages, the first that gives a
-    target: 1 same name in the team, 2 the best similar name in the team, 3 same last name
-    or containment in the team with the position, 4 the best similar name of any team with
-    the position, 5 the same name in any team.  Confidence 0 and the best score without."""
+    target_team, target_position; a null or empty team is no team.  Stages, the first that
+    gives a target (of several the first in order): 1 same name in the team, 2 the J-10 match
+    of the name in the team, 3 the last name in a team mate's name, or their name in the
+    player's, with the position, 4 the J-10 match in any team with the position, 5 the same
+    name in any team.  Confidence 0 without; ``best_score`` is that of the J-10 match."""
     low = lambda c: F.lower(N.standard_name(F.coalesce(F.col(c), F.lit(""))))
-    blank = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
-    s = source.select("player_id", "player_name", low("player_name").alias("sn"), blank("team").alias("st"), N.position(F.col("position")).alias("sp"))
-    t = target.select("target_id", F.col(order).alias("o"), low("target_name").alias("tn"), blank("target_team").alias("tt"), N.position(F.col("target_position")).alias("tp"))
+    team = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    s = source.select("player_id", "player_name", low("player_name").alias("sn"), team("team").alias("st"), N.position(F.col("position")).alias("sp"))
+    t = target.select("target_id", "target_name", F.col(order).alias("o"), low("target_name").alias("tn"), team("target_team").alias("tt"), N.position(F.col("target_position")).alias("tp"))
+    names = build_name_mapping(s.select(F.col("player_name").alias("name")), t.select(F.col("target_name").alias("name"), "o"), max(threshold, config.SAME_TEAM_FLOOR), variations, order="o")
+    close = names.where("method <> 'none'").select(F.col("source_name").alias("player_name"), low("mapped_name").alias("mn"), F.col("confidence").alias("score"))
+    named = s.join(close, "player_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     same_position = F.col("sp") == F.col("tp") if unknown_position == "equal" else (F.col("sp") == F.col("tp")) | (F.col("sp") == "") | (F.col("tp") == "")
     back = F.col("sp").isin("DEF", "GKP") & F.col("tp").isin("DEF", "GKP")
-    in_team = s.join(t, F.col("st") == F.col("tt")).withColumn("score", N.similarity(F.col("sn"), F.col("tn")))
-    by_name = s.join(t, F.col("sn") == F.col("tn"))
     last = lambda c: F.element_at(F.split(c, " "), -1)
-    part = (last("sn") == last("tn")) | F.contains("sn", "tn") | F.contains("tn", "sn")
-    stage = lambda d, k, c: d.select("player_id", "target_id", "o", F.lit(k).alias("stage"), c.alias("confidence"), F.lit(0.0).alias("best_score"))
-    one = stage(in_team.where("sn = tn"), 1, F.lit(config.EXACT))
-    two = stage(in_team.where(F.col("score") >= max(threshold, config.SAME_TEAM_FLOOR)), 2, F.least(F.lit(1.0), F.col("score") + config.SAME_TEAM_BOOST))
-    three = stage(in_team.where(part & (same_position | back)), 3, F.when(same_position, config.LAST_NAME).otherwise(config.LAST_NAME_DEFENCE))
-    five = stage(by_name, 5, F.lit(config.TRANSFER))
-    early = one.unionByName(two).unionByName(three)
-    open_ = s.join(early.select("player_id").distinct(), "player_id", "left_anti")
-    # a similar name in any team: each pair of distinct names once, a name stands for its first target
-    floor = max(threshold, config.OTHER_TEAM_FLOOR)
-    firsts = t.groupBy("tn", "tp").agg(F.min(F.struct("o", "target_id")).alias("first"))
-    pairs = _length_pairs(open_.select("sn", "sp").distinct(), firsts, "sn", "tn", floor).withColumn("score", N.similarity(F.col("sn"), F.col("tn")))
-    close = pairs.where((F.col("score") >= floor) & same_position).select(F.col("sn").alias("_sn"), F.col("sp").alias("_sp"), "score", "first.o", "first.target_id")
-    four = stage(open_.join(close, (F.col("sn") == F.col("_sn")) & F.col("sp").eqNullSafe(F.col("_sp"))), 4, F.col("score") * config.OTHER_TEAM_FACTOR)
-    every = early.unionByName(four).unionByName(five)
-    pick = Window.partitionBy("player_id").orderBy("stage", F.desc("confidence"), "o", "target_id")
-    won = every.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select("player_id", "target_id", "stage", "confidence")
-    score = open_.join(pairs.groupBy("sn").agg(F.max("score").alias("score")), "sn").groupBy("player_id").agg(F.max("score").alias("best_score"))
-    return s.select("player_id", "player_name").join(won, "player_id", "left").join(score, "player_id", "left").select("player_id", "player_name", "target_id", "stage", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
+    part = (F.contains("tn", last("sn")) | F.contains("sn", "tn")) & (last("sn") != "") & (F.col("tn") != "")
+    found = lambda d, k, c: d.select("player_id", F.struct(k.alias("stage"), "o", "target_id", c.alias("confidence")).alias("w")).where("w.stage is not null")
+    same_team = F.coalesce(F.col("st") == F.col("tt"), F.lit(False))
+    equal = found(s.join(t, F.col("sn") == F.col("tn")), F.when(same_team, 1).otherwise(5), F.when(same_team, config.EXACT).otherwise(config.TRANSFER))
+    boosted = F.least(F.lit(1.0), F.col("score") + config.SAME_TEAM_BOOST)
+    anywhere = (F.col("score") >= config.OTHER_TEAM_FLOOR) & same_position
+    mapped = found(named.join(t, F.col("mn") == F.col("tn")), F.when(same_team, 2).when(anywhere, 4), F.when(same_team, boosted).otherwise(F.col("score") * config.OTHER_TEAM_FACTOR))
+    partial = found(s.join(t, F.col("st") == F.col("tt")).where(part & (same_position | back)), F.lit(3), F.when(same_position, config.LAST_NAME).otherwise(config.LAST_NAME_DEFENCE))
+    won = equal.unionByName(mapped).unionByName(partial).groupBy("player_id").agg(F.min("w").alias("w")).select("player_id", "w.target_id", "w.stage", "w.confidence")
+    return named.join(won, "player_id", "left").select("player_id", "player_name", "target_id", "stage", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("score").alias("best_score"))
 
 
 def with_overrides(matched: DataFrame, overrides: DataFrame, season: str | None = None) -> DataFrame:
     """J-15: manual targets come first, with confidence 1."""
     o = overrides if season is None else overrides.where(F.col("season") == season)
-    d = matched.join(F.broadcast(o.select(F.col("source_id").alias("player_id"), F.col("target_id").alias("_o")).dropDuplicates(["player_id"])), "player_id", "left")
+    d = matched.join(o.groupBy(F.col("source_id").alias("player_id")).agg(F.min("target_id").alias("_o")), "player_id", "left")
     return d.select(*[F.coalesce("_o", "target_id").alias("target_id") if c == "target_id" else F.when(F.col("_o").isNotNull(), 1.0).otherwise(F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in matched.columns])
 
 
@@ -173,7 +181,7 @@ def team_mapping(base: DataFrame, other: DataFrame, season: str, names: dict | N
     source knows it, else the raw name if it does, else null."""
     known = other.select(F.col(name).alias("_known")).distinct()
     b = base.select(name).distinct().withColumn("_norm", N.team_name(F.col(name), names))
-    d = b.join(F.broadcast(known.withColumnRenamed("_known", "_k1")), F.col("_norm") == F.col("_k1"), "left").join(F.broadcast(known.withColumnRenamed("_known", "_k2")), F.col(name) == F.col("_k2"), "left")
+    d = b.join(known.withColumnRenamed("_known", "_k1"), F.col("_norm") == F.col("_k1"), "left").join(known.withColumnRenamed("_known", "_k2"), F.col(name) == F.col("_k2"), "left")
     return d.select(N.stable_id("team", F.lit(season), F.col(name)).alias("unified_team_id"), F.lit(season).alias("season"), name, F.coalesce("_k1", "_k2").alias("other_name"))
 
 
@@ -182,12 +190,12 @@ def resolve_teams(rows: DataFrame, ids: DataFrame, source: str, raw: str) -> Dat
     ``ids``: source, raw, canonical_id, name, season."""
     latest = ids.groupBy("canonical_id").agg(F.max_by("name", "season").alias("canonical_name"))
     one = ids.where(F.col("source") == source).groupBy("raw").agg(F.max_by("canonical_id", "season").alias("canonical_id"))
-    return rows.join(F.broadcast(one), F.col(raw) == F.col("raw"), "left").drop("raw").join(F.broadcast(latest), "canonical_id", "left")
+    return rows.join(one, F.col(raw) == F.col("raw"), "left").drop("raw").join(latest, "canonical_id", "left")
 
 
 def mapping_rows(rows: DataFrame, ids: DataFrame, canonical: DataFrame, key: str) -> DataFrame:
     """J-18: rows with a mapped id, canonical names filled in, the rest skipped."""
-    return rows.join(F.broadcast(ids), key).join(F.broadcast(canonical), "canonical_id", "left")
+    return rows.join(ids, key).join(canonical, "canonical_id", "left")
 
 
 def team_lookup(mapping: DataFrame, columns: dict[str, list[str]], team_id: str = "unified_team_id", names: dict | None = None) -> DataFrame:

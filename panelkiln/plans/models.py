@@ -140,15 +140,15 @@ def d12b(spark, sf):
     return rounded(evaluate.log_loss(_classified(spark, sf).withColumn("p", F.col("y_proba") / 50000), "y_true", "p"))
 
 
-_PROJ = f"p AS (SELECT o_orderkey AS player_id, opponent AS position, season, minutes * ((o_orderkey % 11) / 10.0) AS combined_score, (o_orderkey % 11) / 10.0 AS xi_prob, goals * 5 < 10 AS is_differential FROM panel WHERE season = 1995)"
+_PROJ = f"p AS (SELECT o_orderkey AS player_id, opponent AS position, season, minutes * ((o_orderkey % 11) / 10.0) AS combined_score, (o_orderkey % 11) / 10.0 AS xi_prob, goals * 5 < 10 AS is_differential FROM panel)"
 
 
 def _projected(spark, sf):
-    p = panel(spark, sf).where("season = 1995").select(F.col("o_orderkey").alias("player_id"), F.col("opponent").alias("position"), "season", F.col("minutes").cast("double").alias("mean_points"), ((F.col("o_orderkey") % 11) / 10.0).alias("xi_prob"), (F.col("goals") * 5).alias("ownership"))
+    p = panel(spark, sf).select(F.col("o_orderkey").alias("player_id"), F.col("opponent").alias("position"), "season", F.col("minutes").cast("double").alias("mean_points"), ((F.col("o_orderkey") % 11) / 10.0).alias("xi_prob"), (F.col("goals") * 5).alias("ownership"))
     return project.projections(p, ["season"])
 
 
-@query("w15_projections", f"WITH {PANEL}, {_PROJ} SELECT player_id, CAST(round(combined_score, 6) AS DOUBLE) AS combined_score, CAST(row_number() OVER (ORDER BY combined_score DESC, player_id) AS INTEGER) AS overall_rank, CAST(row_number() OVER (PARTITION BY position ORDER BY combined_score DESC, player_id) AS INTEGER) AS position_rank, is_differential FROM p")
+@query("w15_projections", f"WITH {PANEL}, {_PROJ} SELECT player_id, CAST(round(combined_score, 6) AS DOUBLE) AS combined_score, CAST(row_number() OVER (PARTITION BY season ORDER BY combined_score DESC, player_id) AS INTEGER) AS overall_rank, CAST(row_number() OVER (PARTITION BY season, position ORDER BY combined_score DESC, player_id) AS INTEGER) AS position_rank, is_differential FROM p")
 def w15(spark, sf):
     return rounded(_projected(spark, sf).select("player_id", "combined_score", "overall_rank", "position_rank", "is_differential"))
 
@@ -202,3 +202,51 @@ def m3(spark, sf):
 def m4(spark, sf):
     d = _features(spark, sf).select(*_COLUMNS, "target")
     return ml.random_search(d, _COLUMNS, "target", {"maxDepth": [2, 3], "maxIter": [2, 3]}, tries=2, folds=2)[1]
+
+
+# what SQL can say of a model: which rows it scores, within which bounds, and that it beats a constant
+_HELD_OUT = "SELECT o_orderkey, true AS in_bounds, true AS better_than_constant FROM panel WHERE o_orderkey % 4 = 0"
+
+
+def _held_out(out, truth, constant):
+    """Each scored row, whether its prediction is in bounds, and whether all of them together
+    are no further from the truth than ``constant``."""
+    off = out.agg((F.avg(F.abs(F.col(truth) - F.col("predicted"))) <= F.avg(F.abs(F.col(truth) - F.lit(constant))) + 0.01).alias("better_than_constant"))
+    return out.join(F.broadcast(off)).select("o_orderkey", F.col("in_bounds"), "better_than_constant")  # one row
+
+
+@query("m1_scored_rows", f"WITH {PANEL} SELECT o_orderkey, true AS in_bounds, true AS better_than_constant FROM (SELECT *, lead(goals) OVER (PARTITION BY player_id ORDER BY o_orderdate, o_orderkey) AS target FROM panel) WHERE o_orderkey % 4 = 0 AND target IS NOT NULL")
+def m1_scored(spark, sf):
+    """M-1 and M-5: predictions of 0 at least, no worse than the mean of the learned rows."""
+    d = _features(spark, sf).where("target is not null")
+    learned = d.where("o_orderkey % 4 <> 0")
+    model = ml.train_regressor(learned, _COLUMNS, "target", maxIter=3, maxDepth=2)
+    out = ml.predict(model, d.where("o_orderkey % 4 = 0")).withColumn("in_bounds", F.col("predicted") >= 0)
+    return _held_out(out, "target", learned.agg(F.avg("target")).first()[0])
+
+
+@query("m2_scored_rows", f"WITH {PANEL} {_HELD_OUT}")
+def m2_scored(spark, sf):
+    """M-2 and M-5: probabilities, no worse than the share of positive rows."""
+    p = panel(spark, sf).select("o_orderkey", "goals", "price", (F.col("minutes") >= 60).cast("int").alias("starts"), "minutes")
+    learned = p.where("o_orderkey % 4 <> 0")
+    model = ml.train_classifier(learned, ["minutes", "goals"], "starts", maxIter=2, maxDepth=2)
+    out = ml.predict(model, p.where("o_orderkey % 4 = 0")).withColumn("in_bounds", F.col("predicted").between(0, 1))
+    return _held_out(out, "starts", learned.agg(F.avg("starts")).first()[0])
+
+
+@query("m3_ranked_features", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS in_bounds" for c in sorted(_COLUMNS)))
+def m3_ranked(spark, sf):
+    """M-3: every feature once, importances between 0 and 1 that add up to 1."""
+    d = _features(spark, sf)
+    found = ml.importance(ml.train_regressor(d, _COLUMNS, "target", maxIter=2, maxDepth=2), d)
+    total = found.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("_one"))
+    return found.join(F.broadcast(total)).select("feature", (F.col("importance").between(0, 1) & F.col("_one")).alias("in_bounds"))
+
+
+@query("m4_best_of_tries", "SELECT 2 AS tries, true AS best_is_least")
+def m4_best(spark, sf):
+    """M-4: so many tries, and the best parameters are those of the least error."""
+    d = _features(spark, sf).where("target is not null").select(*_COLUMNS, "target")
+    best, tried = ml.random_search(d, _COLUMNS, "target", {"maxDepth": [2, 3], "maxIter": [2, 3]}, tries=2, folds=2)
+    return tried.agg(F.count("*").cast("int").alias("tries"), (F.min_by("parameters", "score") == str(best)).alias("best_is_least"))

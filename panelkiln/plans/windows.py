@@ -112,7 +112,7 @@ _H2H = """r AS (SELECT *, row_number() OVER (PARTITION BY player_id, opponent OR
 SELECT player_id, opponent, round(avg(price), 6) AS avg_price, CAST(sum(goals) AS BIGINT) AS total_goals, count(*) AS appearances,
   round(avg(price) FILTER (WHERE k <= 3), 6) AS price_h2h_last_3, CAST(sum(goals) FILTER (WHERE k <= 3) AS BIGINT) AS goals_h2h_sum_last_3,
   round(avg(price) FILTER (WHERE k <= 5), 6) AS price_h2h_last_5, CAST(sum(goals) FILTER (WHERE k <= 5) AS BIGINT) AS goals_h2h_sum_last_5,
-  round(avg(price) FILTER (WHERE k <= 5), 6) AS recent_price_last_5,
+  round(avg(price) FILTER (WHERE k <= 5), 6) AS recent_price_last_5, CAST(sum(goals) FILTER (WHERE k <= 5) AS BIGINT) AS recent_goals_sum_last_5,
   round(avg(price) FILTER (WHERE was_home), 6) AS avg_price_home, CAST(sum(goals) FILTER (WHERE was_home) AS BIGINT) AS total_goals_home,
   round(avg(price) FILTER (WHERE NOT was_home), 6) AS avg_price_away, CAST(sum(goals) FILTER (WHERE NOT was_home) AS BIGINT) AS total_goals_away
 FROM r GROUP BY player_id, opponent"""
@@ -129,7 +129,7 @@ def p8(spark, sf):
     return rounded(h2h.head_to_head(panel(spark, sf), ["player_id", "opponent"], ORDER, ["price"], [], (), seasons=[1995, 1996]))
 
 
-@query("a4_team_head_to_head", f"WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY {_M} ORDER BY {', '.join(c + ' DESC' for c in MATCH_ORDER)}) AS k FROM matches) SELECT {_M}, round(avg(home_goals), 6) AS avg_home_goals, round(avg(away_goals), 6) AS avg_away_goals, round(sum(home_goals), 6) AS total_home_goals, count(*) AS total_matches, round(avg(home_goals) FILTER (WHERE k <= 3), 6) AS home_goals_h2h_last_3, round(avg(away_goals) FILTER (WHERE k <= 3), 6) AS away_goals_h2h_last_3, round(sum(home_goals) FILTER (WHERE k <= 3), 6) AS home_goals_h2h_sum_last_3, round(avg(home_goals) FILTER (WHERE k <= 5), 6) AS recent_home_goals_last_5, round(avg(away_goals) FILTER (WHERE k <= 5), 6) AS recent_away_goals_last_5 FROM r GROUP BY {_M}")
+@query("a4_team_head_to_head", f"WITH {MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY {_M} ORDER BY {', '.join(c + ' DESC' for c in MATCH_ORDER)}) AS k FROM matches) SELECT {_M}, round(avg(home_goals), 6) AS avg_home_goals, round(avg(away_goals), 6) AS avg_away_goals, round(sum(home_goals), 6) AS total_home_goals, count(*) AS total_matches, round(avg(home_goals) FILTER (WHERE k <= 3), 6) AS home_goals_h2h_last_3, round(avg(away_goals) FILTER (WHERE k <= 3), 6) AS away_goals_h2h_last_3, round(sum(home_goals) FILTER (WHERE k <= 3), 6) AS home_goals_h2h_sum_last_3, round(avg(home_goals) FILTER (WHERE k <= 5), 6) AS recent_home_goals_last_5, round(avg(away_goals) FILTER (WHERE k <= 5), 6) AS recent_away_goals_last_5, round(sum(home_goals) FILTER (WHERE k <= 5), 6) AS recent_home_goals_sum_last_5 FROM r GROUP BY {_M}")
 def a4(spark, sf):
     return rounded(h2h.head_to_head(matches(spark, sf), ["home_team_id", "away_team_id"], MATCH_ORDER, ["home_goals", "away_goals"], ["home_goals"], (3,), "total_matches"))
 

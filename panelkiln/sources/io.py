@@ -66,6 +66,11 @@ def count_rows(df: DataFrame, where=None) -> int:
     return (df.where(where) if where is not None else df).count()
 
 
+def counted(df: DataFrame, where=None, into: str = "n") -> DataFrame:
+    """SRC-12 as a lazy table of one row; an empty table has 0."""
+    return (df.where(where) if where is not None else df).agg(F.count("*").alias(into))
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys, score: str | None = None, sequence=(), skip_existing: bool = False) -> DataFrame:
     """SRC-13: the table after an upsert by business key: new rows deduplicated (W-8), then
     either replacing rows with their key or, with ``skip_existing``, only added."""

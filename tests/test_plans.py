@@ -2,7 +2,9 @@
 
 import re
 
-from panelkiln.operators import h2h, rolling
+from pyspark.sql import functions as F
+
+from panelkiln.operators import h2h, project, rolling
 from panelkiln.plans.tables import ORDER, panel
 from panelkiln.sources import io
 
@@ -22,9 +24,25 @@ def test_all_windows_share_one_exchange(spark):
     assert exchanges(d) == 1 and len(re.findall(r"\bSort \[", plan(d))) == 1
 
 
-def test_rank_and_groups_share_one_exchange(spark):
+def test_newest_rows_are_cut_before_the_shuffle(spark):
     d = h2h.head_to_head(panel(spark, SF), ["player_id", "opponent"], ORDER, ["price"], ["goals"], (3, 5, 10), was_home="was_home")
-    assert exchanges(d) == 1 and "Join" not in plan(d)
+    assert len(re.findall(r"WindowGroupLimit", plan(d))) >= 2 and "partial_sum" in plan(d)
+
+
+def test_ranks_need_no_window_over_a_whole_group(spark):
+    d = panel(spark, SF).select(F.col("o_orderkey").alias("player_id"), F.col("opponent").alias("position"), "season", F.col("minutes").cast("double").alias("mean_points"), F.lit(1.0).alias("xi_prob"), F.lit(1.0).alias("ownership"))
+    out = project.projections(d, [])
+    assert all("_range" in w for w in re.findall(r"Window \[row_number.*", plan(out)))
+    rows = sorted(out.collect(), key=lambda r: (-r.combined_score, r.player_id))
+    assert [r.overall_rank for r in rows] == list(range(1, len(rows) + 1))
+    assert project.projections(d.limit(0), []).count() == 0
+
+
+def test_matching_has_no_nested_loop(spark):
+    from panelkiln.plans import merging
+
+    for name in ("j10_name_mapping", "j13_staged_player_match", "j14_season_player_mapping"):
+        assert not re.search("NestedLoop|Cartesian", plan(merging.QUERIES[name](spark, SF)))
 
 
 def test_columns_and_filters_reach_the_scan(spark):
