@@ -21,11 +21,13 @@ neither dropped nor gathered in one task.  A searched block returns only a spann
 of its links (union-find), not all pairs.
 
 For a similarity, pairs that agree on ``LOOSE`` of 64 more hashes (3e-6 of those at 0.8 do
-not) are candidates, tried in the first table whose key they share, and a link is a
-candidate whose shingle sets have the similarity.  Only nodes with a candidate travel with
-their sets.  A shard above ``leaf`` members is first searched in blocks that differ from
-table to table, which joins groups of near copies; what then is not in the shard's largest
-group (and nothing else, for all other pairs are joined already) meets all its blocks.
+not) are candidates, tried in the first table whose key they share in a shard of at most
+``leaf`` members, and a link is a candidate whose shingle sets have the similarity.  Only
+nodes with a candidate travel with their sets.  That leaves pairs that share keys of larger
+shards only, so two of them at least (pairs at 0.8 share a single key with probability
+8e-5): nodes with two such keys are searched in blocks of their shards that differ from
+table to table, which joins groups of near copies; then those outside a shard's largest
+group meet all its blocks, for all other pairs are joined.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from .components import connected_components, with_least
 from .shared import written
 
 SEED = 42
-N_KEYS, N_SIGNS = 8, 64
+N_KEYS, N_SIGNS = 8, 64  # signs are one byte each
 LOOSE = 0.25  # below the similarity: five standard deviations of the estimate
 _rng = np.random.default_rng(20240229)
 _ODD = (_rng.integers(0, 2**63, N_KEYS + N_SIGNS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -108,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if signs:
                     best = _signature(h)
                     keys.append(best[:N_KEYS].view(np.int64))
-                    rest.append((best[N_KEYS:] >> np.uint64(32)).astype("<u4").tobytes())
+                    rest.append((best[N_KEYS:] >> np.uint64(56)).astype(np.uint8).tobytes())
                     nodes.append(_signed(xxhash.xxh64_intdigest(_set(h), SEED)))
             columns = [ids, pa.array(fps, pa.int64())]
             names = ["row_id", "fp"]
@@ -210,17 +212,23 @@ def _forest(trees: list, asks: list, same: bool, radius: int) -> list[tuple[int,
     return out
 
 
+def _agree(signs: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """In how many of 64 one-byte hashes each row agrees."""
+    words = (signs == sign).view(np.uint64).sum(axis=1, dtype=np.uint64)  # eight flags at once: no byte exceeds eight
+    return (words * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
 def _similar_forest(trees: list, asks: list, same: bool, least: float, similarity: float) -> list[tuple[int, int]]:
     """As ``_forest``, for links by signs (node, signs, None) that agree in ``least``, or by
     sets (node, signs, set): then only links that the sets confirm join anything."""
     members = trees if same else trees + asks
     find, join = _union_find(len(members))
-    signs = np.frombuffer(b"".join([m[1] for m in members]), dtype="<u4").reshape(-1, N_SIGNS)
+    signs = np.frombuffer(b"".join([m[1] for m in members]), dtype=np.uint8).reshape(-1, N_SIGNS)
     sets = [None if m[2] is None else np.frombuffer(m[2], dtype="<u8") for m in members]
     out = []
     for i in range(1 if same else len(trees), len(members)):
         mine = find(i)
-        agree = (signs[: i if same else len(trees)] == signs[i]).sum(axis=1)
+        agree = _agree(signs[: i if same else len(trees)], signs[i])
         for j in np.nonzero(agree >= least * N_SIGNS)[0].tolist():
             if find(j) != mine and (sets[i] is None or similar(sets[i], sets[j], similarity)):
                 join(mine, j)
@@ -297,31 +305,28 @@ _PLACE = ["table", "key", "block"]
 def _with_partner(groups: DataFrame, least: float) -> DataFrame:
     """(table, key, block, node) of the members that have a candidate in their group.
 
-    ``members`` hold node, signs, keys, comp and asks.  With a comp, candidates are of
-    another comp and one of the two asks; without, they are those that share no key of an
-    earlier table."""
+    ``members`` hold node, signs, keys, comp, asks and large.  In a second search candidates
+    are one that asks and one that does not, of different comps; in a first search those
+    that share no earlier key, but for keys of large shards (the bits of ``large``)."""
 
     def run(batches):
         for batch in batches:
             members = batch.column(3)
             flat = members.flatten()
-            node, comp, asks = (np.asarray(flat.field(c)) for c in ("node", "comp", "asks"))
-            signs = np.frombuffer(b"".join(flat.field("signs").to_pylist()), dtype="<u4").reshape(-1, N_SIGNS)
+            node, comp, asks, large = (np.asarray(flat.field(c)) for c in ("node", "comp", "asks", "large"))
+            small = (large[:, None] >> np.arange(N_KEYS) & 1) == 0
+            signs = np.frombuffer(b"".join(flat.field("signs").to_pylist()), dtype=np.uint8).reshape(-1, N_SIGNS)
             keys = np.asarray(flat.field("keys").flatten()).reshape(-1, N_KEYS)
             ends = np.append(0, np.cumsum(np.asarray(members.value_lengths()))).tolist()
-            has, group = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=np.int64)
-            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                group[a:b] = k
-                table, second = batch.column(0)[k].as_py(), batch.column(4)[k].as_py()
-                for i in range(a + 1, b):
-                    near = (signs[a:i] == signs[i]).sum(axis=1) >= least * N_SIGNS
-                    if second:
-                        near &= (comp[a:i] != comp[i]) & (asks[a:i] | asks[i])
-                    else:
-                        near &= (keys[a:i] == keys[i]).argmax(axis=1) == table
-                    if near.any():
-                        has[i] = True
-                        has[a:i] |= near
+            has, group = np.zeros(len(flat), dtype=bool), np.repeat(np.arange(len(members)), np.diff(ends))
+            for a, b, table, second in zip(ends[:-1], ends[1:], batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                trees = a + np.flatnonzero(~asks[a:b]) if second else np.arange(a, b)
+                for i in (a + np.flatnonzero(asks[a:b])).tolist() if second else range(a + 1, b):
+                    seen = trees if second else trees[: i - a]
+                    near = seen[_agree(signs[seen] if second else signs[a:i], signs[i]) >= least * N_SIGNS]
+                    near = near[comp[near] != comp[i]] if second else near[((keys[near] == keys[i]) & small[i]).argmax(axis=1) == table]
+                    if len(near):
+                        has[i] = has[near] = True
             at = np.flatnonzero(has)
             rows = pa.array(group[at])
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in range(3)], pa.array(node[at], pa.int64())], [*_PLACE, "node"])
@@ -330,7 +335,7 @@ def _with_partner(groups: DataFrame, least: float) -> DataFrame:
 
 
 def _grouped(members: DataFrame, second: bool) -> DataFrame:
-    entry = F.struct("node", "signs", "keys", "comp", "asks")
+    entry = F.struct("node", "signs", "keys", "comp", "asks", "large")
     return members.repartition(*_PLACE).groupBy(*_PLACE).agg(F.collect_list(entry).alias("members")).withColumn("second", F.lit(second))
 
 
@@ -356,8 +361,10 @@ def similar_links(reps: DataFrame, sets_of, similarity: float, leaf: int = 512)
     least = max(similarity - LOOSE, 1 / N_SIGNS)
     shards = written(_shards(reps), "shards")
     small, hot = shards.where(F.col("n") <= leaf), shards.where(F.col("n") > leaf).withColumn("parts", F.ceil(F.col("n") / leaf).cast("int"))
-    known = reps.select("node", "signs", "keys")
+    large = shards.groupBy("node").agg(F.sum(F.when(F.col("n") > leaf, F.pow(F.lit(2.0), F.col("table"))).otherwise(0)).cast("int").alias("large"))
+    known = reps.select("node", "signs", "keys").join(large, "node")
     alone = small.join(known, "node").withColumns({"block": F.lit(0), "comp": F.lit(0).cast("long"), "asks": F.lit(False)})
+    hot = hot.join(large.where(F.bit_count("large") >= 2).select("node"), "node")
     dealt = hot.select("table", "key", _block(F.col("parts"), "node", "table").alias("block"), "node")
     placed = written(_with_partner(_grouped(alone, False), least).unionByName(dealt), "placed")
     sets = written(sets_of(placed.select("node").distinct()), "sets")
@@ -366,10 +373,15 @@ def similar_links(reps: DataFrame, sets_of, similarity: float, leaf: int = 512)
         return found
     comps = connected_components(found).select("node", F.col("component").alias("comp"))
     named = hot.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    largest = named.groupBy("table", "key", "comp").agg(F.count("*").alias("c")).groupBy("table", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    split = written(named.join(largest, ["table", "key"]).select("table", "key", "node", "parts", "comp", (F.col("comp") != F.col("main")).alias("asks")), "split")
-    block, others = _block(F.col("parts"), "node"), F.sequence(F.lit(0), F.col("parts") - 1)
-    spread = split.withColumn("block", F.explode(F.when(F.col("asks"), others).otherwise(F.array(block))))
+    sizes = named.groupBy("table", "key", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("table", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
+    others = F.ceil((F.col("all") - F.col("most")) / (8 * leaf)).cast("int").alias("others")
+    split = written(named.join(largest, ["table", "key"]).select("table", "key", "node", "parts", "comp", others, (F.col("comp") != F.col("main")).alias("asks")), "split")
+    # a place is a block of the whole shard and a part of what is not in its largest group
+    block, row, column = F.col("block"), _block(F.col("parts"), "node"), _block(F.col("others"), "node", F.lit("ask"))
+    everyone = split.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("others") - 1)), "asks": F.lit(False)}).withColumn("block", row * F.col("others") + block)
+    rest = split.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", block * F.col("others") + column)
+    spread = everyone.unionByName(rest)
     more = written(_with_partner(_grouped(spread.join(known, "node"), True), least), "placed")
     return found.union(written(_confirmed(more, sets, least, similarity), "links"))
 
