@@ -133,14 +133,14 @@ def _set(hashes: np.ndarray) -> bytes:
 
 
 def _sets(picked: DataFrame, shingle: int) -> DataFrame:
-    """(node, signs, set) of rows (node, signs, text)."""
+    """(node, set) of rows (node, text)."""
 
     def run(batches):
         for batch in batches:
-            sets = [_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["node", "signs", "set"])
+            sets = [_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return picked.select("node", "signs", "text").mapInArrow(run, "node long, signs binary, set binary")
+    return picked.select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -418,9 +418,10 @@ def near_duplicates(
         reps = written(fps.groupBy("node").agg(F.first("keys").alias("keys"), F.first("signs").alias("signs"), F.min("row").alias("row")), "nodes")
 
         def sets_of(asked: DataFrame) -> DataFrame:
-            picked = reps.join(asked, "node").select("row", "node", "signs")
+            # a table, so that its size is known: texts are shuffled only if it is too large to broadcast
+            picked = written(reps.join(asked, "node").select("row", "node"), "picked")
             texts = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")).join(picked, "row")
-            return _sets(texts, shingle).dropDuplicates(["node"])
+            return _sets(texts, shingle).dropDuplicates(["node"]).join(reps.select("node", "signs"), "node")
 
         found = similar_links(reps, sets_of, similarity, leaf)
     labels = connected_components(found)
