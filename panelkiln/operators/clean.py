@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names
+from .quantiles import exact_quantiles
 
 
 def conform(df: DataFrame, renames: dict, casts: dict | None = None, literals: dict | None = None, absent: dict | None = None) -> DataFrame:
@@ -86,30 +87,28 @@ def fill_zero(df: DataFrame, columns) -> DataFrame:
 
 
 def winsorize(df: DataFrame, columns, lower: float = 0.01, upper: float = 0.99, method: str = "exact") -> DataFrame:
-    """P-21: values clipped at quantiles; null stays.  One aggregate for all columns (one
-    row, broadcast).  ``method``: "exact" (linear), "nearest" (an element) or "approximate"
-    for large tables."""
+    """P-21: values clipped at quantiles; null stays.  The bounds are one row, broadcast.
+    ``method``: "exact" (linear), "nearest" (an element), both from counts by range, or
+    "approximate" (one aggregate of sketches for all columns)."""
     if method == "approximate":
-        q = lambda c: F.percentile_approx(c, [lower, upper], 10000)
-    elif method == "nearest":
-        q = lambda c: F.array(F.expr(f"percentile_disc({lower}) within group (order by `{c}`)"), F.expr(f"percentile_disc({upper}) within group (order by `{c}`)"))
+        bounds = [df.agg(*[F.percentile_approx(c, [lower, upper], 10000).alias(f"_q_{c}") for c in columns])]
     else:
-        q = lambda c: F.percentile(c, F.array(F.lit(lower), F.lit(upper)))
-    bounds = df.agg(*[q(c).alias(f"_q_{c}") for c in columns])
-    d = df.crossJoin(F.broadcast(bounds))
+        bounds = [exact_quantiles(df, c, [lower, upper], into=f"_q_{c}", linear=method != "nearest") for c in columns]
+    d = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), bounds, df)
     new = {c: F.when(F.col(c) < F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[0]).when(F.col(c) > F.col(f"_q_{c}")[1], F.col(f"_q_{c}")[1]).otherwise(F.col(c)) for c in columns}
     return d.withColumns(new).drop(*[f"_q_{c}" for c in columns])
 
 
-def clean_data(df: DataFrame, name: str = "name", minutes: str = "minutes", columns=None, contract: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """P-22: names, minutes, outliers; and the contract's violations (V-7) as rows."""
+def clean_data(df: DataFrame, name: str = "name", minutes: str = "minutes", columns=None, contract: dict | None = None, method: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """P-22: names, minutes, outliers (``method`` as in P-21); and the contract's violations
+    (V-7) as rows."""
     from .metrics import resolve_metrics
     from .quality import contract_violations
 
     d = df.withColumn(name, names.simple_name(F.col(name))) if name in df.columns else df
     d = fill_zero(d, [minutes])
     mean, sums = resolve_metrics(d)
-    d = winsorize(d, columns or sorted({*mean, *sums})) if (columns or mean or sums) else d
+    d = winsorize(d, columns or sorted({*mean, *sums}), method=method) if (columns or mean or sums) else d
     return d, contract_violations(d, contract)
 
 

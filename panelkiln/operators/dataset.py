@@ -28,13 +28,15 @@ def time_split(df: DataFrame, period: str = "gameweek", train: float = 0.7, vali
     ranked = periods.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(period))).crossJoin(F.broadcast(periods.agg(F.count("*").alias("_n"))))
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * train) + F.ceil(F.col("_n") * validation)
     label = F.when(F.col("_r") <= a, "train").when(F.col("_r") <= b, "validation").otherwise("test")
-    return df.join(F.broadcast(ranked.select(period, label.alias("split"))), period, "left")
+    return df.join(ranked.select(period, label.alias("split")), period, "left")
 
 
 def walk_forward(df: DataFrame, folds: DataFrame, period: str = "gameweek") -> DataFrame:
-    """D-10: for each fold (fold, at) its rows before ``at`` as train and at it as test."""
-    d = df.join(F.broadcast(folds), F.col(period) <= F.col("at"))
-    return d.withColumn("role", F.when(F.col(period) < F.col("at"), "train").otherwise("test")).drop("at")
+    """D-10: for each fold (fold, at) its rows before ``at`` as train and at it as test.
+    Folds meet distinct periods; rows join those by their period."""
+    roles = df.select(F.col(period).alias("_p")).distinct().join(folds, F.col("_p") <= F.col("at"))
+    roles = roles.withColumn("role", F.when(F.col("_p") < F.col("at"), "train").otherwise("test")).drop("at")
+    return df.join(roles, F.col(period) == F.col("_p")).drop("_p")
 
 
 # Set pieces, and the one location outside the box.
@@ -45,7 +47,7 @@ OUTSIDE = "Outside box"
 def shot_features(shots: DataFrame, by=("player_id", "gameweek"), ids: DataFrame | None = None, outside: str = OUTSIDE, penalty: str = "Penalty", set_pieces=SET_PIECES) -> DataFrame:
     """A-24; ``ids`` (player_id, mapped_id) maps players and drops the others."""
     if ids is not None:
-        shots = shots.join(F.broadcast(ids), "player_id").drop("player_id").withColumnRenamed("mapped_id", "player_id")
+        shots = shots.join(ids, "player_id").drop("player_id").withColumnRenamed("mapped_id", "player_id")
     return shots.groupBy(*by).agg(
         F.avg("xg").alias("avg_shot_xg"), F.count("*").alias("shot_frequency"), F.avg(F.col("goal").cast("double")).alias("conversion_rate"),
         F.avg((F.col("location") != outside).cast("double")).alias("box_entry_rate"), F.max((F.col("situation") == penalty).cast("int")).alias("penalty_involvement"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cell, cuts, exact_quantiles
+
 
 def regression_metrics(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", by=()) -> DataFrame:
     """A-28: rmse, mae, r2, mape (rows with truth 0 left out), n."""
@@ -33,8 +35,8 @@ def error_by(df: DataFrame, category: str, truth: str = "y_true", pred: str = "y
 
 def baseline_comparison(df: DataFrame, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """A-31: mae of the model and of constant mean and median, and the gains in percent."""
-    base = df.agg(F.avg(truth).alias("_mean"), F.median(truth).alias("_median"))
-    d = df.crossJoin(F.broadcast(base))
+    middle = exact_quantiles(df, truth, [0.5], into="_m").select(F.col("_m")[0].alias("_median"))
+    d = df.crossJoin(F.broadcast(df.agg(F.avg(truth).alias("_mean")))).crossJoin(F.broadcast(middle))  # one row each
     mae = lambda c: F.avg(F.abs(F.col(truth) - F.col(c)))
     g = d.agg(mae(pred).alias("model_mae"), mae("_mean").alias("mean_mae"), mae("_median").alias("median_mae"))
     gain = lambda c: F.try_divide(F.col(c) - F.col("model_mae"), F.col(c)) * 100
@@ -54,15 +56,14 @@ def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "y_proba") -> Dat
     """A-32: Mann-Whitney from counts by distinct score.
 
     The counts get their ranks from one running sum over distinct scores; ranges of scores
-    are summed first, so no task sees them all."""
-    per = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    lo, hi = per.agg(F.min("s"), F.max("s")).first()
-    width = (hi - lo) / 256 if lo is not None and hi > lo else 1.0
-    cell = per.withColumn("b", F.floor((F.col("s") - F.lit(lo)) / width))
-    sums = cell.groupBy("b").agg(F.sum("neg").alias("n"))
+    (at quantiles) are summed first, so no task sees them all.  Rows without a score do
+    not count."""
+    per = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")).where("s is not null")
+    ranged = per.withColumn("b", cell(F.col("s"), cuts(df, score)))
+    sums = ranged.groupBy("b").agg(F.sum("neg").alias("n"))
     before = sums.select("b", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inner = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = cell.withColumn("_i", inner).join(F.broadcast(before), "b").agg(F.sum(F.col("pos") * (F.col("before") + F.col("_i") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    won = ranged.withColumn("_i", inner).join(F.broadcast(before), "b").agg(F.sum(F.col("pos") * (F.col("before") + F.col("_i") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return won.select(F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("roc_auc"))
 
 

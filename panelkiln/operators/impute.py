@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 
 def forward_fill(df: DataFrame, columns, order, group=()) -> DataFrame:
     """W-7: the last value before, by ``order``, per group."""
@@ -33,8 +37,17 @@ def mean_fill(df: DataFrame, columns, group=()) -> DataFrame:
 
 
 def median_fill(df: DataFrame, columns, group=(), approximate: bool = False) -> DataFrame:
-    """I-2; ``approximate`` keeps a sketch for each group instead of its values."""
-    return _fill(df, {c: F.percentile_approx(c, 0.5, 10000) if approximate else F.median(c) for c in columns}, group)
+    """I-2, exact from counts by range; ``approximate`` takes a sketch for each group."""
+    if approximate:
+        return _fill(df, {c: F.percentile_approx(c, 0.5, 10000) for c in columns}, group)
+    d, g = df, [f"_g_{x}" for x in group]
+    for c in columns:
+        middle = exact_quantiles(df, c, [0.5], group, "_m").select(*[F.col(x).alias(f"_g_{x}") for x in group], F.col("_m")[0].alias(f"_s_{c}"))
+        if group:
+            d = d.join(middle, reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"_g_{x}")) for x in group]), "left").drop(*g)
+        else:
+            d = d.crossJoin(F.broadcast(middle))  # one row
+    return d.select(*[F.coalesce(F.col(c), F.col(f"_s_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def mode_fill(df: DataFrame, columns, group=()) -> DataFrame:

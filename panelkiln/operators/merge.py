@@ -28,13 +28,12 @@ def unified_periods(a: DataFrame, b: DataFrame, c: DataFrame, keys, info: DataFr
     return merge_left(out, (info, [info_key])) if info is not None else out
 
 
-def resolve_ids(df: DataFrame, mapping: DataFrame, on: dict[str, str], take: dict[str, str], how: str = "left", small: bool = False) -> DataFrame:
+def resolve_ids(df: DataFrame, mapping: DataFrame, on: dict[str, str], take: dict[str, str], how: str = "left") -> DataFrame:
     """J-4: ids by lookup: ``on`` maps columns of ``df`` to the mapping's, ``take`` new
-    columns to the mapping's.  The first id (least) of a repeated key counts.  ``small``
-    states that the mapping is a dimension that fits in every task."""
+    columns to the mapping's.  The first id (least) of a repeated key counts."""
     m = mapping.groupBy(*[F.col(k).alias(f"_k_{k}") for k in on.values()]).agg(*[F.min(v).alias(f"_t_{n}") for n, v in take.items()])
     cond = reduce(lambda a, b: a & b, [df[l] == F.col(f"_k_{r}") for l, r in on.items()])
-    d = df.join(F.broadcast(m) if small else m, cond, how)
+    d = df.join(m, cond, how)
     return d.select(*[df[c] for c in df.columns if c not in take], *[F.col(f"_t_{n}").alias(n) for n in take])
 
 
@@ -114,7 +113,8 @@ def rebuild_fixtures(rows: DataFrame, fixture=("season", "fixture"), team: str =
 def enrich_players(rows: DataFrame, teams: DataFrame, by, team_key: str = "team", position_type: str | None = None) -> DataFrame:
     """J-27: position from its type, team name by join and normalised, one row per ``by``
     (the least of the others)."""
-    d = rows.join(F.broadcast(teams.select(F.col("id").alias("_tid"), F.col("name").alias("_tn")).dropDuplicates(["_tid"])), F.col(team_key) == F.col("_tid"), "left")
+    one = teams.groupBy(F.col("id").alias("_tid")).agg(F.min("name").alias("_tn"))
+    d = rows.join(one, F.col(team_key) == F.col("_tid"), "left")
     d = d.withColumn("team_name", N.team_name(F.col("_tn"))).drop("_tid", "_tn")
     d = d.withColumn("position", N.element_type(F.col(position_type))) if position_type else d
     rest = [c for c in d.columns if c not in by]

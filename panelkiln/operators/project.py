@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cell, cuts
+
 DIFFERENTIAL_OWNERSHIP, CAPTAIN_START = 10.0, 0.5  # parameters; tests of the source leave a range
 
 
@@ -24,10 +26,8 @@ def ranks(df: DataFrame, by: list, order: list, score: str, into: str) -> DataFr
     The rows are cut into ranges of the score at quantiles, a number for each shuffle
     partition; a row's number is that within its range and the rows of the ranges above, so
     no task holds all rows of a group.  Null scores come last."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cuts = sorted(set(df.stat.approxQuantile(score, [k / n for k in range(1, n)], 0.25 / n)))
-    above = F.size(F.filter(F.lit(cuts), lambda c: c > F.col(score))) if cuts else F.lit(0)
-    dealt = df.withColumn("_range", F.when(F.col(score).isNull(), len(cuts) + 1).otherwise(above))
+    at = cuts(df, score)
+    dealt = df.withColumn("_range", F.when(F.col(score).isNull(), len(at) + 1).otherwise(len(at) - cell(F.col(score), at)))
     sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = sizes.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.col("_range").alias("_r"), (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before"))
     same = reduce(lambda a, b: a & b, [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)]])

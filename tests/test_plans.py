@@ -1,10 +1,12 @@
 """Shapes of plans that must hold at scale."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from panelkiln.operators import h2h, project, rolling
+from panelkiln.operators import h2h, project, quantiles, rolling
 from panelkiln.plans.tables import ORDER, panel
 from panelkiln.sources import io
 
@@ -38,6 +40,30 @@ def test_ranks_need_no_window_over_a_whole_group(spark):
     assert project.projections(d.limit(0), []).count() == 0
 
 
+def test_quantiles_by_range_are_exact(spark):
+    at, rng = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0], random.Random(5)
+    values = [(k % 3 if k % 17 else None, None if k % 11 == 0 else 7.5 if k % 4 == 0 else rng.gauss(0, 50)) for k in range(3000)]
+    d = spark.createDataFrame(values, "g int, x double")
+    for linear, name in ((True, "percentile_cont"), (False, "percentile_disc")):
+        want = [F.expr(f"{name}({p}) within group (order by x)") for p in at]
+        for by in ([], ["g"]):
+            got = {tuple(r[:-1]): r[-1] for r in quantiles.exact_quantiles(d, "x", at, by, linear=linear).collect()}
+            assert got == {tuple(r[:-1]): pytest.approx(r[-1]) for r in d.groupBy(*by).agg(F.array(*want)).collect()}
+    whole = plan(quantiles.exact_quantiles(d, "x", at))
+    assert "percentile" not in whole and all("_range" in w or "_size" in w for w in re.findall(r"Window \[.*", whole))  # _size: a row for each range
+    assert [r.q for r in quantiles.exact_quantiles(d.where("x is null"), "x", [0.5], into="q").collect()] == [[None]]
+    assert quantiles.exact_quantiles(d.limit(0), "x", [0.5], ["g"]).count() == 0
+    ends = spark.createDataFrame([(float("-inf"),), (float("inf"),), (float("nan"),)], "x double")
+    assert quantiles.exact_quantiles(ends, "x", [0.0, 0.5], into="q").first().q == [float("-inf"), float("inf")]
+
+
+def test_cells_count_the_cuts_below(spark):
+    values = [-1.0, 0.0, 0.5, 3.0, 6.5, 99.0, float("nan")]
+    for n in (0, 1, 2, 7, 10):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select(quantiles.cell(F.col("v"), [float(k) for k in range(n)])).collect()
+        assert [r[0] for r in got] == [n if v != v else sum(k < v for k in range(n)) for v in values]
+
+
 def test_matching_has_no_nested_loop(spark):
     from panelkiln.plans import merging
 
