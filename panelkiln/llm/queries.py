@@ -11,6 +11,7 @@ from .quality import op8_quality_trees
 from .recompression import ORACLE_OP9, op9_recompression_dedup
 from .sentencepieces import op10_piece_lattice
 from .simhash import op3_simhash_near_dedup
+from .transducer import op11_bpe_transducer
 from .warc import ORACLE_OP1, op1_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_trees": op8_quality_trees,
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_piece_lattice": op10_piece_lattice,
+    "op11_bpe_transducer": op11_bpe_transducer,
 }
 
 ORACLES: dict[str, str] = {
