@@ -7,6 +7,7 @@ from .html import op7_tag_path_text
 from .langid import op4_language_codes
 from .multiset import op5_multiset_fingerprints
 from .packing import op6_best_fit_packing
+from .phrases import ORACLE_OP13, op13_phrase_collocations
 from .quality import op8_quality_trees
 from .recompression import ORACLE_OP9, op9_recompression_dedup
 from .sentencepieces import op10_piece_lattice
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_piece_lattice": op10_piece_lattice,
     "op11_bpe_transducer": op11_bpe_transducer,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": ORACLE_OP1,
     "op9_recompression_dedup": ORACLE_OP9,
+    "op13_phrase_collocations": ORACLE_OP13,
 }
