@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_token_alignment
 from .forest import op2_prefix_forest
 from .html import op7_tag_path_text
 from .langid import op4_language_codes
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_piece_lattice": op10_piece_lattice,
     "op11_bpe_transducer": op11_bpe_transducer,
+    "op12_token_alignment": op12_token_alignment,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
