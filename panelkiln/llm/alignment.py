@@ -17,10 +17,10 @@ that documents and counts meet in a salted join.  Both ways give the same rows.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,7 @@ from .shared import passing, unused, written
 
 TOKENIZER_A, MODEL_B = "/opt/tokenizers/byte_bpe_50k.json", sentencepieces.MODEL
 CHUNK_BYTES = 4 << 20
-MEMO_WORDS, MEMO_WINDOWS, MEMO_PAIRS = 200_000, 250_000, 2_000_000
+MEMO_WORDS, MEMO_WINDOWS, MEMO_PAIRS = 300_000, 500_000, 4_000_000
 MAX_PAIRS = 4_000_000  # counts that are broadcast: 36 MB
 SALTS = 16
 
@@ -50,7 +50,7 @@ class _Words:
         """(ids of all texts, number of ids of each)."""
         coded = cut.words.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.place) + len(words) > MEMO_WORDS:
+        if len(self.place) > MEMO_WORDS:
             self._clear()
         new = [w for w in words if w not in self.place]
         ids, sizes = sentencepieces.encode_words([w.decode("utf-8", "replace") for w in new], self.table)
@@ -60,64 +60,87 @@ class _Words:
         at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
         at = at[np.asarray(coded.indices)]
         size = self.first[at + 1] - self.first[at]
-        flat = self.ids[np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        flat = self.ids[_ranges(self.first[at], size)]
         ends = np.append(0, np.cumsum(size))
         return flat, np.diff(ends[np.append(0, np.cumsum(cut.counts))])
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each pair, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _shared_ends(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the tokens of either, whether the other has one that ends at the same byte."""
+    total = int(end_a[-1]) if len(end_a) else 0
+    in_a, in_b = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
+    in_a[end_a], in_b[end_b] = True, True
+    return in_b[end_a], in_a[end_b]
+
+
+def _joined_lists(strings: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+    """Neighbouring strings put together, so many each."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), strings), by)
+
+
 class _Windows:
-    """Alignments by id tuples, each worked out once; emptied when it is full."""
+    """Alignments by id tuples, each worked out once; emptied when it is full.  A window's
+    key is its number of ids of A, these, and its ids of B, as 4-byte integers."""
 
     def __init__(self, size_a: np.ndarray, size_b: np.ndarray):
-        self.size_a, self.size_b = size_a.tolist(), size_b.tolist()
+        self.size_a, self.size_b = size_a, size_b
+        self.shown = pa.array([str(i) for i in range(max(len(size_a), len(size_b)))], pa.string())
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict = {}
-        self.groups, self.links, self.texts, self.pairs, self.times = [], [], [], [], []
-        self.held = 0
+        self.groups, self.links, self.pairs, self.times = [np.empty(0, np.int64)] * 4
+        self.first = np.zeros(1, np.int64)  # of each window's pairs
+        self.texts = pa.array([], pa.string())
 
-    def at(self, windows: list[bytes]) -> list[int]:
-        if len(self.place) + len(windows) > MEMO_WINDOWS or self.held > MEMO_PAIRS:
+    def at(self, windows: pa.Array) -> np.ndarray:
+        """The place of each of different windows."""
+        if len(self.place) > MEMO_WINDOWS or len(self.pairs) > MEMO_PAIRS:
             self._clear()
-        out = []
-        for window in windows:
-            place = self.place.get(window)
-            if place is None:
-                place = self.place[window] = len(self.texts)
-                self._add(np.frombuffer(window, dtype=np.int32).tolist())
-            out.append(place)
-        return out
-
-    def _add(self, window: list[int]) -> None:
-        """``window``: the number of ids of A, these, the ids of B."""
-        n = window[0]
-        a, b = window[1 : n + 1], window[n + 1 :]
-        texts, pairs, links = [], Counter(), 0
-        i = j = 0
-        while i < n:
-            first_i, first_j = i, j
-            to_a, to_b, i, j = self.size_a[a[i]], self.size_b[b[j]], i + 1, j + 1
-            while to_a != to_b:
-                if to_a < to_b:
-                    to_a += self.size_a[a[i]]
-                    i += 1
-                else:
-                    to_b += self.size_b[b[j]]
-                    j += 1
-            of_a, of_b = a[first_i:i], b[first_j:j]
-            texts.append(",".join(map(str, of_a)) + "|" + ",".join(map(str, of_b)))
-            links += len(of_a) * len(of_b)
-            many = Counter(of_b)
-            for x, times in Counter(of_a).items():
-                for y, more in many.items():
-                    pairs[x * len(self.size_b) + y] += times * more
-        self.groups.append(len(texts))
-        self.links.append(links)
-        self.texts.append(";".join(texts))
-        self.pairs.append(np.fromiter(pairs.keys(), dtype=np.int64, count=len(pairs)))
-        self.times.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs)))
-        self.held += len(pairs)
+        keys = windows.to_pylist()
+        new = [k for k, w in enumerate(keys) if w not in self.place]
+        if new:
+            self.place.update(zip((keys[k] for k in new), range(len(self.place), len(self.place) + len(new))))
+            self._add(windows.take(pa.array(new, pa.int64())))
+        return np.fromiter(map(self.place.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def _add(self, windows: pa.Array) -> None:
+        flat = np.frombuffer(windows.buffers()[2], dtype=np.int32)
+        first = np.frombuffer(windows.buffers()[1], dtype=np.int64, count=len(windows) + 1) // 4
+        of_a = flat[first[:-1]].astype(np.int64)
+        of_b = np.diff(first) - 1 - of_a
+        a, b = flat[_ranges(first[:-1] + 1, of_a)], flat[_ranges(first[:-1] + 1 + of_a, of_b)]
+        shared_a, shared_b = _shared_ends(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        last_a, last_b = np.flatnonzero(shared_a), np.flatnonzero(shared_b)  # of each group
+        in_group_a, in_group_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        groups = np.diff(np.append(0, np.cumsum(shared_a))[np.append(0, np.cumsum(of_a))])
+        window = np.repeat(np.arange(len(windows)), groups)
+        names = [_joined_lists(self.shown.take(pa.array(ids)), sizes, ",") for ids, sizes in ((a, in_group_a), (b, in_group_b))]
+        texts = _joined_lists(pc.binary_join_element_wise(*names, "|"), groups, ";")
+
+        # the different ids of a group with their counts, then all pairs of these
+        group = np.arange(len(last_a))
+        kind_a, times_a = np.unique(np.repeat(group, in_group_a) * len(self.size_a) + a, return_counts=True)
+        kind_b, times_b = np.unique(np.repeat(group, in_group_b) * len(self.size_b) + b, return_counts=True)
+        group_a, many_b = kind_a // len(self.size_a), np.bincount(kind_b // len(self.size_b), minlength=len(group))
+        begin_b = np.cumsum(many_b) - many_b
+        at_a, at_b = np.repeat(np.arange(len(kind_a)), many_b[group_a]), _ranges(begin_b[group_a], many_b[group_a])
+        every = len(self.size_a) * len(self.size_b)
+        pair = window[group_a[at_a]] * every + kind_a[at_a] % len(self.size_a) * len(self.size_b) + kind_b[at_b] % len(self.size_b)
+        order = np.argsort(pair, kind="stable")
+        pair, times = pair[order], (times_a[at_a] * times_b[at_b])[order]
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.groups = np.append(self.groups, groups)
+        self.links = np.append(self.links, np.bincount(window, in_group_a * in_group_b, len(windows)).astype(np.int64))
+        self.first = np.append(self.first, len(self.pairs) + np.cumsum(np.bincount(pair[new] // every, minlength=len(windows))))
+        self.pairs = np.append(self.pairs, pair[new] % every)
+        self.times = np.append(self.times, np.add.reduceat(times, new))
+        self.texts = pa.concat_arrays([self.texts, texts])
 
 
 class Aligner:
@@ -157,11 +180,7 @@ class Aligner:
         ids_a, ids_b = ids_a[np.repeat(sound, n_a)], ids_b[np.repeat(sound, n_b)]
         n_a, n_b = np.where(sound, n_a, 0), np.where(sound, n_b, 0)
 
-        end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-        total = int(end_a[-1]) if len(end_a) else 0
-        in_a, in_b = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
-        in_a[end_a], in_b[end_b] = True, True
-        shared_a, shared_b = np.flatnonzero(in_b[end_a]), np.flatnonzero(in_a[end_b])
+        shared_a, shared_b = map(np.flatnonzero, _shared_ends(np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])))
         closes = np.zeros(len(ids_a), dtype=bool)
         closes[np.cumsum(n_a)[sound] - 1] = True
         closes = closes[shared_a]
@@ -177,28 +196,22 @@ class Aligner:
         flat[np.arange(len(ids_b)) + np.repeat(first[:-1] + 1 + of_a - (last_b + 1 - of_b), of_b)] = ids_b
         tuples = pa.Array.from_buffers(pa.large_binary(), len(of_a), [None, pa.py_buffer(first * 4), pa.py_buffer(flat)]).dictionary_encode()
         codes, kinds_n = np.asarray(tuples.indices), len(tuples.dictionary)
-        place = windows.at(tuples.dictionary.to_pylist())
-        names = [windows.texts[p] for p in place]
-        groups, links = (np.array([of[p] for p in place], dtype=np.int64) for of in (windows.groups, windows.links))
+        place = windows.at(tuples.dictionary)
+        at = place[codes] if kinds_n else codes
 
         past = np.cumsum(closes[anchor])
         doc = np.flatnonzero(sound)[past - closes[anchor]] if len(codes) else np.empty(0, np.int64)
-        stops = np.searchsorted(doc, np.arange(many), side="right").tolist()
-        starts = [0, *stops[:-1]]
-        summed = [np.append(0, np.cumsum(of[codes]))[np.array([starts, stops])] if many else np.zeros((2, 0), np.int64) for of in (groups, links)]
-        named = codes.tolist()
-        texts_out = [";".join(map(names.__getitem__, named[x:y])) for x, y in zip(starts, stops)]
+        ends = np.searchsorted(doc, np.arange(many + 1))
+        groups, links = (np.diff(np.append(0, np.cumsum(of[at]))[ends]) for of in (windows.groups, windows.links))
+        texts_out = _joined_lists(windows.texts.take(pa.array(at, pa.int64())), np.diff(ends), ";").to_pylist()
 
         keys, times = np.unique(doc * max(kinds_n, 1) + codes, return_counts=True)
-        kind = keys % max(kinds_n, 1)
-        sizes = np.fromiter((len(windows.pairs[p]) for p in place), dtype=np.int64, count=kinds_n)
-        pairs = np.concatenate([np.empty(0, np.int64), *(windows.pairs[p] for p in place)])
-        more = np.concatenate([np.empty(0, np.int64), *(windows.times[p] for p in place)])
-        size, begin = sizes[kind], (np.cumsum(sizes) - sizes)[kind]
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        linked = np.repeat(keys // max(kinds_n, 1), size) * (len(size_a) * len(size_b)) + pairs[at]
+        kind = place[keys % kinds_n] if kinds_n else keys
+        size = windows.first[kind + 1] - windows.first[kind]
+        at = _ranges(windows.first[kind], size)
+        linked = np.repeat(keys // max(kinds_n, 1), size) * (len(size_a) * len(size_b)) + windows.pairs[at]
         order = np.argsort(linked, kind="stable")
-        linked, weight = linked[order], (np.repeat(times, size) * more[at])[order]
+        linked, weight = linked[order], (np.repeat(times, size) * windows.times[at])[order]
         new = np.flatnonzero(np.diff(linked, prepend=-1))
         weight = np.add.reduceat(weight, new) if len(new) else weight
         linked = linked[new]
@@ -206,8 +219,8 @@ class Aligner:
         return {
             "n_a": pa.array(n_a),
             "n_b": pa.array(n_b),
-            "n_groups": pa.array(summed[0][1] - summed[0][0]),
-            "n_links": pa.array(summed[1][1] - summed[1][0]),
+            "n_groups": pa.array(groups),
+            "n_links": pa.array(links),
             "groups_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts_out], pa.string()),
             "groups": pa.array(texts_out, pa.string()),
             "pairs": pa.ListArray.from_arrays(pa.array(ends), pa.array(linked % (len(size_a) * len(size_b)))),
