@@ -90,8 +90,9 @@ def availability(df: DataFrame, team: str = "team", status: str = "status") -> D
     for code, value in AVAILABILITY.items():
         score = F.when(s == code, value).otherwise(score)
     ok = F.coalesce(s == "a", F.lit(False))
-    w = Window.partitionBy(team)
-    return df.select("*", ok.alias("is_available"), score.alias("availability_score"), F.avg(ok.cast("double")).over(w).alias("team_availability_rate"), F.count("*").over(w).alias("squad_size"))
+    squads = df.groupBy(F.col(team).alias("_t")).agg(F.avg(ok.cast("double")).alias("team_availability_rate"), F.count("*").alias("squad_size"))
+    rows = df.select("*", ok.alias("is_available"), score.alias("availability_score"))
+    return rows.join(squads, F.col(team).eqNullSafe(F.col("_t"))).drop("_t")
 
 
 def availability_probability(chance: Column, status: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +72,10 @@ def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "y_proba") -> Dat
 def distribution_summary(df: DataFrame, key, value: str, boom: float) -> DataFrame:
     """A-33: per entity mean, median, quantiles, deviation and the rate at or above ``boom``."""
     q = [0.1, 0.25, 0.5, 0.75, 0.9]
-    p = F.percentile(value, F.array(*[F.lit(x) for x in q]))
-    g = df.groupBy(*key).agg(F.avg(value).alias("mean"), p.alias("_p"), F.stddev_samp(value).alias("std"), F.avg((F.col(value) >= boom).cast("double")).alias("boom_rate"))
-    return g.select(*key, "mean", *[F.col("_p")[k].alias(n) for k, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "std", "boom_rate")
+    g = df.groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg((F.col(value) >= boom).cast("double")).alias("boom_rate"))
+    found = exact_quantiles(df, value, q, key, "_p").select(*[F.col(c).alias(f"_g_{k}") for k, c in enumerate(key)], "_p")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{k}")) for k, c in enumerate(key)])
+    return g.join(found, same, "left").select(*key, "mean", *[F.col("_p")[k].alias(n) for k, n in enumerate(("p10", "p25", "median", "p75", "p90"))], "std", "boom_rate")
 
 
 def pinball_loss(df: DataFrame, truth: str, quantiles: dict[float, str]) -> DataFrame:

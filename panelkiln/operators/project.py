@@ -12,13 +12,17 @@ from .quantiles import cell, cuts
 DIFFERENTIAL_OWNERSHIP, CAPTAIN_START = 10.0, 0.5  # parameters; tests of the source leave a range
 
 
+def scores(df: DataFrame, points: str = "mean_points", prob: str = "xi_prob", ownership: str = "ownership", differential: float = DIFFERENTIAL_OWNERSHIP) -> DataFrame:
+    """combined_score and is_differential: all that T-2 and T-3 need of W-15."""
+    return df.withColumns({"combined_score": F.col(points) * F.col(prob), "is_differential": F.col(ownership) < differential})
+
+
 def projections(df: DataFrame, by=(), player: str = "player_id", points: str = "mean_points", prob: str = "xi_prob", ownership: str = "ownership", position: str = "position", differential: float = DIFFERENTIAL_OWNERSHIP) -> DataFrame:
     """W-15: combined_score, overall_rank (within ``by``, such as the gameweek),
     position_rank and is_differential.  Ties go to the smaller id."""
-    d = df.withColumn("combined_score", F.col(points) * F.col(prob))
+    d = scores(df, points, prob, ownership, differential)
     order = [F.col("combined_score").desc_nulls_last(), F.col(player)]
-    ranked = ranks(ranks(d, list(by), order, "combined_score", "overall_rank"), [*by, position], order, "combined_score", "position_rank")
-    return ranked.withColumn("is_differential", F.col(ownership) < differential)
+    return ranks(ranks(d, list(by), order, "combined_score", "overall_rank"), [*by, position], order, "combined_score", "position_rank")
 
 
 def ranks(df: DataFrame, by: list, order: list, score: str, into: str) -> DataFrame:

@@ -159,9 +159,35 @@ def date_overlap(frames: dict[str, DataFrame], season: str, date: str) -> DataFr
     return per_day.groupBy(season).agg(*[F.count_if(F.col(m)).alias(f"dates_{m}") for m in names], *[F.count_if(F.col(a) & F.col(b)).alias(f"shared_{a}_{b}") for a, b in pairs], F.count_if(every).alias("shared_all"))
 
 
+HASH_SEEDS = (1, 2)
+
+
 def fingerprint(df: DataFrame, by) -> DataFrame:
-    """SRC-20: order-free content hash and row count per group."""
-    return df.groupBy(*by).agg(F.bit_xor(F.xxhash64(*df.columns)).alias("content_hash"), F.count("*").alias("row_count"))
+    """SRC-20: order-free content hash and row count per group.
+
+    The hash is that of a multiset: two independent row hashes are summed modulo 2**64 (in
+    halves, as decimals), so a row counts as often as it occurs, and fingerprints of parts
+    add up (``combined``)."""
+    sums = []
+    for seed in HASH_SEEDS:
+        h = F.xxhash64(F.lit(seed), *df.columns)
+        sums += [F.sum(F.shiftrightunsigned(h, 32).cast("decimal(20,0)")).alias(f"_high{seed}"), F.sum(h.bitwiseAND(0xFFFFFFFF).cast("decimal(20,0)")).alias(f"_low{seed}")]
+    return _content(df.groupBy(*by).agg(*sums, F.count("*").alias("row_count")), by)
+
+
+def _content(sums: DataFrame, by) -> DataFrame:
+    """The sums of each seed modulo 2**64, as text."""
+    whole = lambda seed: (F.col(f"_high{seed}") % (1 << 32) * F.lit(1 << 32).cast("decimal(20,0)") + F.col(f"_low{seed}")) % F.lit("18446744073709551616").cast("decimal(20,0)")
+    return sums.select(*by, F.concat_ws(":", *[whole(s).cast("decimal(20,0)").cast("string") for s in HASH_SEEDS]).alias("content_hash"), "row_count")
+
+
+def combined(parts: DataFrame, by) -> DataFrame:
+    """SRC-20: the fingerprints of groups from those of disjoint parts of their rows, such as
+    what was known and what is new."""
+    piece = lambda k: F.element_at(F.split("content_hash", ":"), k + 1).cast("decimal(20,0)")
+    sums = [F.sum(piece(k)).alias(f"_low{s}") for k, s in enumerate(HASH_SEEDS)]
+    summed = parts.groupBy(*by).agg(*sums, F.sum("row_count").alias("row_count"))
+    return _content(summed.withColumns({f"_high{s}": F.lit(0).cast("decimal(20,0)") for s in HASH_SEEDS}), by)
 
 
 def changes(now: DataFrame, before: DataFrame, by) -> DataFrame:

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import names as N
+from .lineage import once
+
+
+EPSILON = 1e-9  # thresholds are decimal fractions: 0.8 of 10 letters allows two edits
+BOUNDS = (0.9, 0.75, 0.6)  # similarities that are searched one after the other by segments
+LONGEST_GRAM = 16
+
+
+def _edits(longest, floor: float):
+    """Edits that a similarity of ``floor`` allows names of at most so many characters."""
+    return F.floor(longest * F.lit(1 - floor) + EPSILON).cast("int")
 
 
 def _length_pairs(s: DataFrame, t: DataFrame, a: str, b: str, floor: float) -> DataFrame:
@@ -24,7 +35,46 @@ def _length_pairs(s: DataFrame, t: DataFrame, a: str, b: str, floor: float) -> D
     near = t.withColumn("_c", length_class(b)).withColumn("_class", F.explode(F.sequence(F.col("_c") - 1, F.col("_c") + 1))).drop("_c")
     copies = near.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     la, lb = F.length(a), F.length(b)
-    return dealt.hint("shuffle_hash").join(copies, ["_class", "_block"]).where(F.abs(la - lb) <= (1 - floor) * F.greatest(la, lb)).drop("_class", "_block")
+    return dealt.hint("shuffle_hash").join(copies, ["_class", "_block"]).where(F.abs(la - lb) <= _edits(F.greatest(la, lb), floor)).drop("_class", "_block")
+
+
+def _segment_pairs(s: DataFrame, t: DataFrame, a: str, b: str, floor: float) -> DataFrame:
+    """Rows of pairs whose texts ``a`` and ``b`` may have a similarity of ``floor``, all of
+    those that have it and some more than once.
+
+    A text ``b`` of m characters meets none that is more than d edits away, d following from
+    its length and the floor.  It is cut into d + 1 segments, of which one must survive all
+    edits, moved by no more characters than the edits allow.  So rows of ``t`` are copied
+    d + 1 times, those of ``s`` to each place of a segment for each length m that they may
+    meet, and the join is on (m, number of the segment, its text)."""
+    n, m = F.length(a), F.col("_m")
+    most = lambda c: F.floor(c.cast("double") / floor + EPSILON).cast("int")  # noqa: E731  of the longer text
+    d = lambda m: _edits(most(m), floor)
+    first = lambda m, k: F.floor(k * m / (d(m) + 1)).cast("int")
+    cut = t.withColumn("_m", F.length(b)).withColumn("_k", F.explode(F.sequence(F.lit(0), d(m))))
+    cut = cut.withColumn("_part", F.substring(b, first(m, F.col("_k")) + 1, first(m, F.col("_k") + 1) - first(m, F.col("_k"))))
+    least = F.ceil(n * F.lit(floor) - EPSILON).cast("int")
+    meets = s.withColumn("_m", F.explode(F.sequence(F.greatest(least, F.lit(0)), most(n)))).withColumn("_d", _edits(F.greatest(n, m), floor)).withColumn("_off", n - m)
+    meets = meets.where(F.abs("_off") <= F.col("_d")).withColumn("_k", F.explode(F.sequence(F.lit(0), d(m))))
+    low, high = F.ceil((F.col("_off") - F.col("_d")) / 2).cast("int"), F.floor((F.col("_off") + F.col("_d")) / 2).cast("int")
+    moved = meets.withColumn("_by", F.explode(F.sequence(low, high))).withColumn("_at", F.col("_by") + first(m, F.col("_k"))).withColumn("_len", first(m, F.col("_k") + 1) - first(m, F.col("_k")))
+    placed = moved.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_len") <= n)).withColumn("_part", F.substring(a, F.col("_at") + 1, F.col("_len")))
+    key = ["_m", "_k", "_part"]
+    return placed.select(*s.columns, *key).distinct().join(cut, key).drop(*key)
+
+
+def _containing(whole: DataFrame, part: DataFrame, w: str, p: str, on: list[str]) -> DataFrame:
+    """Pairs of rows, equal in ``on``, where the text ``w`` contains the text ``p``, which is
+    not empty.  An equi-join on the first characters of ``p``, as many as the largest power of
+    two that fits: ``whole`` is copied to its different substrings of these lengths."""
+    sizes = [2**k for k in range(LONGEST_GRAM.bit_length())]
+    q = F.greatest(*[F.when(F.length(p) >= k, k).otherwise(1) for k in sizes])
+    keyed = part.where(F.length(p) > 0).withColumn("_gram", F.substring(p, F.lit(1), q))
+    sizes = sorted(r[0] for r in keyed.select(q).distinct().collect())  # those that occur: five at most
+    grams = lambda k: F.when(F.length(w) >= k, F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: F.substring(w, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    spread = whole.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[grams(k) for k in sizes or [1]])))))
+    # only what some part asks for travels
+    return spread.join(keyed.select(*on, "_gram").distinct(), [*on, "_gram"], "left_semi").join(keyed, [*on, "_gram"]).where(F.contains(w, p)).drop("_gram")
 
 
 def _one_edit(s: DataFrame, t: DataFrame, a: str, b: str) -> DataFrame:
@@ -45,10 +95,11 @@ def build_name_mapping(source: DataFrame, target: DataFrame, threshold: float =
     names are left out.
 
     Names one edit apart are found by an equi-join (from four characters on nothing else can
-    be nearer).  Only distinct names that are left are held against all distinct targets of
-    a length that the threshold allows: in blocks, an equi-join on length class and block.
-    At 0.75 an edit may fall every fourth character, so no key of a name survives for sure
-    that would tell more."""
+    be nearer).  Distinct names that are left are searched by segments (``_segment_pairs``)
+    at 0.9, then 0.75, then 0.6 as far as the threshold goes: who finds a name at one of
+    these has no better one below it, so only the others go on.  Below 0.6 more edits are
+    allowed than a name has segments, and what is still left is held against all targets
+    of a length that the threshold allows (``_length_pairs``)."""
     rank = F.col(order) if order else F.col(name)
     s = source.select(F.col(name).alias("source_name")).where(F.col(name).isNotNull()).distinct()
     t = target.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("target_name")).agg(F.min(rank).alias("_order"))
@@ -70,11 +121,21 @@ def build_name_mapping(source: DataFrame, target: DataFrame, threshold: float =
     asks, targets = left.select("_std").distinct(), t.groupBy("_tstd").agg(F.min(F.struct("_order", "target_name")).alias("first")).select("_tstd", "first._order", "first.target_name")
     score = N.similarity(F.col("_std"), F.col("_tstd"))
     pick = lambda pairs: pairs.select("_std", score.alias("score"), "_order", "target_name").groupBy("_std").agg(F.min(entry(F.col("score"))).alias("best"))
-    near = pick(_one_edit(asks.where(F.length("_std") >= 4), targets, "_std", "_tstd"))
-    far = asks.join(near, "_std", "left_anti")
-    floor = 0.01 if below else threshold
-    found = near.unionByName(pick(_length_pairs(far, targets, "_std", "_tstd", floor).where(score >= (0 if below else threshold))))
-    good = F.coalesce(-F.col("best.far") >= threshold, F.lit(False))
+    targets = once(targets)
+    near = once(pick(_one_edit(asks.where(F.length("_std") >= 4), targets, "_std", "_tstd")))
+    far = once(asks.join(near, "_std", "left_anti"))
+    floor = 0.01
+    levels = [] if below else [x for x in BOUNDS if x > threshold] + [threshold]
+    found = near
+    for bound in levels:
+        if far.isEmpty():
+            break
+        pairs = _segment_pairs if bound >= BOUNDS[-1] else _length_pairs
+        at = once(pick(pairs(far, targets, "_std", "_tstd", bound).where(score >= bound - EPSILON)))
+        found, far = found.unionByName(at), once(far.join(at, "_std", "left_anti"))
+    if below:
+        found = found.unionByName(pick(_length_pairs(far, targets, "_std", "_tstd", floor)))
+    good = F.coalesce(-F.col("best.far") >= threshold - EPSILON, F.lit(False))
     fuzzy = left.join(found, "_std", "left").select(
         "source_name",
         F.when(good, F.col("best.target_name")).otherwise(F.col("source_name")).alias("mapped_name"),
@@ -122,20 +183,26 @@ def match_players(source: DataFrame, target: DataFrame, threshold: float = 0.40,
     team = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     s = source.select("player_id", "player_name", low("player_name").alias("sn"), team("team").alias("st"), N.position(F.col("position")).alias("sp"))
     t = target.select("target_id", "target_name", F.col(order).alias("o"), low("target_name").alias("tn"), team("target_team").alias("tt"), N.position(F.col("target_position")).alias("tp"))
-    names = build_name_mapping(s.select(F.col("player_name").alias("name")), t.select(F.col("target_name").alias("name"), "o"), max(threshold, config.SAME_TEAM_FLOOR), variations, order="o")
+    names = once(build_name_mapping(s.select(F.col("player_name").alias("name")), t.select(F.col("target_name").alias("name"), "o"), max(threshold, config.SAME_TEAM_FLOOR), variations, order="o"))
     close = names.where("method <> 'none'").select(F.col("source_name").alias("player_name"), low("mapped_name").alias("mn"), F.col("confidence").alias("score"))
     named = s.join(close, "player_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     same_position = F.col("sp") == F.col("tp") if unknown_position == "equal" else (F.col("sp") == F.col("tp")) | (F.col("sp") == "") | (F.col("tp") == "")
     back = F.col("sp").isin("DEF", "GKP") & F.col("tp").isin("DEF", "GKP")
     last = lambda c: F.element_at(F.split(c, " "), -1)
-    part = (F.contains("tn", last("sn")) | F.contains("sn", "tn")) & (last("sn") != "") & (F.col("tn") != "")
     found = lambda d, k, c: d.select("player_id", F.struct(k.alias("stage"), "o", "target_id", c.alias("confidence")).alias("w")).where("w.stage is not null")
     same_team = F.coalesce(F.col("st") == F.col("tt"), F.lit(False))
     equal = found(s.join(t, F.col("sn") == F.col("tn")), F.when(same_team, 1).otherwise(5), F.when(same_team, config.EXACT).otherwise(config.TRANSFER))
     boosted = F.least(F.lit(1.0), F.col("score") + config.SAME_TEAM_BOOST)
     anywhere = (F.col("score") >= config.OTHER_TEAM_FLOOR) & same_position
     mapped = found(named.join(t, F.col("mn") == F.col("tn")), F.when(same_team, 2).when(anywhere, 4), F.when(same_team, boosted).otherwise(F.col("score") * config.OTHER_TEAM_FACTOR))
-    partial = found(s.join(t, F.col("st") == F.col("tt")).where(part & (same_position | back)), F.lit(3), F.when(same_position, config.LAST_NAME).otherwise(config.LAST_NAME_DEFENCE))
+    # what stage 3 finds depends on the team, the position and the text only: each such once, then its sources
+    asks, mates = s.select("st", "sp", last("sn").alias("p")).distinct(), t.where("tt is not null").withColumnsRenamed({"tt": "st"})
+    whole = s.where(last("sn") != "").select("st", "sp", F.col("sn").alias("p")).distinct()
+    places = F.when(same_position, config.LAST_NAME).when(back, config.LAST_NAME_DEFENCE)
+    least = lambda pairs: pairs.withColumn("c", places).where("c is not null").groupBy("st", "sp", "p").agg(F.min(F.struct("o", "target_id", F.col("c").alias("confidence"))).alias("b"))
+    surname, inside = least(_containing(mates, asks, "tn", "p", ["st"])), least(_containing(whole, mates, "p", "tn", ["st"]))
+    to = lambda pairs, p: s.withColumn("p", p).join(pairs, ["st", "sp", "p"]).select("player_id", F.struct(F.lit(3).alias("stage"), "b.o", "b.target_id", "b.confidence").alias("w"))
+    partial = to(surname, last("sn")).unionByName(to(inside, F.col("sn")))
     won = equal.unionByName(mapped).unionByName(partial).groupBy("player_id").agg(F.min("w").alias("w")).select("player_id", "w.target_id", "w.stage", "w.confidence")
     return named.join(won, "player_id", "left").select("player_id", "player_name", "target_id", "stage", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("score").alias("best_score"))
 

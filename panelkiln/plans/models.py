@@ -143,9 +143,13 @@ def d12b(spark, sf):
 _PROJ = f"p AS (SELECT o_orderkey AS player_id, opponent AS position, season, minutes * ((o_orderkey % 11) / 10.0) AS combined_score, (o_orderkey % 11) / 10.0 AS xi_prob, goals * 5 < 10 AS is_differential FROM panel)"
 
 
-def _projected(spark, sf):
+def _scored(spark, sf):
     p = panel(spark, sf).select(F.col("o_orderkey").alias("player_id"), F.col("opponent").alias("position"), "season", F.col("minutes").cast("double").alias("mean_points"), ((F.col("o_orderkey") % 11) / 10.0).alias("xi_prob"), (F.col("goals") * 5).alias("ownership"))
-    return project.projections(p, ["season"])
+    return p
+
+
+def _projected(spark, sf):
+    return project.projections(_scored(spark, sf), ["season"])
 
 
 @query("w15_projections", f"WITH {PANEL}, {_PROJ} SELECT player_id, CAST(round(combined_score, 6) AS DOUBLE) AS combined_score, CAST(row_number() OVER (PARTITION BY season ORDER BY combined_score DESC, player_id) AS INTEGER) AS overall_rank, CAST(row_number() OVER (PARTITION BY season, position ORDER BY combined_score DESC, player_id) AS INTEGER) AS position_rank, is_differential FROM p")
@@ -155,12 +159,12 @@ def w15(spark, sf):
 
 @query("t2_captains", f"WITH {PANEL}, {_PROJ} SELECT player_id, CASE WHEN xi_prob >= 0.9 THEN 'high projection; nailed on' ELSE 'high projection' END || CASE WHEN is_differential THEN '; differential' ELSE '' END AS reason FROM p WHERE xi_prob >= 0.5 ORDER BY combined_score DESC, player_id LIMIT 5")
 def t2(spark, sf):
-    return project.captains(_projected(spark, sf)).select("player_id", "reason")
+    return project.captains(project.scores(_scored(spark, sf))).select("player_id", "reason")
 
 
 @query("t3_differentials", f"WITH {PANEL}, {_PROJ} SELECT player_id FROM p WHERE is_differential ORDER BY combined_score DESC, player_id LIMIT 10")
 def t3(spark, sf):
-    return project.differentials(_projected(spark, sf)).select("player_id")
+    return project.differentials(project.scores(_scored(spark, sf))).select("player_id")
 
 
 @query("t4_predictions_query", f"WITH {PANEL} SELECT o_orderkey, c_name FROM panel JOIN customer ON c_custkey = player_id WHERE season = 1996")
@@ -230,7 +234,7 @@ def m2_scored(spark, sf):
     """M-2 and M-5: probabilities, no worse than the share of positive rows."""
     p = panel(spark, sf).select("o_orderkey", "goals", "price", (F.col("minutes") >= 60).cast("int").alias("starts"), "minutes")
     learned = p.where("o_orderkey % 4 <> 0")
-    model = ml.train_classifier(learned, ["minutes", "goals"], "starts", maxIter=2, maxDepth=2)
+    model = ml.train_classifier(learned, ["goals", "price"], "starts", maxIter=2, maxDepth=2)
     out = ml.predict(model, p.where("o_orderkey % 4 = 0")).withColumn("in_bounds", F.col("predicted").between(0, 1))
     return _held_out(out, "starts", learned.agg(F.avg("starts")).first()[0])
 

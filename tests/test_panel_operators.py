@@ -239,3 +239,12 @@ def test_projections(spark):
     p = project.projections(d)
     assert column(p, "player_id", "overall_rank") == [2, 1, 3]
     assert rows(project.differentials(p), "player_id") == [3] and rows(project.captains(p, 1), "player_id") == [2]
+
+
+def test_fingerprints_of_multisets(spark):
+    one = lambda *rows: quality.fingerprint(spark.createDataFrame([(1, r) for r in rows], "season int, v string"), ["season"])
+    assert quality.changes(one("a", "a"), one("b", "b"), ["season"]).first().change == "changed"
+    assert quality.changes(one("a", "b", "a"), one("a", "a", "b"), ["season"]).count() == 0
+    assert quality.changes(one("a", None), one(None, "a"), ["season"]).count() == 0
+    whole, parts = one(*map(str, range(50))), one(*map(str, range(20))).union(one(*map(str, range(20, 50))))
+    assert quality.combined(parts, ["season"]).collect() == whole.collect()
