@@ -17,9 +17,10 @@ three rounds, an end of a passage spoils at most 2+2, 3 and 3 words, so the inne
 (12 + 3 words): no repeat is missed.  Anchors meet in buckets by their hash; only the
 windows around anchors that occur twice go on.
 
-Verify.  Those windows are hashed whole, twice: 64 bits, and other bits that choose the
-bucket in which they meet; what occurs once is given back to its shard, the rest is
-removed.  Two different windows count as equal only if both agree: with a bucket for each
+Verify.  Those windows are hashed whole, twice, from two independent hashes of each word:
+64 bits, and other bits that choose the bucket in which they meet; what occurs once is
+given back to its shard, the rest is removed.  The words of windows that meet are not
+compared.  Two different windows count as equal only if both hashes agree: with a bucket for each
 8 MB, that is 64 + 23 bits at 100 TB, for some 5e12 candidate windows 0.1 expected in all
 (and less than one within a shard, where 64 bits decide).
 
@@ -73,8 +74,28 @@ def _range_hash(values: np.ndarray, first: np.ndarray, past: np.ndarray, base: U
     return _mix((total[past] - total[first]) * _powers(inverse, n + 1)[first] ^ past.astype(U) - first.astype(U))
 
 
+def _word_names(data: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word.  A word's bytes are mixed into the state
+    eight at a time, each step by a bijection of both, so that no algebra of the letters is
+    left: words of eight bytes or less never share a name with another of their length."""
+    padded = np.frombuffer(data + bytes(16), dtype=np.uint8)
+    blocks = np.ndarray(len(data) + 8, dtype="<u8", buffer=padded.data, strides=(1,))
+    names = tuple(_mix(length.astype(U) * _Q ^ seed) for seed in (_P, _R))
+    at, left, open_ = start.copy(), length.copy(), np.arange(len(start))
+    while len(open_):
+        block = blocks[at].astype(U)
+        part = left < 8
+        block[part] &= (U(1) << (left[part].astype(U) * U(8))) - U(1)
+        for name in names:
+            name[open_] = _mix(name[open_] ^ block) + _Q
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    return names
+
+
 class Words:
-    """The words of some documents: byte ranges in ``data``, document numbers, names."""
+    """The words of some documents: byte ranges in ``data``, document numbers, names (and
+    ``other``, names of another seed)."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b"".join(texts)
@@ -95,12 +116,10 @@ class Words:
         if len(self.start):
             head = np.searchsorted(at, self.start)
             length = np.diff(np.append(head, len(at)))
-            within = np.arange(len(at)) - np.repeat(head, length)
             self.end = self.start + length
-            value = (raw[at].astype(U) + U(1)) * _powers(_P, int(length.max()))[within]
-            self.name = _mix(np.add.reduceat(value, head) + length.astype(U))
+            self.name, self.other = _word_names(self.data, self.start, length)
         else:
-            self.end, self.name = self.start, np.empty(0, dtype=U)
+            self.end, self.name, self.other = self.start, np.empty(0, dtype=U), np.empty(0, dtype=U)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first word, past last word) of each anchor in documents of a window or more."""
@@ -124,7 +143,7 @@ class Words:
 
     def window_buckets(self, at: np.ndarray) -> np.ndarray:
         """Bits of the windows that windows() does not depend on."""
-        return _range_hash(_mix(self.name + _R), at, at + WINDOW, _R)
+        return _range_hash(_mix(self.other + _R), at, at + WINDOW, _R)
 
 
 def _runs(name, doc, size, begin):
