@@ -59,7 +59,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that are a piece of text, not a box around others.
 TEXTS = HEADINGS | frozenset("p blockquote li dd dt td th pre figure figcaption caption".split())
 # Words that on a piece of text inside an article mean an advert or a notice.
-PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies newsletter subscribe signup share sharing".split())
+PLAIN = frozenset("ad ads advert adverts advertisement advertising notice notices sponsor sponsored promo promotion cookie cookies newsletter subscribe signup share sharing".split())
 # Words that say nothing in a name with one of the above.
 FILLERS = frozenset(
     """area article articles bar body block bottom box button buttons col column container content count entry form group icon icons inline inner item items left link
@@ -70,10 +70,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 THRESHOLD = 0.25  # of the best score
 STRONG, PLAINLY, WEAK = 0.05, 0.2, 0.5  # what class words leave of a score
+STORY = 100  # characters without such words that are a story of their own
 
 
 class _Element:
@@ -134,6 +136,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
     paths: dict = {}
     root = _Element("html", {}, None, 0, paths)
     stack, links, parts, linked, number, open_ = [root], 0, [], 0, 0, Counter(["html"])
+    within = 0  # elements around the open link; it ends with the last of them
 
     def flush() -> None:
         nonlocal linked
@@ -152,6 +155,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             linked += len(text)
 
     def close(tags: set, stops: set) -> None:
+        nonlocal links
         if not any(open_[t] for t in tags):
             return
         for k in range(len(stack) - 1, 0, -1):
@@ -161,6 +165,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                     e.last = number
                     open_[e.tag] -= 1
                 del stack[k:]
+                links = 0 if len(stack) < within else links
                 return
             if stack[k].tag in stops:
                 return
@@ -212,8 +217,8 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag == "a":
-            links += 1
+        if tag == "a":  # one that leads nowhere is no link, and no link holds another
+            links, within = int(bool(_HREF.search(m[3]))), len(stack)
             continue
         if tag not in BLOCKS and tag not in SKIPPED:
             continue
@@ -265,6 +270,11 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by a blank line; empty if there are none."""
     found = blocks(page or "")
     scores = path_scores(found)
+    if max(scores, default=0.0) <= 0:  # nothing but links: length alone
+        scores = [0.0 if element.around else len(text) * element.weight for element, text, _ in found]
+    unmarked = [text for element, text, _ in found if element.weight == 1.0 and not element.around]
+    if sum(map(len, unmarked)) >= STORY and sum(len(_PUNCTUATION.findall(t)) for t in unmarked) > 1:  # comments may be longer than the story
+        scores = [0.0 if element.weight <= STRONG else score for (element, _, _), score in zip(found, scores)]
     best = max(scores, default=0.0)
     if best <= 0:
         return ""

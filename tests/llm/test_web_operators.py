@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelkiln.llm import forest, html, warc
@@ -173,3 +174,26 @@ def test_extract_keeps_rows(spark):
     out = html.extract(d, carry=["page_id", "url"])
     assert sorted(r.text for r in out.collect()) == ["", "Hi there.", "Hi there."] and out.columns == ["page_id", "url", "text"]
     assert html.extract(d.limit(0)).count() == 0
+
+
+STORY = "".join(f"<p>Sentence {k} of the story, which goes on for a while, and ends here.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("anchor", ['<a name="top">', '<a name="top"></a>', '<a href="#x">', '<p><a href="/">home</p>'])
+def test_an_anchor_without_end_keeps_the_article(anchor):
+    assert html.main_text(f"<html><body>{anchor}<div>{STORY}</div></body></html>").count("Sentence") == 6
+
+
+def test_pages_of_links_only_are_scored_by_length():
+    assert "Sentence" in html.main_text('<body><p><a href="/a">Sentence one, of a link that is a whole text.</a></p></body>')
+
+
+def test_comments_longer_than_the_story():
+    comments = "".join(f'<p>Reader {k} says so, and more, and more again, at length, because there is time for it.</p>' * 5 for k in range(6))
+    text = html.main_text(f'<body><div>{STORY}</div><div class="comments">{comments}</div></body>')
+    assert "Reader" not in text and text.count("Sentence") == 6
+
+
+def test_a_notice_inside_the_article_goes():
+    text = html.main_text(f'<body><article>{STORY}<p class="notice">We use things.</p></article></body>')
+    assert "We use" not in text and text.count("Sentence") == 6
