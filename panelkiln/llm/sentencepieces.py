@@ -259,10 +259,10 @@ def _merge_many(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray
     done: list = []
 
     def keys(at: np.ndarray) -> np.ndarray:
-        """Rank and pair of the symbols at and after, ``none`` at the ends of words."""
+        """Rank of the symbols at and after, ``none`` at the ends of words."""
         at = np.minimum(at, len(symbol) - 2)
         found = pairs.find(symbol[at], symbol[at + 1])
-        return np.where((found >= 0) & (word[at] == word[at + 1]), pairs.rank[found] << 32 | found, none)
+        return np.where((found >= 0) & (word[at] == word[at + 1]), pairs.rank[found], none)
 
     key = np.append(keys(np.arange(len(symbol) - 1)), none) if len(symbol) > 1 else np.full(len(symbol), none)
     while len(symbol):
@@ -277,9 +277,9 @@ def _merge_many(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray
             if not len(symbol):
                 break
             first = np.cumsum(length) - length
-        hit = np.flatnonzero(key == np.repeat(least, length))  # ties of one pair: the first of each word
+        hit = np.flatnonzero(key == np.repeat(least, length))  # of pairs of one rank the leftmost of each word
         hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])]
-        symbol[hit] = pairs.made[least & np.int64(0xFFFFFFFF)]
+        symbol[hit] = pairs.made[pairs.find(symbol[hit], symbol[hit + 1])]
         keep = np.ones(len(symbol), dtype=bool)
         keep[hit + 1] = False
         symbol, word, key = symbol[keep], word[keep], key[keep]
