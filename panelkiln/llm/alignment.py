@@ -17,6 +17,7 @@ that documents and counts meet in a salted join.  Both ways give the same rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from . import sentencepieces, transducer
 from .shared import passing, unused, written
 
 TOKENIZER_A, MODEL_B = "/opt/tokenizers/byte_bpe_50k.json", sentencepieces.MODEL
-CHUNK_BYTES = 4 << 20
-MEMO_WORDS, MEMO_WINDOWS, MEMO_PAIRS = 300_000, 500_000, 4_000_000
+CHUNK_BYTES = 1 << 20
+MEMO_WORDS, MEMO_WINDOWS, MEMO_PAIRS = 150_000, 150_000, 1_000_000
 MAX_PAIRS = 4_000_000  # counts that are broadcast: 36 MB
 SALTS = 16
 
@@ -157,6 +158,7 @@ class Aligner:
         sizes = [np.fromiter(map(len, shown), dtype=np.int64, count=len(shown)) for shown in (shown_a, shown_b)]
         spaced = [np.array([s.startswith(b" ") for s in shown]) for shown in (shown_a, shown_b)]
         arrays = [pa.array(shown, pa.large_binary()) for shown in (shown_a, shown_b)]
+        self.a.known().most = MEMO_WORDS
         self.made = sizes, spaced, arrays, _Words(self.b), _Windows(*sizes), sentencepieces._kinds(self.b)
         return self.made
 
@@ -173,7 +175,7 @@ class Aligner:
         many = len(texts)
         lists = [[i for part in transducer.encoded_parts(" " + t.decode(), self.a) for i in part] if t else [] for t in texts]
         n_a = np.fromiter(map(len, lists), dtype=np.int64, count=many)
-        ids_a = np.fromiter((i for ids in lists for i in ids), dtype=np.int32, count=int(n_a.sum()))
+        ids_a = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(n_a.sum()))
         ids_b, n_b = words.ids_of(sentencepieces.Cut(texts, kinds))
         spelt = zip(texts, self._spelt(ids_a, n_a, size_a, shown_a), self._spelt(ids_b, n_b, size_b, shown_b))
         sound = np.fromiter((bool(t) and a == (whole := b" " + t) and b == whole for t, a, b in spelt), dtype=bool, count=many)

@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 PART = 1 << 16  # characters of a text that are fed at once
 BLOCK = 4096  # symbols of an open word that are merged at once, beside the lookahead
+SHORT = 48  # symbols of a word whose best pair is looked for in a list, not a heap
 MEMO_WORDS, MEMO_LENGTH = 400_000, 64  # words a task remembers, and the longest of them
 
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed by the tokenizers
@@ -70,13 +71,13 @@ class _Memo(dict):
     """Ids of short words, each encoded once; emptied when it is full."""
 
     def __init__(self, table: "Bpe"):
-        self.table = table
+        self.table, self.most = table, MEMO_WORDS
 
     def __missing__(self, word: str) -> list[int]:
         stream = WordStream(self.table)
         ids = [*stream.feed(word), *stream.close()]
         if len(word) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -202,11 +203,28 @@ def lookahead(rules: list[tuple[int, int, int]], size: dict) -> int | None:
     return most
 
 
+_NO_RULE = (1 << 62, -1)
+
+
+def _merge_short(symbols: list[int], rules: dict) -> list[int]:
+    get = rules.get
+    found = [get(pair, _NO_RULE) for pair in zip(symbols, symbols[1:])]
+    while found and (best := min(found)) is not _NO_RULE:
+        k, whole = found.index(best), best[1]
+        symbols[k] = whole
+        del symbols[k + 1], found[k]
+        if k:
+            found[k - 1] = get((symbols[k - 1], whole), _NO_RULE)
+        if k < len(found):
+            found[k] = get((whole, symbols[k + 1]), _NO_RULE)
+    return symbols
+
+
 def merge(symbols: list[int], rules: dict) -> list[int]:
     """Neighbours are joined by rank, the leftmost first."""
     n = len(symbols)
-    if n < 2:
-        return symbols
+    if n <= SHORT:
+        return _merge_short(symbols, rules)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     get = rules.get
     heap = [(found[0], k, found[1], symbols[k], symbols[k + 1]) for k in range(n - 1) if (found := get((symbols[k], symbols[k + 1])))]
