@@ -24,8 +24,9 @@ cut, so it is kept whole, as is a special string.)
 **Decoding** is a state machine too: ids in, text out as soon as bytes are whole
 characters, bytes that are no UTF-8 as replacement characters.
 
-Classes and lower case of characters are those of the installed Unicode tables; the ids
-differ from the library's only for characters that Unicode assigned after version 15.1.
+Classes, lower case and normal forms of characters are those of the installed Unicode
+tables; ids were seen to differ from the library's for characters that Unicode assigned
+after version 15.1, and for 59 combining marks before another mark.
 """
 
 from __future__ import annotations
