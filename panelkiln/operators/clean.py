@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from .quantiles import exact_quantiles
+from .scan import row_numbers
 
 
 def conform(df: DataFrame, renames: dict, casts: dict | None = None, literals: dict | None = None, absent: dict | None = None) -> DataFrame:
@@ -126,9 +127,7 @@ def heuristic_prediction(df: DataFrame, points: str, xg: str, start_prob: float
 
 def match_ordinal(df: DataFrame, season: str, order) -> DataFrame:
     """W-17: the ordinal of a match in its season."""
-    from pyspark.sql import Window
-
-    return df.withColumn("match_ordinal", F.row_number().over(Window.partitionBy(season).orderBy(*order)))
+    return row_numbers(df, order, [season], "match_ordinal").withColumn("match_ordinal", F.col("match_ordinal").cast("int"))
 
 
 def null_if(c: Column, *values) -> Column:

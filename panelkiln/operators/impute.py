@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quantiles import exact_quantiles
+from .scan import last_values
 
 
 def forward_fill(df: DataFrame, columns, order, group=()) -> DataFrame:
-    """W-7: the last value before, by ``order``, per group."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    """W-7: the last value before, by ``order``, per group or over the whole table."""
+    return last_values(df, columns, order, group)
 
 
 def _fill(df: DataFrame, stats: dict, group) -> DataFrame:

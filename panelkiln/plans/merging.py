@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import merge, resolve
+from ..operators import merge, resolve, scan
 from ..sources import io
 from .tables import ORDER, PANEL, panel, rounded, table
 
@@ -145,10 +145,8 @@ def j11(spark, sf):
 
 @query("j12_crosswalk", f"WITH {_NAMES}, p AS (SELECT row_number() OVER (ORDER BY source_name) AS source_id, source_name FROM s) SELECT source_id, source_name, CASE WHEN method <> 'none' THEN o END AS target_id, CASE WHEN method <> 'none' THEN mapped_name END AS matched_name, CAST(round(confidence, 3) AS DOUBLE) AS confidence FROM p JOIN m USING (source_name) LEFT JOIN t ON t.target_name = mapped_name".replace("row_number() OVER (ORDER BY source_name)", "CAST(row_number() OVER (ORDER BY source_name) AS INTEGER)"))
 def j12(spark, sf):
-    from pyspark.sql import Window
-
     s, t = _names(spark, sf)
-    s = s.distinct().select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("name")).alias("player_id"), F.col("name").alias("player"))
+    s = scan.row_numbers(s.distinct(), ["name"], into="player_id").select(F.col("player_id").cast("int"), F.col("name").alias("player"))
     return resolve.build_crosswalk(s, t.select(F.col("o").alias("id"), F.col("name").alias("web_name")))
 
 

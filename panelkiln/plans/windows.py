@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import names as N
-from ..operators import context, h2h, merge, rolling
+from ..operators import context, h2h, merge, rolling, scan
 from .tables import MATCH_ORDER, MATCHES, ORDER, PANEL, matches, panel, rounded, table
 
 QUERIES: dict = {}
@@ -51,6 +52,21 @@ def w1(spark, sf):
     return rounded(d.select("player_id", "o_orderkey", *[c for c in d.columns if "_rolling_" in c]))
 
 
+@query("w1_rolling_by_season", f"WITH {PANEL} SELECT season, o_orderkey, " + _W1.replace("PARTITION BY player_id", "PARTITION BY season") + " FROM panel")
+def w1_seasons(spark, sf):
+    """W-1 where a key is a season: few keys, each larger than a task may hold."""
+    d = scan.rolling(panel(spark, sf), ORDER, ["season"], ["price"], ["goals"], config.WINDOWS)
+    return rounded(d.select("season", "o_orderkey", *[c for c in d.columns if "_rolling_" in c]))
+
+
+@query("w7_forward_fill_whole_table", f"WITH {PANEL} SELECT o_orderkey, last_value(price IGNORE NULLS) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS price FROM panel")
+def w7_whole(spark, sf):
+    """W-7 without a group."""
+    from ..operators.impute import forward_fill
+
+    return forward_fill(panel(spark, sf), ["price"], ORDER).select("o_orderkey", "price")
+
+
 @query("p13_metric_resolver", f"WITH {PANEL} SELECT player_id, o_orderkey, round({_mean('price', 3)}, 6) AS price_rolling_mean_3, round({_mean('minutes', 3)}, 6) AS minutes_rolling_mean_3, {_sum('goals', 3)} AS goals_rolling_sum_3 FROM panel")
 def p13(spark, sf):
     from ..operators.metrics import resolve_metrics
