@@ -39,6 +39,19 @@ def walk_forward(df: DataFrame, folds: DataFrame, period: str = "gameweek") -> D
     return df.join(roles, F.col(period) == F.col("_p")).drop("_p")
 
 
+def expanding_folds(df: DataFrame, period: str = "gameweek", number: int = 3, gap: int = 0) -> DataFrame:
+    """D-10: (fold, at, until): the last ``number`` distinct periods as tests, each after a
+    training set of all periods up to ``until``, ``gap`` periods before it.  A period without
+    one to learn from is no fold.  Distinct periods are a small table, as in W-14."""
+    if number < 1 or gap < 0:
+        raise ValueError("at least one fold, and no negative gap")
+    all_ = Window.partitionBy(F.lit(1))
+    periods = df.select(F.col(period).alias("at")).where(F.col("at").isNotNull()).distinct()
+    placed = periods.withColumns({"_k": F.row_number().over(all_.orderBy("at")), "until": F.lag("at", gap + 1).over(all_.orderBy("at")), "_n": F.count("*").over(all_)})
+    folds = placed.where((F.col("_k") > F.col("_n") - number) & F.col("until").isNotNull())
+    return folds.select((F.col("_k") - F.col("_n") + number).cast("int").alias("fold"), "at", "until")
+
+
 # Set pieces, and the one location outside the box.
 SET_PIECES = ("FromCorner", "SetPiece", "DirectFreekick")
 OUTSIDE = "Outside box"

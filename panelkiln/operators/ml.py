@@ -70,6 +70,40 @@ def random_search(df: DataFrame, features, target: str, space: dict, tries: int
     return best[0], df.sparkSession.createDataFrame([(str(p), float(s)) for p, s in tried], "parameters string, score double")
 
 
+def ordered_search(df: DataFrame, features, target: str, space: dict, period: str, folds: DataFrame, tries: int = 8, classifier: bool = False, seed: int = 42):
+    """M-4 on rows in time: (best parameters, rows of all tries by fold).
+
+    ``folds`` (fold, at, until) are those of ``dataset.expanding_folds``: a try learns from the
+    periods up to ``until`` and is scored on the period ``at``, so nothing is learned from a
+    later row.  Scores: mean absolute error (regression), area under the ROC (classification;
+    folds with one class give none).  The row ``constant`` is the error of the mean of the
+    training rows, or 0.5.  Rows without a target are left out; null features count 0.  The
+    best has the best mean over the folds; ties go to the earlier try."""
+    rng = random.Random(seed)
+    model = (GBTClassifier if classifier else GBTRegressor)(labelCol=target, seed=seed)
+    maps = [{model.getParam(k): rng.choice(v) for k, v in space.items()} for _ in range(tries)]
+    names = [str({p.name: v for p, v in m.items()}) for m in maps]
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model])
+    scorer = BinaryClassificationEvaluator(labelCol=target) if classifier else RegressionEvaluator(labelCol=target, metricName="mae")
+    data = df.where(F.col(target).isNotNull()).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    rows = []
+    for fold in folds.orderBy("fold").collect():  # a row for each fold
+        train, test = data.where(F.col(period) <= F.lit(fold["until"])), data.where(F.col(period) == F.lit(fold["at"]))
+        facts = train.agg(F.count("*").alias("n"), F.avg(target).alias("mean")).first()
+        held = test.agg(F.count("*").alias("n"), F.avg(F.abs(F.col(target) - F.lit(facts["mean"]))).alias("off"), F.count_distinct(target).alias("kinds")).first()
+        sizes = (int(facts["n"]), int(held["n"]))
+        if not all(sizes) or (classifier and held["kinds"] < 2):
+            continue
+        rows.append((fold["fold"], *sizes, -1, "constant", 0.5 if classifier else float(held["off"])))
+        for k, fitted in pipeline.fitMultiple(train, maps):
+            rows.append((fold["fold"], *sizes, k, names[k], float(scorer.evaluate(fitted.transform(test)))))
+    scores = [[r[5] for r in rows if r[3] == k] for k in range(tries)]
+    means = [(sum(s) / len(s), k) for k, s in enumerate(scores) if s]
+    best = min(means, key=lambda x: (-x[0] if classifier else x[0], x[1]), default=(None, None))[1]
+    tried = df.sparkSession.createDataFrame(sorted(rows), "fold int, train_rows long, test_rows long, try int, parameters string, score double")
+    return None if best is None else {p.name: v for p, v in maps[best].items()}, tried
+
+
 def evaluate_model(predicted: DataFrame, truth: str, pred: str, category: str | None = None) -> dict[str, DataFrame]:
     """M-5, regression."""
     out = {"metrics": evaluate.regression_metrics(predicted, truth, pred), "residuals": evaluate.residual_summary(predicted, truth, pred), "baseline": evaluate.baseline_comparison(predicted, truth, pred)}

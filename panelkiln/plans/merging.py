@@ -434,6 +434,15 @@ def src13(spark, sf):
     return part(False, "replace").unionByName(part(True, "skip"))
 
 
+@query("src13_upsert_touched_partitions", f"WITH {PANEL}, o AS (SELECT player_id, opponent, max(goals) AS goals FROM panel WHERE season < 1996 GROUP BY 1, 2), n AS (SELECT * FROM (SELECT player_id, opponent, goals, row_number() OVER (PARTITION BY player_id, opponent ORDER BY minutes DESC, o_orderkey) AS k FROM panel WHERE season >= 1996) WHERE k = 1) SELECT player_id, opponent, goals FROM n UNION ALL SELECT player_id, opponent, goals FROM o WHERE (player_id, opponent) NOT IN (SELECT player_id, opponent FROM n)")
+def src13_touched(spark, sf):
+    """SRC-13 in place, in a table kept in partitions by key."""
+    path, p = _folder(spark), panel(spark, sf)
+    io.create_keyed(p.where("season < 1996").groupBy("player_id", "opponent").agg(F.max("goals").alias("goals")), path, ["player_id", "opponent"], 16)
+    io.upsert_keyed(p.where("season >= 1996").select("player_id", "opponent", "goals", "minutes", "o_orderkey"), path, ["player_id", "opponent"], "minutes", ["o_orderkey"])
+    return io.read_keyed(spark, path)
+
+
 @query("src14_append_and_reload", "SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
 def src14(spark, sf):
     """SRC-14 and SRC-15."""

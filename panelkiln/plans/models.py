@@ -254,3 +254,26 @@ def m4_best(spark, sf):
     d = _features(spark, sf).where("target is not null").select(*_COLUMNS, "target")
     best, tried = ml.random_search(d, _COLUMNS, "target", {"maxDepth": [2, 3], "maxIter": [2, 3]}, tries=2, folds=2)
     return tried.agg(F.count("*").cast("int").alias("tries"), (F.min_by("parameters", "score") == str(best)).alias("best_is_least"))
+
+
+_FOLDS = f"WITH {PANEL}, d AS (SELECT season, lead(goals) OVER ({_BY}) AS target FROM panel), p AS (SELECT DISTINCT season FROM d WHERE target IS NOT NULL), r AS (SELECT season AS tested, lag(season) OVER (ORDER BY season) AS until, row_number() OVER (ORDER BY season) - count(*) OVER () + 2 AS fold FROM p), t AS (SELECT fold, count(*) AS train_rows, avg(target) AS m FROM d JOIN r ON season <= until WHERE target IS NOT NULL AND fold > 0 GROUP BY 1), e AS (SELECT r.fold, count(*) AS test_rows, avg(abs(target - m)) AS off FROM d JOIN r ON season = tested JOIN t ON t.fold = r.fold WHERE target IS NOT NULL GROUP BY 1) "
+
+
+@query("m4_time_ordered_search", _FOLDS + "SELECT CAST(t.fold AS INTEGER) AS fold, train_rows, test_rows, round(off, 6) AS constant_error, true AS tries_scored FROM t JOIN e ON e.fold = t.fold")
+def m4_ordered(spark, sf):
+    """M-4 over the folds of D-10: sizes of the folds, the error of a constant, and whether
+    each try has an error of its own there."""
+    d = _features(spark, sf).where("target is not null")
+    folds = dataset.expanding_folds(d, "season", 2)
+    _, tried = ml.ordered_search(d, _COLUMNS, "target", {"maxDepth": [2, 3], "maxIter": [2, 3]}, "season", folds, tries=2)
+    made = tried.groupBy("fold", "train_rows", "test_rows").agg(F.max(F.when(F.col("try") < 0, F.col("score"))).alias("constant_error"), (F.count_if((F.col("try") >= 0) & (F.col("score") > 0)) == 2).alias("tries_scored"))
+    return rounded(made)
+
+
+@query("d10_expanding_folds", f"WITH {PANEL}, p AS (SELECT DISTINCT season FROM panel), r AS (SELECT season AS tested, lag(season, 2) OVER (ORDER BY season) AS until, row_number() OVER (ORDER BY season) - count(*) OVER () + 3 AS fold FROM p) SELECT CAST(fold AS INTEGER) AS fold, tested AS \"at\", until, (SELECT count(*) FROM panel WHERE season <= until) AS train_rows, (SELECT count(*) FROM panel WHERE season = tested) AS test_rows FROM r WHERE fold > 0 AND until IS NOT NULL")
+def d10_folds(spark, sf):
+    """Expanding folds with a gap of a period, and their sizes."""
+    p = panel(spark, sf)
+    folds = dataset.expanding_folds(p, "season", 3, gap=1)
+    sizes = p.groupBy("season").agg(F.count("*").alias("n"))
+    return folds.join(F.broadcast(sizes), F.col("season") <= F.col("at")).groupBy("fold", "at", "until").agg(F.sum(F.when(F.col("season") <= F.col("until"), F.col("n"))).alias("train_rows"), F.sum(F.when(F.col("season") == F.col("at"), F.col("n"))).alias("test_rows"))  # a row a season

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..operators.lineage import once
 
 SEASON = re.compile(r"\A\d{4}-\d{2}\Z")
 
@@ -74,12 +75,65 @@ def counted(df: DataFrame, where=None, into: str = "n") -> DataFrame:
 def upsert(existing: DataFrame, new: DataFrame, keys, score: str | None = None, sequence=(), skip_existing: bool = False) -> DataFrame:
     """SRC-13: the table after an upsert by business key: new rows deduplicated (W-8), then
     either replacing rows with their key or, with ``skip_existing``, only added."""
-    fresh = merge.keep_best(new, keys, score, sequence)
+    return _merged(existing, merge.keep_best(new, keys, score, sequence), keys, skip_existing)
+
+
+def _merged(existing: DataFrame, fresh: DataFrame, keys, skip_existing: bool) -> DataFrame:
     if skip_existing:
         return existing.unionByName(merge.new_keys(fresh, existing, keys), allowMissingColumns=True)
     return merge.new_keys(existing, fresh, keys).unionByName(fresh, allowMissingColumns=True)
 
 
+BUCKET = re.compile(r"\Abucket_of_(\d+)\Z")
+
+
+def _bucketed(df: DataFrame, keys, number: int) -> DataFrame:
+    """``df`` with the bucket of its key, a hash of the keys as text."""
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return df.withColumn(f"bucket_of_{number}", F.pmod(F.xxhash64(*texts), F.lit(number)).cast("int"))
+
+
+def create_keyed(df: DataFrame, path: str, keys, number: int = 64) -> None:
+    """SRC-13: a table in ``number`` partitions by a hash of its key, which ``upsert_keyed``
+    changes in place.  Rows as they are; choose the number so that a partition fits a task."""
+    if any(BUCKET.match(c) for c in df.columns):
+        raise ValueError("a column named like the bucket")
+    _bucketed(df, keys, number).repartition(f"bucket_of_{number}").write.partitionBy(f"bucket_of_{number}").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    d = spark.read.parquet(path)
+    return d.drop(*[c for c in d.columns if BUCKET.match(c)])
+
+
+def upsert_keyed(new: DataFrame, path: str, keys, score: str | None = None, sequence=(), skip_existing: bool = False) -> list[int]:
+    """SRC-13: ``upsert`` into a table of ``create_keyed`` that reads and writes only the
+    partitions to which keys of ``new`` belong; returns them.  Files of the others stay as they
+    are.  Keys are compared in the table's types, so give new ones that these can hold.  Rows
+    of a null key go; without ``score`` and ``sequence`` the last row of a key by its other
+    columns stays.  Columns that the table lacks are an error.  The new partitions take the
+    place of the old ones when the job commits; who reads at that moment should read a
+    version (``write_version``)."""
+    spark = new.sparkSession
+    table = spark.read.parquet(path)
+    name = next(c for c in table.columns if BUCKET.match(c))
+    columns = [c for c in table.columns if c != name]
+    extra = set(new.columns) - {*columns, *sequence} - ({score} if score else set())
+    if extra:
+        raise ValueError(f"columns that the table lacks: {sorted(extra)}")
+    typed = new.withColumns({k: F.col(k).cast(table.schema[k].dataType) for k in keys})
+    sequence = sequence or ([] if score else [c for c in new.columns if c not in keys])
+    fresh = once(_bucketed(merge.keep_best(typed, keys, score, sequence), keys, int(BUCKET.match(name)[1])))
+    touched = sorted(r[0] for r in fresh.select(name).distinct().collect())  # at most one a partition of the table
+    if not touched:
+        return []
+    old, fresh = table.where(F.col(name).isin(touched)), fresh.select(*[c for c in fresh.columns if c in table.columns])
+    merged = _merged(old, fresh, keys, skip_existing)
+    out = merged.select(*[F.col(c).cast(table.schema[c].dataType).alias(c) for c in [*columns, name]])
+    out.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    return touched
+
+
 def write_version(df: DataFrame, root: str, partition_by=()) -> str:
     """SRC-13, SRC-15: write a new version folder and return it; the caller points readers
     to it, so a table is never overwritten while it is read."""

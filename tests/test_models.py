@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from panelkiln.operators import ml
+from panelkiln.operators import dataset, ml
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,24 @@ def test_evaluation_beside_a_baseline(rows):
     found = ml.evaluate_model(d, "target", "p", "kind")
     assert set(found) == {"metrics", "residuals", "baseline", "by_category"} and found["by_category"].count() == 2
     assert abs(found["metrics"].first().asDict()["mae"] - 1) < 1e-9
+
+
+def test_time_ordered_search_learns_from_the_past_only(spark, rows, monkeypatch):
+    d = rows.withColumn("season", (F.col("id") / 100).cast("int"))
+    folds = dataset.expanding_folds(d, "season", 3)
+    assert [tuple(r) for r in folds.orderBy("fold").collect()] == [(1, 3, 2), (2, 4, 3), (3, 5, 4)]
+    assert [tuple(r) for r in dataset.expanding_folds(d, "season", 9, gap=1).orderBy("fold").collect()][0][1:] == (2, 0)
+    assert dataset.expanding_folds(d.limit(0), "season").count() == 0
+    best, tried = ml.ordered_search(d, ["x", "y"], "target", {"maxDepth": [1, 4], "maxIter": [2]}, "season", folds, tries=2)
+    found = tried.collect()
+    assert {(r.fold, r.train_rows, r.test_rows) for r in found} == {(1, 300, 100), (2, 400, 100), (3, 500, 100)}
+    means = {k: sum(r.score for r in found if r["try"] == k) / 3 for k in (0, 1)}
+    assert str(best) == next(r.parameters for r in found if r["try"] == min(means, key=lambda k: (means[k], k)))
+    # later targets have no say in an earlier fold
+    spoiled = d.withColumn("target", F.when(F.col("season") == 5, 1e6).otherwise(F.col("target")))
+    _, other = ml.ordered_search(spoiled, ["x", "y"], "target", {"maxDepth": [1, 4], "maxIter": [2]}, "season", folds, tries=2)
+    early = lambda t: sorted(map(tuple, t.where("fold < 3").collect()))
+    assert early(other) == early(tried)
+    best, tried = ml.ordered_search(d, ["x", "y"], "starts", {"maxDepth": [2]}, "season", folds, tries=1, classifier=True)
+    assert best == {"maxDepth": 2} and tried.where("parameters = 'constant' and score = 0.5").count() == 3
+    assert ml.ordered_search(d.limit(0), ["x"], "target", {"maxDepth": [1]}, "season", folds, tries=1)[0] is None

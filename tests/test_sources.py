@@ -57,3 +57,25 @@ def test_season_partitions_are_pruned(spark, tmp_path):
     spark.range(10).withColumn("season", F.concat(F.lit("s"), F.col("id") % 2)).write.partitionBy("season").parquet(path)
     plan = io.read_season_table(spark, path, ["s1"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(season" in plan or "PartitionFilters: [season" in plan
+
+
+def test_upsert_touches_only_partitions_of_new_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(200).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    io.create_keyed(old, path, ["k"], 8)
+    files = lambda: {p.relative_to(path).as_posix() for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(3, "a", 0.1), (3, "b", 0.9), (500, "c", None), (None, "z", 1.0)], "k int, v string, s double")
+    touched = io.upsert_keyed(new, path, ["k"], "s")
+    assert 1 <= len(touched) <= 2
+    kept = {f for f in before if int(f.split("/")[0].split("=")[1]) not in touched}
+    assert kept and kept <= files() and not (before - kept) & files()
+    want = io.upsert(old, new.withColumn("k", F.col("k").cast("long")), ["k"], "s").select("k", "v")
+    assert sorted(map(tuple, io.read_keyed(spark, path).collect())) == sorted(map(tuple, want.collect()))
+    again = files()
+    assert io.upsert_keyed(new.limit(0), path, ["k"], "s") == [] and files() == again
+    io.upsert_keyed(spark.createDataFrame([(3, "no"), (501, "yes")], "k long, v string"), path, ["k"], skip_existing=True)
+    got = dict(map(tuple, io.read_keyed(spark, path).collect()))
+    assert got[3] == "b" and got[501] == "yes" and len(got) == 202
+    with pytest.raises(ValueError):
+        io.upsert_keyed(new.withColumn("absent", F.lit(1)), path, ["k"], "s")
