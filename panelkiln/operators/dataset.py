@@ -75,13 +75,57 @@ def class_weights(df: DataFrame, target: str = "is_starter") -> DataFrame:
     return df.agg(F.try_divide(F.count_if(F.col(target) == 0), F.count_if(F.col(target) == 1)).alias("scale_pos_weight"))
 
 
+def _products(columns: list[str], shift: list[float]):
+    """A task's sums of products of all pairs of columns, as one row for each column: values
+    less ``shift``, null as absent, NaN and infinities counted apart."""
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        k, total = len(columns), None
+        for batch in batches:
+            arrays = [batch.column(c) for c in range(k)]
+            there = np.column_stack([np.ones(batch.num_rows) if not a.null_count else np.asarray(a.is_valid()).astype(float) for a in arrays]) if k else np.zeros((batch.num_rows, 0))
+            x = np.column_stack([a.fill_null(0.0).to_numpy(zero_copy_only=False) for a in arrays])
+            odd = (~np.isfinite(x)).astype(float) * there
+            x = np.where((there > 0) & (odd == 0), np.where(np.isfinite(x), x, 0.0) - np.array(shift), 0.0)
+            new = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x, odd.T @ there + there.T @ odd])
+            total = new if total is None else total + new
+        if total is not None:
+            flat = [pa.array(np.asarray(m).ravel()) for m in total]
+            i, j = np.divmod(np.arange(k * k), k)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *flat], ["i", "j", "n", "x", "xx", "xy", "odd"])
+
+    return sums
+
+
 def correlations(df: DataFrame, columns, threshold: float = 0.95) -> DataFrame:
-    """A-26: pairs of columns with a high absolute correlation, in one pass."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("correlation")) for a, b in pairs]
-    if not rows:
+    """A-26: pairs of columns (the earlier first) with a high absolute correlation over the
+    rows where both have a value, as Spark's ``corr``: NaN where a value of a pair is NaN or
+    infinite, no row without variance.
+
+    One pass makes the products of all columns at once in each task (a matrix of the number
+    of columns squared, whatever the rows), and Spark sums those by pair; so many columns
+    need no expression for each pair.  Values are taken less the column's mean."""
+    columns = list(columns)
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r")).where(F.abs("correlation") >= threshold)
+    d = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)])
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    shift = [float(v or 0.0) for v in d.agg(*[F.avg(finite(c)) for c in d.columns]).first()]
+    parts = d.mapInArrow(_products(columns, shift), "i long, j long, n double, x double, xx double, xy double, odd double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy", "odd")])
+    names = F.array(*[F.lit(c) for c in columns])
+    other = sums.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    pairs = sums.where("i < j").join(other, ["i", "j"])
+    spread = lambda s, q, m: F.greatest(q - s * s / F.col("n"), F.lit(0.0)) > F.col("n") * m * m * 1e-24  # noqa: E731  below it: a constant, rounded
+    means = F.array(*[F.lit(v) for v in shift])
+    mean = lambda k: F.element_at(means, (F.col(k) + 1).cast("int"))
+    root = F.sqrt((F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n")))
+    found = F.when(F.col("odd") > 0, F.lit(float("nan"))).when((F.col("n") > 1) & spread(F.col("x"), F.col("xx"), mean("i")) & spread(F.col("y"), F.col("yy"), mean("j")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / root)))
+    name = lambda k: F.element_at(names, (F.col(k) + 1).cast("int"))
+    return pairs.select(name("i").alias("feature_a"), name("j").alias("feature_b"), found.alias("correlation")).where(F.abs("correlation") >= threshold)
 
 
 def importance_baseline(df: DataFrame, columns, target: str) -> DataFrame:

@@ -85,6 +85,33 @@ def _one_edit(s: DataFrame, t: DataFrame, a: str, b: str) -> DataFrame:
     return joined.drop("_form").where(F.levenshtein(a, b) <= 1).distinct()
 
 
+def close_variations(variations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P-15, J-10: known variations (source, canonical) followed along their chains.
+
+    Gives (source, canonical, hops), each source with the name at the end of its chain (a -> b,
+    b -> c: a is c after 2 hops), and the rows that cannot all be right: (source, canonical,
+    kind).  ``clash``: a source with several canonical names, of which the least is used;
+    ``cycle``: a source whose chain has no end, left out of the first table and given with its own
+    canonical name.  Names are trimmed; rows with a null or empty name and rows of a name with itself say
+    nothing.  Chains are halved in each round (pointer jumping), so a chain of n takes log2 n joins."""
+    v = variations.select(F.trim("source").alias("source"), F.trim("canonical").alias("canonical"))
+    v = v.where("source <> '' and canonical <> '' and source <> canonical").distinct()
+    per = v.groupBy("source").agg(F.min("canonical").alias("canonical"), F.count("*").alias("_n"))
+    clash = v.join(per.where("_n > 1").select("source"), "source", "left_semi").select("source", "canonical", F.lit("clash").alias("kind"))
+    first = once(per.select("source", "canonical"))
+    at, open_before = first.withColumns({"hops": F.lit(1).cast("long"), "_open": F.lit(True)}), -1
+    while True:
+        to = at.select(F.col("source").alias("canonical"), F.col("canonical").alias("_to"), F.col("hops").alias("_more"))
+        step = at.join(to, "canonical", "left")
+        at = once(step.select("source", F.coalesce("_to", "canonical").alias("canonical"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_to").isNotNull().alias("_open")))
+        left = at.where("_open").count()
+        if left in (0, open_before):  # unchanged: of chains that end, some end in each round
+            break
+        open_before = left
+    cycle = at.where("_open").select("source").join(first, "source").select("source", "canonical", F.lit("cycle").alias("kind"))
+    return at.where("not _open").select("source", "canonical", "hops"), clash.unionByName(cycle)
+
+
 def build_name_mapping(source: DataFrame, target: DataFrame, threshold: float = 0.75, variations: DataFrame | None = None, name: str = "name", order: str | None = None, below: bool = False) -> DataFrame:
     """J-10: (source_name, mapped_name, confidence, method) per distinct source name.
 

@@ -137,6 +137,25 @@ def j10(spark, sf):
     return rounded(resolve.build_name_mapping(s, t, 0.75, order="o"))
 
 
+_LOOP = "(p_partkey - p_partkey % 8) % 80 = 0"
+
+
+@query("p15_known_variations", f"WITH k AS (SELECT p_partkey AS n, p_partkey % 8 AS h, {_LOOP} AS loop FROM part), w AS (SELECT n, h, loop FROM k WHERE h > 0) SELECT 'n' || n AS source, 'n' || (n - h) AS canonical, CAST(h AS BIGINT) AS hops, 'closed' AS kind FROM w WHERE NOT loop UNION ALL SELECT 'n' || n, 'n' || (n - 1), NULL, 'clash' FROM w WHERE n % 40 = 1 UNION ALL SELECT 'n' || n, 'zz', NULL, 'clash' FROM w WHERE n % 40 = 1 UNION ALL SELECT 'n' || n, 'n' || (n - 1), NULL, 'cycle' FROM w WHERE loop UNION ALL SELECT 'n' || (n - 1), 'n' || n, NULL, 'cycle' FROM w WHERE loop AND h = 1")
+def p15_variations(spark, sf):
+    """Chains of up to seven names, some that meet themselves and some names with two, written as
+    CSV and loaded."""
+    n = F.col("p_partkey")
+    named = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    k = table(spark, sf, "part").select(n, (n % 8).alias("h"), F.expr(_LOOP).alias("loop")).where("h > 0")
+    rows = [k.select(named(n).alias("source"), F.concat(named(n - 1), F.lit(" ")).alias("canonical"))]
+    rows.append(k.where("loop and h = 1").select(named(n - 1).alias("source"), named(n).alias("canonical")))
+    rows.append(k.where("p_partkey % 40 = 1").select(named(n).alias("source"), F.lit("zz").alias("canonical")))
+    path = _folder(spark)
+    io.write_csv(merge.diagonal(*rows), path)
+    closed, problems = resolve.close_variations(io.read_variations(spark, path))
+    return merge.diagonal(closed.withColumn("kind", F.lit("closed")), problems).select("source", "canonical", "hops", "kind")
+
+
 @query("j11_name_statistics", f"WITH {_NAMES} SELECT count(*) AS total, count(*) FILTER (WHERE method = 'exact') AS exact, count(*) FILTER (WHERE method = 'fuzzy') AS fuzzy, count(*) FILTER (WHERE method = 'none') AS unmatched, count(*) FILTER (WHERE confidence < 0.9) AS low_confidence, round(avg(confidence), 5) AS mean_confidence FROM m")
 def j11(spark, sf):
     s, t = _names(spark, sf)

@@ -41,6 +41,13 @@ def read_csv_table(spark: SparkSession, path: str, schema: str | None = None, nu
     return d.where(where) if where is not None else d
 
 
+def read_variations(spark: SparkSession, path: str, source: str = "source", canonical: str = "canonical") -> DataFrame:
+    """P-15: known variations (source, canonical) of a CSV file with a header, whatever its
+    other columns."""
+    d = spark.read.option("header", True).option("nullValue", "").csv(path)
+    return d.select(F.col(source).cast("string").alias("source"), F.col(canonical).cast("string").alias("canonical"))
+
+
 def read_seasons(paths: dict[str, DataFrame]) -> DataFrame:
     """SRC-6: frames tagged with their season, columns united."""
     return merge.diagonal(*[d.withColumn("season", F.lit(s)) for s, d in paths.items()])

@@ -96,3 +96,17 @@ def test_mates_by_containment(spark):
             if team and tm and team.strip().lower() == tm.strip().lower() and (name.split(" ")[-1] in n or n in name) and (position == p or {position, p} <= {"DEF", "GKP"})
         ]
         assert got.get(pid) == min(found, default=None), name
+
+
+def test_variations_are_followed_to_their_end(spark, tmp_path):
+    from panelkiln.sources import io
+
+    pairs = [(f"s{k}", f"s{k + 1}") for k in range(37)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), (" t ", " s35"), ("t", "u"), ("me", "me"), ("", "q"), (None, "q"), ("q", None), ("s0", "s1")]
+    io.write_csv(spark.createDataFrame([(*p, k) for k, p in enumerate(pairs)], "source string, canonical string, other int"), str(tmp_path / "v"))
+    closed, problems = resolve.close_variations(io.read_variations(spark, str(tmp_path / "v")))
+    assert sorted(map(tuple, closed.collect())) == sorted([(f"s{k}", "s37", 37 - k) for k in range(37)] + [("t", "s37", 3)])
+    assert sorted(map(tuple, problems.collect())) == [("t", "s35", "clash"), ("t", "u", "clash"), ("w", "x", "cycle"), ("x", "y", "cycle"), ("y", "z", "cycle"), ("z", "x", "cycle")]
+    empty, none = resolve.close_variations(spark.createDataFrame([], "source string, canonical string"))
+    assert empty.count() == 0 == none.count()
+    mapped = resolve.build_name_mapping(spark.createDataFrame([("t",)], "name string"), spark.createDataFrame([("s37",), ("tt",)], "name string"), 0.4, variations=closed)
+    assert [(r.mapped_name, r.method) for r in mapped.collect()] == [("s37", "known")]

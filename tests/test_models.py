@@ -84,3 +84,27 @@ def test_time_ordered_search_learns_from_the_past_only(spark, rows, monkeypatch)
     best, tried = ml.ordered_search(d, ["x", "y"], "starts", {"maxDepth": [2]}, "season", folds, tries=1, classifier=True)
     assert best == {"maxDepth": 2} and tried.where("parameters = 'constant' and score = 0.5").count() == 3
     assert ml.ordered_search(d.limit(0), ["x"], "target", {"maxDepth": [1]}, "season", folds, tries=1)[0] is None
+
+
+def test_products_of_all_columns_equal_corr(spark):
+    rng = random.Random(4)
+    names = ["a", "b", "c", "far", "same", "none", "nan", "one"]
+    made = lambda k: [x := rng.gauss(0, 1), None if k % 3 else 2 * x + rng.random(), None if k % 5 == 0 else rng.random(), 1e9 + x, 0.1, None, float("nan") if k == 6 else x, 1.0 if k == 0 else None]
+    d = spark.createDataFrame([made(k) for k in range(300)], ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r.feature_a, r.feature_b): r.correlation for r in dataset.correlations(d, names, 0.0).collect()}
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            if {"same", "none", "one"} & {a, b} and "nan" not in (a, b):
+                assert (a, b) not in got
+            elif "nan" in (a, b):
+                assert "none" in (a, b) or (a, b) == ("nan", "one") or got[a, b] != got[a, b]
+            else:
+                assert got[a, b] == pytest.approx(d.agg(F.corr(a, b)).first()[0], abs=1e-6)
+    assert set(dataset.correlations(d, ["a", "far", "c"], 0.95).select("feature_a", "feature_b").collect()) == {("a", "far")}
+    assert dataset.correlations(d.limit(0), names).count() == 0 == dataset.correlations(d, ["a"]).count()
+
+
+def test_two_hundred_columns(spark):
+    d = spark.range(400).select(*[(F.sin(F.col("id") * (k % 100 + 1))).alias(f"c{k}") for k in range(200)])
+    found = {(r.feature_a, r.feature_b) for r in dataset.correlations(d, d.columns, 0.999).collect()}
+    assert {(f"c{k}", f"c{k + 100}") for k in range(100)} <= found
