@@ -32,29 +32,30 @@ from .shared import passing, unused, written
 TOKENIZER_A, MODEL_B = "/opt/tokenizers/byte_bpe_50k.json", sentencepieces.MODEL
 CHUNK_BYTES = 1 << 20
 MEMO_WORDS, MEMO_WINDOWS, MEMO_PAIRS = 150_000, 150_000, 1_000_000
+HELD_WORDS = 1 << 17  # words held as strings before they are put into an array
 MAX_PAIRS = 4_000_000  # counts that are broadcast: 36 MB
 SALTS = 16
 
 
 class _Words:
-    """Piece ids of words, each encoded once; emptied when it is full."""
+    """Ids of words, each encoded once by ``encode``, which takes many; emptied when it is full."""
 
-    def __init__(self, table: sentencepieces.Pieces):
-        self.table = table
+    def __init__(self, encode):
+        self.encode = encode
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict = {}
         self.ids, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def ids_of(self, cut: sentencepieces.Cut) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        coded = cut.words.dictionary_encode()
+    def ids_of(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) from their words, so many each."""
+        coded = words.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.place) > MEMO_WORDS:
             self._clear()
         new = [w for w in words if w not in self.place]
-        ids, sizes = sentencepieces.encode_words([w.decode("utf-8", "replace") for w in new], self.table)
+        ids, sizes = self.encode([w.decode("utf-8", "replace") for w in new])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.first = np.append(self.first, len(self.ids) + np.cumsum(sizes))
         self.ids = np.append(self.ids, ids)
@@ -63,7 +64,7 @@ class _Words:
         size = self.first[at + 1] - self.first[at]
         flat = self.ids[_ranges(self.first[at], size)]
         ends = np.append(0, np.cumsum(size))
-        return flat, np.diff(ends[np.append(0, np.cumsum(cut.counts))])
+        return flat, np.diff(ends[np.append(0, np.cumsum(counts))])
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -159,9 +160,27 @@ class Aligner:
         spaced = [np.array([s.startswith(b" ") for s in shown]) for shown in (shown_a, shown_b)]
         arrays = [pa.array(shown, pa.large_binary()) for shown in (shown_a, shown_b)]
         self.a.known().most = MEMO_WORDS
-        self.made = sizes, spaced, arrays, _Words(self.b), _Windows(*sizes), sentencepieces._kinds(self.b)
+        words = _Words(lambda new: transducer.encode_many(new, self.a)), _Words(lambda new: sentencepieces.encode_words(new, self.b))
+        self.made = sizes, spaced, arrays, words, _Windows(*sizes), sentencepieces._kinds(self.b)
         return self.made
 
+    def _ids_a(self, texts: list, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of A of all texts, number of ids of each)."""
+        if self.a.plain or self.a.special:
+            lists = [[i for part in transducer.encoded_parts(" " + t.decode(), self.a) for i in part] if t else [] for t in texts]
+            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(texts))
+            return np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(sizes.sum())), sizes
+        cut, counts, held = [], np.zeros(len(texts), dtype=np.int64), []
+        for k, t in enumerate(texts):
+            for part in transducer.word_lists(" " + t.decode(), self.a) if t else ():
+                counts[k] += len(part)
+                held += part
+                if len(held) >= HELD_WORDS:
+                    cut.append(pa.array(held, pa.large_string()))
+                    held = []
+        cut.append(pa.array(held, pa.large_string()))
+        return words.ids_of(pa.concat_arrays(cut).cast(pa.large_binary()), counts)
+
     @staticmethod
     def _spelt(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, shown: pa.Array) -> list:
         """The bytes of each text's ids."""
@@ -171,12 +190,11 @@ class Aligner:
 
     def rows(self, texts: list) -> dict:
         """Columns for some texts (UTF-8 or None): see ``align``."""
-        (size_a, size_b), (space_a, space_b), (shown_a, shown_b), words, windows, kinds = self.made or self._make()
+        (size_a, size_b), (space_a, space_b), (shown_a, shown_b), (words_a, words_b), windows, kinds = self.made or self._make()
         many = len(texts)
-        lists = [[i for part in transducer.encoded_parts(" " + t.decode(), self.a) for i in part] if t else [] for t in texts]
-        n_a = np.fromiter(map(len, lists), dtype=np.int64, count=many)
-        ids_a = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(n_a.sum()))
-        ids_b, n_b = words.ids_of(sentencepieces.Cut(texts, kinds))
+        ids_a, n_a = self._ids_a(texts, words_a)
+        cut = sentencepieces.Cut(texts, kinds)
+        ids_b, n_b = words_b.ids_of(cut.words, cut.counts)
         spelt = zip(texts, self._spelt(ids_a, n_a, size_a, shown_a), self._spelt(ids_b, n_b, size_b, shown_b))
         sound = np.fromiter((bool(t) and a == (whole := b" " + t) and b == whole for t, a, b in spelt), dtype=bool, count=many)
         ids_a, ids_b = ids_a[np.repeat(sound, n_a)], ids_b[np.repeat(sound, n_b)]

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rounds import ROUNDS_LENGTH, PairTable, merge_rounds
 from .shared import shuffle_partitions, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +41,6 @@ SPACE = "▁"
 _SPACE_UTF8 = SPACE.encode()
 MAX_WORDS, MIN_COUNT, MAX_LENGTH = 300_000, 8, 32
 HELD = 2_000_000  # words a task counts before it hands them on
-ROUNDS_LENGTH = 64  # characters of a word that is merged in rounds with others
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,7 @@ def encode_word(word: str, table: Pieces) -> list[int]:
     return _merge(word, table) if table.kind == "bpe" else _viterbi(word, table)
 
 
-class _Pairs:
+class _Pairs(PairTable):
     """A BPE table as pairs of symbols that make a symbol.  Symbols are the pieces and the
     single characters in them; other characters are -1 - code point."""
 
@@ -219,81 +219,16 @@ class _Pairs:
         self.symbol[ord(" ")] = self.symbol[ord(SPACE)]
         ranks = {x: k for k, x in enumerate(sorted({x for _, x in table.pieces.values()}, reverse=True))}
         made = [(number[p[:k]] << 32 | number[p[k:]], number[p], ranks[x]) for p, (_, x) in table.pieces.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
-        keys, self.made, self.rank = (np.array(x, dtype=np.int64) for x in zip(*made)) if made else [np.empty(0, dtype=np.int64)] * 3
-        self.bits = max(4, int(4 * len(keys)).bit_length())
-        self.slots, self.keys = np.full(1 << self.bits, -1, dtype=np.int64), np.append(keys, -1)
-        place, left = self._slot(keys), np.arange(len(keys))
-        while len(left):  # open addressing: the first of a slot stays, the others move on
-            free = self.slots[place] < 0
-            _, one = np.unique(place[free], return_index=True)
-            put = np.flatnonzero(free)[one]
-            self.slots[place[put]] = left[put]
-            stay = np.ones(len(left), dtype=bool)
-            stay[put] = False
-            left, place = left[stay], (place[stay] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The pair of each two symbols, -1 for none."""
-        keys = a.astype(np.int64) << 32 | b
-        place = self._slot(keys)
-        found = self.slots[place]
-        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
-        while len(open_):
-            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
-            found[open_] = self.slots[place[open_]]
-            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != keys[open_])]
-        found[(a < 0) | (b < 0)] = -1
-        return found
+        super().__init__(*((np.array(x, dtype=np.int64) for x in zip(*made)) if made else [np.empty(0, dtype=np.int64)] * 3))
 
 
 def _merge_many(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, number of ids of each): ``_merge`` of many words together.  In
     each round every open word joins its best pair, the leftmost of ties."""
-    pairs, none = table.pairs, np.int64(1 << 62)
+    pairs = table.pairs
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     symbol = pairs.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-    word = np.repeat(np.arange(len(words)), sizes)
-    done: list = []
-
-    def keys(at: np.ndarray) -> np.ndarray:
-        """Rank of the symbols at and after, ``none`` at the ends of words."""
-        at = np.minimum(at, len(symbol) - 2)
-        found = pairs.find(symbol[at], symbol[at + 1])
-        return np.where((found >= 0) & (word[at] == word[at + 1]), pairs.rank[found], none)
-
-    key = np.append(keys(np.arange(len(symbol) - 1)), none) if len(symbol) > 1 else np.full(len(symbol), none)
-    while len(symbol):
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        length = np.diff(np.append(first, len(symbol)))
-        least = np.minimum.reduceat(key, first)
-        open_ = least < none
-        if not open_.all():
-            shut = ~np.repeat(open_, length)
-            done.append((word[shut], symbol[shut]))
-            symbol, word, key, least, length = symbol[~shut], word[~shut], key[~shut], least[open_], length[open_]
-            if not len(symbol):
-                break
-            first = np.cumsum(length) - length
-        hit = np.flatnonzero(key == np.repeat(least, length))  # of pairs of one rank the leftmost of each word
-        hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])]
-        symbol[hit] = pairs.made[pairs.find(symbol[hit], symbol[hit + 1])]
-        keep = np.ones(len(symbol), dtype=bool)
-        keep[hit + 1] = False
-        symbol, word, key = symbol[keep], word[keep], key[keep]
-        hit -= np.arange(len(hit))
-        if len(symbol) < 2:
-            key[:] = none
-            continue
-        last = hit + 1 == len(symbol)
-        key[hit] = np.where(last, none, keys(hit))
-        left = hit[hit > 0] - 1
-        key[left] = keys(left)
-    word, symbol = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32))
-    order = np.argsort(word, kind="stable")
-    word, symbol = word[order], symbol[order]
+    word, symbol = merge_rounds(symbol, np.repeat(np.arange(len(words)), sizes), pairs)
     ids = np.where(symbol >= 0, pairs.id[symbol], -1)
     lost = np.flatnonzero(ids < 0)  # characters that are no piece
     if len(lost):

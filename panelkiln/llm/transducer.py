@@ -40,12 +40,15 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rounds import ROUNDS_LENGTH, PairTable, merge_rounds
+
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 PART = 1 << 16  # characters of a text that are fed at once
 BLOCK = 4096  # symbols of an open word that are merged at once, beside the lookahead
@@ -58,6 +61,7 @@ _CONTRACTED = "|".join(CONTRACTIONS)
 PLAIN_WORDS = _CONTRACTED + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACED_WORDS = _CONTRACTED + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _GOES_ON = {kind: regex.compile(f"{chars}*") for kind, chars in {"letter": r"\p{L}", "number": r"\p{N}", "other": r"[^\s\p{L}\p{N}]", "space": r"\s"}.items()}
+_BETWEEN = regex.compile(r"(?<=\S) (?=\S)")  # where SPACED_WORDS always begin a word
 _LETTER, _NUMBER, _SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
 
 
@@ -104,6 +108,11 @@ class Bpe:
         """(left id, right id) -> (rank, id of both)."""
         return {(self.ids[a], self.ids[b]): (k, self.ids[a + b]) for k, (a, b) in enumerate(self.merges)}
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        rows = [(a << 32 | b, whole, rank) for (a, b), (rank, whole) in self.rules.items()]
+        return PairTable(*np.array(rows, dtype=np.int64).reshape(-1, 3).T.copy())
+
     @cached_property
     def inner(self) -> list[int]:
         return [self.ids.get(s, -1) for s in byte_symbols()]
@@ -277,6 +286,39 @@ class WordStream:
         return merge(symbols, self.table.rules)
 
 
+def encode_many(words: list[str], table: Bpe) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of ids of each), what ``WordStream`` gives: words of at most
+    ``ROUNDS_LENGTH`` bytes are merged together."""
+    coded = [w.encode("utf-8", "replace") for w in words]
+    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+    short = np.flatnonzero((sizes > 0) & (sizes <= ROUNDS_LENGTH))
+    data = np.frombuffer(b"".join([coded[k] for k in short] if len(short) < len(coded) else coded), dtype=np.uint8)
+    symbol, last = np.array(table.inner)[data], np.cumsum(sizes[short]) - 1
+    symbol[last] = np.array(table.last)[data[last]]
+    word, ids = merge_rounds(symbol, np.repeat(short, sizes[short]), table.pairs)
+    parts = [(word[ids >= 0], ids[ids >= 0])]
+    for k in np.flatnonzero(sizes > ROUNDS_LENGTH).tolist():
+        stream = WordStream(table)
+        found = [*stream.feed(words[k]), *stream.close()]
+        parts.append((np.full(len(found), k), np.array(found, dtype=np.int64)))
+    word, ids = (np.concatenate(x) for x in zip(*parts))
+    if len(parts) > 1:
+        order = np.argsort(word, kind="stable")
+        word, ids = word[order], ids[order]
+    return ids.astype(np.int32), np.bincount(word, minlength=len(words))
+
+
+def word_lists(text: str, table: Bpe):
+    """Lists of the words of a text, part by part, for a table without special strings and
+    normal form: a text may be cut before a single space between other characters."""
+    at = 0
+    while at < len(text):
+        found = _BETWEEN.search(text, at + PART)
+        stop = found.start() if found else len(text)
+        yield table.words.findall(text[at:stop])
+        at = stop
+
+
 def _composes(char: str) -> bool:
     """Whether a character may join those before it in the normal form."""
     return unicodedata.category(char)[0] == "M" or "ᄀ" <= char <= "ᇿ"

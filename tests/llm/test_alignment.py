@@ -97,3 +97,23 @@ def test_query(spark, plain):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = L.op12_token_alignment(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
     assert [tuple(r[c] for c in COLUMNS) for r in got] == plain([d.text for d in docs])
+
+
+def test_words_merged_together_have_the_ids_of_the_stream():
+    for path in (L.TOKENIZER_A, transducer.TOKENIZER):
+        table = transducer.load(path, special=False)
+        words = ["", "a", " the", "international", "é", " 日本語", "x" * 64, "x" * 65, "ab" * 3000, "   ", "'ll", "é" * 40, " z", "the"]
+        ids, sizes = transducer.encode_many(words, table)
+        want = []
+        for w in words:
+            stream = transducer.WordStream(table)
+            want.append([i for i in [*stream.feed(w), *stream.close()] if i >= 0])
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+    assert transducer.encode_many([], table)[0].tolist() == []
+
+
+def test_parts_of_words_put_together_are_the_words_of_the_text():
+    table = transducer.load(L.TOKENIZER_A, special=False)
+    for text in ("ab  cd \n ef'll g h " * 9000, " " * 70_000 + "a b" * 30_000, "x" * 150_000 + " y", ""):
+        assert [w for part in transducer.word_lists(text, table) for w in part] == table.words.findall(text)
