@@ -14,14 +14,16 @@ MEAN_METRICS = [
 ]
 # Metrics summed over a window.
 SUM_METRICS = ["goals_scored", "assists", "bonus"]
-# Columns that are no metrics.
+# Columns that are no metrics (names of ids in a source are the caller's to exclude).
 NO_METRICS = frozenset([
     "player_id", "gameweek", "fixture_id", "opponent_team_id", "was_home", "kickoff_time", "season", "name", "web_name", "position", "team", "element_type",
-    "status", "modified", "fixture", "round", "GW", "element", "player", "league_id", "season_id", "team_id", "game_id", "position_id", "news", "photo", "code",
-    "opta_code", "birth_date", "team_join_date",
+    "status", "modified", "fixture", "round", "GW", "element", "player", "league_id", "season_id", "team_id", "game_id", "position_id",
+    "clean_sheets_per_90", "goals_conceded_per_90", "saves_per_90", "expected_goals_conceded_per_90", "expected_goals_per_90", "expected_assists_per_90",
+    "expected_goal_involvements_per_90", "defensive_contribution_per_90", "now_cost_rank", "now_cost_rank_type", "points_per_game_rank",
+    "points_per_game_rank_type", "form_rank", "form_rank_type", "selected_rank", "selected_rank_type", "ict_index_rank", "ict_index_rank_type",
+    "influence_rank", "influence_rank_type", "creativity_rank", "creativity_rank_type", "threat_rank", "threat_rank_type", "news", "photo", "code",
+    "opta_code", "scout_news_link", "birth_date", "team_join_date", "corners_and_indirect_freekicks_text", "direct_freekicks_text", "penalties_text",
 ])
-# Endings of such columns; the first stands for the player ids of each source.
-NO_METRIC_SUFFIXES = ("_player_id", "_per_90", "_rank", "_rank_type", "_text", "_link")
 WINDOWS = (3, 5, 10)
 # Rows of a form window by its name.
 FORM_WINDOWS = {"7d": 3, "14d": 6, "30d": 10}

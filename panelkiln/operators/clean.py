@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from .quantiles import exact_quantiles
+from .sketches import column_sketches, sketch_bounds
 from .scan import row_numbers
 
 
@@ -87,11 +88,15 @@ def fill_zero(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns if c in df.columns})
 
 
-def winsorize(df: DataFrame, columns, lower: float = 0.01, upper: float = 0.99, method: str = "exact") -> DataFrame:
+def winsorize(df: DataFrame, columns, lower: float = 0.01, upper: float = 0.99, method: str = "exact", sketches: DataFrame | None = None) -> DataFrame:
     """P-21: values clipped at quantiles; null stays.  The bounds are one row, broadcast.
-    ``method``: "exact" (linear), "nearest" (an element), both from counts by range, or
-    "approximate" (one aggregate of sketches for all columns)."""
-    if method == "approximate":
+    ``method``: "exact" (linear), "nearest" (an element), both from counts by range,
+    "approximate" (one aggregate of sketches for all columns), or "sketch" (mergeable
+    sketches of all columns in one pass, or the stored ``sketches``, for which ``df`` is not
+    read a second time)."""
+    if method == "sketch":
+        bounds = [sketch_bounds(column_sketches(df, columns) if sketches is None else sketches, columns, [lower, upper])]
+    elif method == "approximate":
         bounds = [df.agg(*[F.percentile_approx(c, [lower, upper], 10000).alias(f"_q_{c}") for c in columns])]
     else:
         bounds = [exact_quantiles(df, c, [lower, upper], into=f"_q_{c}", linear=method != "nearest") for c in columns]
@@ -100,16 +105,16 @@ def winsorize(df: DataFrame, columns, lower: float = 0.01, upper: float = 0.99,
     return d.withColumns(new).drop(*[f"_q_{c}" for c in columns])
 
 
-def clean_data(df: DataFrame, name: str = "name", minutes: str = "minutes", columns=None, contract: dict | None = None, method: str = "exact") -> tuple[DataFrame, DataFrame]:
-    """P-22: names, minutes, outliers (``method`` as in P-21); and the contract's violations
-    (V-7) as rows."""
+def clean_data(df: DataFrame, name: str = "name", minutes: str = "minutes", columns=None, contract: dict | None = None, method: str = "exact", sketches: DataFrame | None = None, exclude=()) -> tuple[DataFrame, DataFrame]:
+    """P-22: names, minutes, outliers (``method`` and ``sketches`` as in P-21) of ``columns``,
+    else of all metrics but those excluded; and the contract's violations (V-7) as rows."""
     from .metrics import resolve_metrics
     from .quality import contract_violations
 
     d = df.withColumn(name, names.simple_name(F.col(name))) if name in df.columns else df
     d = fill_zero(d, [minutes])
-    mean, sums = resolve_metrics(d)
-    d = winsorize(d, columns or sorted({*mean, *sums}), method=method) if (columns or mean or sums) else d
+    mean, sums = resolve_metrics(d, exclude=exclude)
+    d = winsorize(d, columns or sorted({*mean, *sums}), method=method, sketches=sketches) if (columns or mean or sums) else d
     return d, contract_violations(d, contract)
 
 

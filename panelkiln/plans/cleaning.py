@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import scoring
-from ..operators import clean, impute, quality
+from ..operators import clean, impute, quality, sketches
 from .tables import ORDER, PANEL, panel, rounded, table
 
 QUERIES: dict = {}
@@ -147,6 +147,32 @@ def p22(spark, sf):
     return rounded(d.select("o_orderkey", "minutes", "price"))
 
 
+_SKETCHED = " UNION ALL ".join(
+    f"SELECT {season} AS season, '{c}' AS \"column\", count({c}) AS n, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS greatest, true AS within FROM panel{group}"
+    for c in ("price", "minutes") for season, group in (("season", " GROUP BY season"), ("NULL", ""))
+)
+
+
+@query("p21_season_sketches", f"WITH {PANEL} {_SKETCHED}")
+def p21_sketches(spark, sf):
+    """Sketches stored by season, those of half the rows added as a daily run does, for each
+    season and (null) all: rows, least, greatest, and whether the true rank of the sketched
+    median is that of the median within three times the error."""
+    p = panel(spark, sf).select("season", "o_orderkey", "price", "minutes")
+    columns = ["price", "minutes"]
+    stored = sketches.column_sketches(p.where("o_orderkey % 2 = 0"), columns, ["season"])
+    now = sketches.add_rows(stored, p.where("o_orderkey % 2 <> 0"), columns, ["season"])
+    every = now.unionByName(sketches.merged(now).withColumn("season", F.lit(None).cast("long")))
+    q = sketches.sketch_quantiles(every, [0, 0.5, 1], ["season"])
+    values = p.select(F.explode(F.array(F.col("season"), F.lit(None).cast("long"))).alias("_season"), F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_v")) for c in columns])))
+    middle = F.col("quantiles")[1]
+    same = F.col("season").eqNullSafe(F.col("_season")) & (F.col("column") == F.col("_column"))
+    ranked = values.join(q, same).groupBy("season", "column").agg(F.first("n").alias("n"), F.first("quantiles").alias("quantiles"), F.count_if(F.col("_v") < middle).alias("below"), F.count_if(F.col("_v") <= middle).alias("upto"))
+    slack = 3 * sketches.rank_error()
+    within = (F.col("below") <= F.col("n") * (0.5 + slack) + 1) & (F.col("upto") >= F.col("n") * (0.5 - slack) - 1)
+    return ranked.select("season", "column", "n", F.col("quantiles")[0].alias("least"), F.col("quantiles")[2].alias("greatest"), within.alias("within"))
+
+
 _STATS = "s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_suppkey % 4 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' ELSE 'FWD' END AS pos, l_orderkey % 91 AS minutes, l_partkey % 3 AS goals, l_linenumber % 3 AS assists, l_partkey % 2 AS cs, l_suppkey % 4 AS conceded, l_orderkey % 10 AS saves, l_partkey % 2 AS yellow, l_suppkey % 2 AS pen FROM lineitem)"
 
 
