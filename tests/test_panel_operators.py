@@ -248,3 +248,15 @@ def test_fingerprints_of_multisets(spark):
     assert quality.changes(one("a", None), one(None, "a"), ["season"]).count() == 0
     whole, parts = one(*map(str, range(50))), one(*map(str, range(20))).union(one(*map(str, range(20, 50))))
     assert quality.combined(parts, ["season"]).collect() == whole.collect()
+
+
+def test_orphans_are_counted_by_key_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(1,)] * 50 + [(2,)] * 3 + [(None,), (9,)], "k long")
+    known = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    found = quality.orphans(rows, known, "k", "id")
+    assert found.first()["orphan_rows"] == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert below.index("HashAggregate") < below.index("Scan")
+    assert quality.orphans(rows.limit(0), known, "k", "id").first()["orphan_rows"] == 0
+    assert quality.orphans(rows, known.limit(0), "k", "id").first()["orphan_rows"] == 54
