@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def days_since_last(df: DataFrame, keys, at: str, into: str = "days_since_last_match", tie=()) -> DataFrame:
     """W-5: whole days since the entity's row before; null for the first."""
@@ -14,17 +16,26 @@ def days_since_last(df: DataFrame, keys, at: str, into: str = "days_since_last_m
 
 
 def matches_within(df: DataFrame, keys, at: str, days=(7, 14, 30), prefix: str = "") -> DataFrame:
-    """W-6: {prefix}matches_last_{d}d, the rows of the last d days with the row itself."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_seconds(F.col(at).cast("timestamp")))
-    return df.select("*", *[F.count("*").over(w.rangeBetween(-d * 86400, 0)).alias(f"{prefix}matches_last_{d}d") for d in days])
+    """W-6: {prefix}matches_last_{d}d, the rows of the last d days with the row itself; of a
+    row without a time, the rows without one.  Counts up to the row less counts up to what is
+    too old: a frame with two moving ends is counted anew for every row."""
+    t = F.unix_seconds(F.col(at).cast("timestamp"))
+    w = Window.partitionBy(*keys).orderBy(t)
+    upto = lambda end: F.count("*").over(w.rangeBetween(Window.unboundedPreceding, end))
+    old = lambda d: F.when(t.isNull(), F.lit(0)).otherwise(upto(-d * 86400 - 1))
+    return df.select("*", *[(upto(Window.currentRow) - old(d)).cast("long").alias(f"{prefix}matches_last_{d}d") for d in days])
 
 
 def rest_and_fatigue(df: DataFrame, player_keys=("player_id",), team_keys=("team",), at: str = "kickoff_time") -> DataFrame:
-    """F-2; without the date column the input comes back."""
+    """F-2; without the date column the input comes back.  A team's rows may exceed a task,
+    so its counts are taken by sections."""
     if at not in df.columns:
         return df
     parsed = df.withColumn(at, F.try_to_timestamp(F.col(at).cast("string")))
-    return matches_within(matches_within(days_since_last(parsed, player_keys, at), player_keys, at), team_keys, at, (7, 14), "team_")
+    teams = {f"team_matches_last_{d}d": d * 86400 for d in (7, 14)}
+    counted = scan.counts_within(parsed.withColumn("_s", F.unix_seconds(at)), "_s", teams, team_keys).drop("_s")
+    made = matches_within(days_since_last(counted, player_keys, at), player_keys, at)
+    return made.select(*[c for c in made.columns if c not in teams], *teams)
 
 
 def fatigue_factor(rest_days: Column) -> Column:

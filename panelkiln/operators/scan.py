@@ -1,5 +1,5 @@
 """Running values along an order where one group, or the whole table, may exceed a task
-(W-1, W-7, W-17).
+(W-1, W-7, W-17, F-2).
 
 The rows are cut into sections at tuples of (group, order) taken from a sample of fixed size.
 Windows run inside a section.  A group reaches into more than one section only if a cut lies in
@@ -89,6 +89,29 @@ def last_values(df: DataFrame, columns, order, group=(), number: int | None = No
     return out.select(*[F.coalesce(f"_v{names[c]}", names[c]).alias(c) if c in names else c for c in df.columns])
 
 
+def counts_within(df: DataFrame, at: str, spans: dict[str, int], group=(), number: int | None = None) -> DataFrame:
+    """``df`` with, for each of ``spans`` (column: width), the number of rows of the group
+    whose ``at``, a whole number, is not above the row's and at most the width below it; of a
+    row without ``at``, the rows without it.
+
+    A row counts from its ``at`` on and is taken off again behind ``at`` + width, where a mark
+    stands for all rows that end there; so counts are running sums, whatever the width."""
+    ends = [f"_out{k}" for k in range(len(spans))]
+    marks = [df.where(F.col(at).isNotNull()).groupBy(*group, (F.col(at) + width + 1).alias(at)).agg(F.count("*").alias(end)) for end, width in zip(ends, spans.values())]
+    rows = df.withColumns({AHEAD: F.lit(False), **{end: F.lit(0).cast("long") for end in ends}})
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [m.withColumn(AHEAD, F.lit(True)) for m in marks], rows)
+    s = Sections(every, group, [at], number)
+    known = F.col(at).isNotNull()
+    sums = {"_in": F.count_if(~F.col(AHEAD) & known), **{f"_s{end}": F.sum(end) for end in ends}}
+    carried = s.totals(**sums).select(*s.group, SECTION, *[F.sum(n).over(s.before()).alias(f"_b{n}") for n in sums])
+    w = s.within().rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = {n: c.over(w) + F.coalesce(f"_b{n}", F.lit(0)) for n, c in sums.items()}
+    without = F.count_if(~known).over(w)
+    out = s.carry(s.rows, carried, [f"_b{n}" for n in sums])
+    new = [F.when(known, upto["_in"] - F.coalesce(upto[f"_s{end}"], F.lit(0))).otherwise(without).cast("long").alias(n) for end, n in zip(ends, spans)]
+    return out.select("*", *new).where(~F.col(AHEAD)).select(*df.columns, *spans)
+
+
 def rolling(df: DataFrame, order, group=(), mean=(), sums=(), windows=(3, 5), number: int | None = None) -> DataFrame:
     """W-1 by sections: {m}_rolling_mean_{w} and {m}_rolling_sum_{w} as ``rolling_features``
     gives them.  A section of a cut group gets the last rows before it, as many as the widest
