@@ -213,24 +213,38 @@ def match_players(source: DataFrame, target: DataFrame, threshold: float = 0.40,
     names = once(build_name_mapping(s.select(F.col("player_name").alias("name")), t.select(F.col("target_name").alias("name"), "o"), max(threshold, config.SAME_TEAM_FLOOR), variations, order="o"))
     close = names.where("method <> 'none'").select(F.col("source_name").alias("player_name"), low("mapped_name").alias("mn"), F.col("confidence").alias("score"))
     named = s.join(close, "player_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    same_position = F.col("sp") == F.col("tp") if unknown_position == "equal" else (F.col("sp") == F.col("tp")) | (F.col("sp") == "") | (F.col("tp") == "")
-    back = F.col("sp").isin("DEF", "GKP") & F.col("tp").isin("DEF", "GKP")
     last = lambda c: F.element_at(F.split(c, " "), -1)
-    found = lambda d, k, c: d.select("player_id", F.struct(k.alias("stage"), "o", "target_id", c.alias("confidence")).alias("w")).where("w.stage is not null")
-    same_team = F.coalesce(F.col("st") == F.col("tt"), F.lit(False))
-    equal = found(s.join(t, F.col("sn") == F.col("tn")), F.when(same_team, 1).otherwise(5), F.when(same_team, config.EXACT).otherwise(config.TRANSFER))
+    # a source's target depends on its name, team and position, so each such is asked once; a target is the
+    # first in order of those alike in what is asked, so copies of a name on both sides never meet
+    first = lambda d, *by: d.groupBy(*by).agg(F.min(F.struct("o", "target_id")).alias("b"))
+    who = ["player_name", "sn", "st", "sp"]
+    asked = once(named.select(*who, "mn", "score").distinct())
+    t = once(first(t, "tn", "tt", "tp"))
+    again = lambda d, *by: d.groupBy(*by).agg(F.min("b").alias("b"))
+    found = lambda d, k, c: d.select(*who, F.struct(F.lit(k).alias("stage"), "b.o", "b.target_id", c.alias("confidence")).alias("w"))
+    of_team = again(t.where("tt is not null"), "tn", "tt").withColumnRenamed("tt", "st")
+    of_place = again(t.where("tp is not null"), "tn", "tp").withColumnRenamed("tp", "sp")
+    of_name = again(t, "tn")
+    at = lambda name, targets, *on: asked.join(targets.withColumnRenamed("tn", name), [name, *on])
     boosted = F.least(F.lit(1.0), F.col("score") + config.SAME_TEAM_BOOST)
-    anywhere = (F.col("score") >= config.OTHER_TEAM_FLOOR) & same_position
-    mapped = found(named.join(t, F.col("mn") == F.col("tn")), F.when(same_team, 2).when(anywhere, 4), F.when(same_team, boosted).otherwise(F.col("score") * config.OTHER_TEAM_FACTOR))
-    # what stage 3 finds depends on the team, the position and the text only: each such once, then its sources
-    asks, mates = s.select("st", "sp", last("sn").alias("p")).distinct(), t.where("tt is not null").withColumnsRenamed({"tt": "st"})
-    whole = s.where(last("sn") != "").select("st", "sp", F.col("sn").alias("p")).distinct()
+    factored, enough = F.col("score") * config.OTHER_TEAM_FACTOR, F.col("score") >= config.OTHER_TEAM_FLOOR
+    named_so = [found(at("sn", of_team, "st"), 1, F.lit(config.EXACT)), found(at("mn", of_team, "st"), 2, boosted), found(at("mn", of_place, "sp").where(enough), 4, factored), found(at("sn", of_name), 5, F.lit(config.TRANSFER))]
+    if unknown_position != "equal":
+        named_so.append(found(at("mn", of_name).where(enough & (F.col("sp") == "")), 4, factored))
+        named_so.append(found(at("mn", again(t.where("tp = ''"), "tn")).where(enough & F.col("sp").isNotNull()), 4, factored))
+    same_position = F.col("sp") == F.col("tp") if unknown_position == "equal" else (F.col("sp") == F.col("tp")) | (F.col("sp") == "") | (F.col("tp") == "")
+    back = F.col("sp").isin("DEF", "GKP") & F.col("tp").isin("DEF", "GKP")
+    # what stage 3 finds depends on the team, the position and the text only
+    asks, mates = asked.select("st", "sp", last("sn").alias("p")).distinct(), t.where("tt is not null").withColumnsRenamed({"tt": "st"})
+    whole = asked.where(last("sn") != "").select("st", "sp", F.col("sn").alias("p")).distinct()
     places = F.when(same_position, config.LAST_NAME).when(back, config.LAST_NAME_DEFENCE)
-    least = lambda pairs: pairs.withColumn("c", places).where("c is not null").groupBy("st", "sp", "p").agg(F.min(F.struct("o", "target_id", F.col("c").alias("confidence"))).alias("b"))
+    least = lambda pairs: pairs.withColumn("c", places).where("c is not null").groupBy("st", "sp", "p").agg(F.min(F.struct("b.o", "b.target_id", F.col("c").alias("confidence"))).alias("w"))
     surname, inside = least(_containing(mates, asks, "tn", "p", ["st"])), least(_containing(whole, mates, "p", "tn", ["st"]))
-    to = lambda pairs, p: s.withColumn("p", p).join(pairs, ["st", "sp", "p"]).select("player_id", F.struct(F.lit(3).alias("stage"), "b.o", "b.target_id", "b.confidence").alias("w"))
-    partial = to(surname, last("sn")).unionByName(to(inside, F.col("sn")))
-    won = equal.unionByName(mapped).unionByName(partial).groupBy("player_id").agg(F.min("w").alias("w")).select("player_id", "w.target_id", "w.stage", "w.confidence")
+    to = lambda pairs, p: asked.withColumn("p", p).join(pairs, ["st", "sp", "p"]).select(*who, F.struct(F.lit(3).alias("stage"), "w.o", "w.target_id", "w.confidence").alias("w"))
+    every = reduce(DataFrame.unionByName, [*named_so, to(surname, last("sn")), to(inside, F.col("sn"))])
+    won = every.groupBy(*who).agg(F.min("w").alias("w")).select(*[F.col(c).alias(f"_{c}") for c in who], "w")
+    alike = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in who])
+    won = named.select("player_id", *who).join(won, alike).groupBy("player_id").agg(F.min("w").alias("w")).select("player_id", "w.target_id", "w.stage", "w.confidence")
     return named.join(won, "player_id", "left").select("player_id", "player_name", "target_id", "stage", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("score").alias("best_score"))
 
 
