@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scan
+from . import h2h, scan
 
 
 def days_since_last(df: DataFrame, keys, at: str, into: str = "days_since_last_match", tie=()) -> DataFrame:
@@ -74,7 +74,7 @@ def strength_of_schedule(fixtures: DataFrame, window: int = 5, order=("gameweek"
     stacked = fixtures.select(F.col(home).alias("team"), F.lit(True).alias("at_home"), *order, F.col(value).alias("v")).unionByName(
         fixtures.select(F.col(away).alias("team"), F.lit(False).alias("at_home"), *order, F.col(value).alias("v"))
     )
-    first = stacked.withColumn("_r", F.row_number().over(Window.partitionBy("team", "at_home").orderBy(*order))).where(F.col("_r") <= window)
+    first = h2h.first_rows(stacked, ["team", "at_home"], list(order), window, few=True)
     side = F.col("at_home")
     sums = first.groupBy("team").agg(
         F.avg(F.when(side, F.col("v"))).alias("home_difficulty_mean"), F.count(F.when(side, F.col("v"))).alias("home_fixtures"),
