@@ -24,9 +24,8 @@ For a similarity, pairs that agree on ``LOOSE`` of 64 more hashes (3e-6 of those
 not) are candidates, tried in the first table whose key they share in a shard of at most
 ``leaf`` members, and a link is a candidate whose shingle sets have the similarity.  Only
 nodes with a candidate travel with their sets.  That leaves pairs that share keys of larger
-shards only, so two of them at least (pairs at 0.8 share a single key with probability
-8e-5): nodes with two such keys are searched in blocks of their shards that differ from
-table to table, which joins groups of near copies; then those outside a shard's largest
+shards only, be it a single one: all members of such shards are searched in blocks that differ
+from table to table, which joins groups of near copies; then those outside a shard's largest
 group meet all its blocks, for all other pairs are joined.
 """
 
@@ -364,7 +363,6 @@ def similar_links(reps: DataFrame, sets_of, similarity: float, leaf: int = 512)
     large = shards.groupBy("node").agg(F.sum(F.when(F.col("n") > leaf, F.pow(F.lit(2.0), F.col("table"))).otherwise(0)).cast("int").alias("large"))
     known = reps.select("node", "signs", "keys").join(large, "node")
     alone = small.join(known, "node").withColumns({"block": F.lit(0), "comp": F.lit(0).cast("long"), "asks": F.lit(False)})
-    hot = hot.join(large.where(F.bit_count("large") >= 2).select("node"), "node")
     dealt = hot.select("table", "key", _block(F.col("parts"), "node", "table").alias("block"), "node")
     placed = written(_with_partner(_grouped(alone, False), least).unionByName(dealt), "placed")
     sets = written(sets_of(placed.select("node").distinct()), "sets")
