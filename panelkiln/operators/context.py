@@ -26,15 +26,15 @@ def matches_within(df: DataFrame, keys, at: str, days=(7, 14, 30), prefix: str =
     return df.select("*", *[(upto(Window.currentRow) - old(d)).cast("long").alias(f"{prefix}matches_last_{d}d") for d in days])
 
 
-def rest_and_fatigue(df: DataFrame, player_keys=("player_id",), team_keys=("team",), at: str = "kickoff_time") -> DataFrame:
+def rest_and_fatigue(df: DataFrame, player_keys=("player_id",), team_keys=("team",), at: str = "kickoff_time", tie=()) -> DataFrame:
     """F-2; without the date column the input comes back.  A team's rows may exceed a task,
-    so its counts are taken by sections."""
+    so its counts are taken by sections.  ``tie`` orders a player's rows of one time."""
     if at not in df.columns:
         return df
     parsed = df.withColumn(at, F.try_to_timestamp(F.col(at).cast("string")))
     teams = {f"team_matches_last_{d}d": d * 86400 for d in (7, 14)}
     counted = scan.counts_within(parsed.withColumn("_s", F.unix_seconds(at)), "_s", teams, team_keys).drop("_s")
-    made = matches_within(days_since_last(counted, player_keys, at), player_keys, at)
+    made = matches_within(days_since_last(counted, player_keys, at, tie=tie), player_keys, at)
     return made.select(*[c for c in made.columns if c not in teams], *teams)
 
 
